@@ -133,3 +133,47 @@ e AS (SELECT grp, CAST(CASE m WHEN 'benign' THEN 0 WHEN 'pathogenic' THEN 1 WHEN
 SELECT grp, count(*) AS n, count(DISTINCT y) AS n_classes,
        count(*) < 2 AS single_member, count(DISTINCT y) < 2 AS single_class
 FROM e GROUP BY grp""")
+
+# ---------------------------------------------------------------- splits and folds
+LABELLED_CTES = f"""{V_CTE},
+lab AS (SELECT *, {LABEL_SQL} AS mapped_target FROM v),
+lab2 AS (SELECT *, CAST(CASE mapped_target WHEN 'benign' THEN 0 WHEN 'pathogenic' THEN 1
+                   WHEN 'uncertain' THEN 2 END AS INTEGER) AS target_encoded
+         FROM lab WHERE mapped_target IS NOT NULL)"""
+
+SPLIT_CTES = LABELLED_CTES + """,
+su AS (SELECT variant_id, population_name, target_encoded, coalesce(population_name, 'nan') AS g,
+              md5(concat_ws('|', variant_id, '42')) AS u FROM lab2),
+sr AS (SELECT *, row_number() OVER (PARTITION BY g, target_encoded ORDER BY u, variant_id) AS rn,
+              count(*) OVER (PARTITION BY g, target_encoded) AS n FROM su),
+split AS (SELECT variant_id, population_name, target_encoded,
+                 rn <= least(ceil(CAST(0.2 AS DOUBLE) * n), n - 1) AS is_test FROM sr)"""
+
+ORACLES["stratified_split"] = _w(SPLIT_CTES, "SELECT * FROM split")
+ORACLES["split_sizes"] = _w(SPLIT_CTES, "SELECT is_test, count(*) AS n FROM split GROUP BY is_test")
+
+FOLD_CTES = LABELLED_CTES + """,
+gs AS (SELECT coalesce(population_name, 'nan') AS grp, count(*) AS n,
+              row_number() OVER (ORDER BY count(*) DESC, coalesce(population_name, 'nan')) AS i
+       FROM lab2 GROUP BY 1),
+rec(i, loads, grp, n, fold) AS (
+  SELECT 0, [0, 0, 0, 0, 0]::BIGINT[], NULL::VARCHAR, NULL::BIGINT, NULL::INTEGER
+  UNION ALL
+  SELECT gs.i,
+         list_transform(rec.loads, lambda x, j: CASE WHEN j = list_position(rec.loads, list_min(rec.loads))
+                                                 THEN x + gs.n ELSE x END),
+         gs.grp, gs.n, CAST(list_position(rec.loads, list_min(rec.loads)) - 1 AS INTEGER)
+  FROM rec JOIN gs ON gs.i = rec.i + 1),
+folds AS (SELECT grp, n, fold FROM rec WHERE grp IS NOT NULL)"""
+FOLD_CTES = "RECURSIVE " + FOLD_CTES
+
+ORACLES["group_kfold"] = _w(FOLD_CTES, "SELECT grp, n, fold FROM folds")
+ORACLES["fold_assign"] = _w(FOLD_CTES, """
+SELECT variant_id, population_name, fold FROM lab2
+LEFT JOIN folds ON coalesce(population_name, 'nan') = folds.grp""")
+
+ORACLES["balanced_weights"] = _w(LABELLED_CTES + """,
+cc AS (SELECT target_encoded, count(*) AS nc FROM lab2 GROUP BY 1),
+tot AS (SELECT sum(nc) AS n, count(*) AS k FROM cc)""", """
+SELECT variant_id, lab2.target_encoded, round(tot.n / CAST(tot.k * cc.nc AS DOUBLE), 6) AS weight
+FROM lab2 JOIN cc ON lab2.target_encoded = cc.target_encoded CROSS JOIN tot""")

@@ -132,3 +132,47 @@ QUERIES = {
     "arm_projection": q_arm_projection,
     "group_flags": q_group_flags,
 }
+
+
+# ---------------------------------------------------------------- splits and folds
+from .operators import split as spl  # noqa: E402
+
+
+def _labelled(spark, sf_dir):
+    return lab.prepare_target(fx.variants(spark, sf_dir))
+
+
+def q_stratified_split(spark, sf_dir):
+    df = _labelled(spark, sf_dir).select("variant_id", "population_name", "target_encoded")
+    return spl.stratified_split(df, test_size=0.2, seed=42)
+
+
+def q_split_sizes(spark, sf_dir):
+    """train/test sizes per side after the split."""
+    df = _labelled(spark, sf_dir).select("variant_id", "population_name", "target_encoded")
+    s = spl.stratified_split(df, test_size=0.2, seed=42)
+    return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_group_kfold(spark, sf_dir):
+    return spl.group_folds(_labelled(spark, sf_dir), "population_name", k=5)
+
+
+def q_fold_assign(spark, sf_dir):
+    df = _labelled(spark, sf_dir).select("variant_id", "population_name")
+    folds = spl.group_folds(_labelled(spark, sf_dir), "population_name", k=5)
+    return spl.assign_folds(df, folds, "population_name")
+
+
+def q_balanced_weights(spark, sf_dir):
+    df = _labelled(spark, sf_dir).select("variant_id", "target_encoded")
+    return _rounded(spl.balanced_weights(df))
+
+
+QUERIES.update({
+    "stratified_split": q_stratified_split,
+    "split_sizes": q_split_sizes,
+    "group_kfold": q_group_kfold,
+    "fold_assign": q_fold_assign,
+    "balanced_weights": q_balanced_weights,
+})
