@@ -6,7 +6,7 @@ operators' work. Each view is defined once as SQL expression text so that the
 Spark view and the DuckDB oracle CTE are the same derivation.
 
 V  variants    lineitem ⋈ part ⋈ supplier ⋈ nation ⋈ region
-P  predictions scored rows (h, pop, y, p0, p1, p2, yhat)
+P  predictions scored rows (h, pop, y, p0, p1, p2, yhat, yhat2)
 C  rule codes  long form (h, pop, slot, code)
 VL learnable   V plus a binary target y_learn
 L  documents   documents ⋈ labels (doc_id, grp, n_chars, y)
@@ -99,7 +99,11 @@ P_COLUMNS = [
     f"CAST({_Y} AS INT) AS y",
 ] + [f"CAST(round({_b(k)} / {_BSUM}, 3) AS DOUBLE) AS p{k}" for k in range(3)]
 
-_P_YHAT = ("CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INT) AS yhat")
+_P_YHAT = ["CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INT) AS yhat",
+           # a coarser second predictor (probabilities floored to one decimal),
+           # standing in for the other arm's predictions
+           "CAST(CASE WHEN floor(p0 * 10) >= floor(p1 * 10) AND floor(p0 * 10) >= floor(p2 * 10) THEN 0 "
+           "WHEN floor(p1 * 10) >= floor(p2 * 10) THEN 1 ELSE 2 END AS INT) AS yhat2"]
 
 # C: one slot per hex digit 22, 23, 24; a-f carry no code
 _CODE_CASE = (f"nullif(split_part('{_CODE_TEXTS}', '|', CAST({_hexval('d')} + 1 AS INT)), '')")
@@ -123,7 +127,7 @@ def _sql_list(cols):
 # DuckDB CTEs (the oracle side reads the pre-registered views)
 V_CTE = f"v AS (SELECT {_sql_list(V_COLUMNS)} FROM ({_BASE_SQL}) b)"
 VL_CTE = f"vl AS (SELECT {_sql_list(V_COLUMNS + [VL_TARGET])} FROM ({_BASE_SQL}) b)"
-P_CTE = (f"p AS (SELECT *, {_P_YHAT} FROM (SELECT {_sql_list(P_COLUMNS)} FROM ({_BASE_SQL}) b) q)")
+P_CTE = (f"p AS (SELECT *, {', '.join(_P_YHAT)} FROM (SELECT {_sql_list(P_COLUMNS)} FROM ({_BASE_SQL}) b) q)")
 C_CTE = (
     "c AS (SELECT h, n_name AS pop, slot, " + _CODE_CASE.replace("d)", "substr(h, slot, 1))")
     + f" AS code FROM ({_BASE_SQL}) b CROSS JOIN (VALUES (22), (23), (24)) s(slot)"
@@ -166,7 +170,7 @@ def variants_learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture P: scored rows (true class, class probabilities, argmax class)."""
-    return _base(spark, sf_dir).selectExpr(*P_COLUMNS).selectExpr("*", _P_YHAT)
+    return _base(spark, sf_dir).selectExpr(*P_COLUMNS).selectExpr("*", *_P_YHAT)
 
 
 def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

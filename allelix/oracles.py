@@ -177,3 +177,162 @@ cc AS (SELECT target_encoded, count(*) AS nc FROM lab2 GROUP BY 1),
 tot AS (SELECT sum(nc) AS n, count(*) AS k FROM cc)""", """
 SELECT variant_id, lab2.target_encoded, round(tot.n / CAST(tot.k * cc.nc AS DOUBLE), 6) AS weight
 FROM lab2 JOIN cc ON lab2.target_encoded = cc.target_encoded CROSS JOIN tot""")
+
+
+# ---------------------------------------------------------------- metrics (fixture P)
+def _metric_ctes(src: str, yhat: str = "yhat", grp: str | None = "pop", tag: str = "") -> str:
+    """CTEs cube{tag} .. pf{tag}: per-class precision/recall/F1 from a cube."""
+    g = f"{grp}, " if grp else ""
+    on = (lambda a, b: f"{a}.{grp} = {b}.{grp} AND ") if grp else (lambda a, b: "")
+    gsel = f"coalesce(s.{grp}, pr.{grp}) AS {grp}, " if grp else ""
+    return f"""cube{tag} AS (SELECT {g}y, {yhat} AS yhat, count(*) AS n FROM {src} GROUP BY ALL),
+sup{tag} AS (SELECT {g}y AS cls, sum(n) AS support FROM cube{tag} GROUP BY ALL),
+pred{tag} AS (SELECT {g}yhat AS cls, sum(n) AS predicted FROM cube{tag} GROUP BY ALL),
+tp{tag} AS (SELECT {g}y AS cls, sum(n) AS tp FROM cube{tag} WHERE y = yhat GROUP BY ALL),
+pc{tag} AS (SELECT {gsel}coalesce(s.cls, pr.cls) AS cls,
+               coalesce(t.tp, 0) AS tp, coalesce(pr.predicted, 0) AS predicted,
+               coalesce(s.support, 0) AS support
+        FROM sup{tag} s FULL JOIN pred{tag} pr ON {on('s', 'pr')}s.cls = pr.cls
+        LEFT JOIN tp{tag} t ON {('t.' + grp + ' = coalesce(s.' + grp + ', pr.' + grp + ') AND ') if grp else ''}t.cls = coalesce(s.cls, pr.cls)),
+pm{tag} AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0.0) AS precision,
+               coalesce(tp / nullif(support, 0), 0.0) AS recall FROM pc{tag}),
+pf{tag} AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM pm{tag})"""
+
+
+def _summary_sql(tag: str = "", grp: str | None = "pop") -> str:
+    g = f"{grp}, " if grp else ""
+    gb = f" GROUP BY {grp}" if grp else ""
+    return f"""SELECT {g}CAST(sum(support) AS BIGINT) AS n,
+       round(sum(tp) / sum(support), 6) AS accuracy,
+       round(sum(precision * support) / sum(support), 6) AS precision,
+       round(sum(recall * support) / sum(support), 6) AS recall,
+       round(sum(f1 * support) / sum(support), 6) AS f1
+FROM pf{tag}{gb}"""
+
+
+ORACLES["weighted_metrics"] = _w(P_CTE + ",\n" + _metric_ctes("p", grp=None), _summary_sql(grp=None))
+ORACLES["group_metrics"] = _w(P_CTE + ",\n" + _metric_ctes("p"), _summary_sql())
+
+ORACLES["confusion_matrix"] = _w(P_CTE + """,
+grid AS (SELECT a.y, b.yhat FROM (VALUES (0), (1), (2)) a(y) CROSS JOIN (VALUES (0), (1), (2)) b(yhat)),
+cnt AS (SELECT y, yhat, count(*) AS n FROM p WHERE y IN (0, 1, 2) AND yhat IN (0, 1, 2) GROUP BY ALL),
+m AS (SELECT CAST(grid.y AS INTEGER) AS y, CAST(grid.yhat AS INTEGER) AS yhat,
+             CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+      FROM grid LEFT JOIN cnt ON grid.y = cnt.y AND grid.yhat = cnt.yhat)""", """
+SELECT y, yhat, n, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY y), 0), 0.0), 6) AS norm FROM m""")
+
+ORACLES["class_report"] = _w(P_CTE + ",\n" + _metric_ctes("p", grp=None) + """,
+nm AS (SELECT * FROM (VALUES (0, 'benign'), (1, 'pathogenic'), (2, 'uncertain')) t(cls, label)),
+r AS (SELECT nm.label, coalesce(precision, 0.0) AS precision, coalesce(recall, 0.0) AS recall,
+             coalesce(f1, 0.0) AS f1, CAST(coalesce(support, 0) AS BIGINT) AS support
+      FROM nm LEFT JOIN pf ON nm.cls = pf.cls)""", """
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM r
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM r
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM r""")
+
+ORACLES["overall_and_group_accuracy"] = _w(P_CTE, """
+SELECT pop, count(*) AS n, round(avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM p GROUP BY ROLLUP (pop)""")
+
+ORACLES["accuracy_gap"] = _w(P_CTE + ",\n" + _metric_ctes("p") + f""",
+g AS ({_summary_sql().replace('round(', '(').replace(', 6)', ')')})""", """
+SELECT round(max(accuracy) - min(accuracy), 6) AS gap, round(max(accuracy), 6) AS max_accuracy,
+       round(min(accuracy), 6) AS min_accuracy FROM g""")
+
+_SUM_RAW = _summary_sql().replace('round(', '(').replace(', 6)', ')')
+ORACLES["arm_side_by_side"] = _w(
+    P_CTE + ",\n" + _metric_ctes("p", "yhat", "pop", "_a") + ",\n" + _metric_ctes("p", "yhat2", "pop", "_b")
+    + f",\nga AS ({_SUM_RAW.replace('FROM pf', 'FROM pf_a')}),\ngb AS ({_SUM_RAW.replace('FROM pf', 'FROM pf_b')})",
+    """
+SELECT coalesce(ga.pop, gb.pop) AS pop, round(coalesce(ga.accuracy, 0.0), 6) AS accuracy_pop_aware,
+       round(coalesce(gb.accuracy, 0.0), 6) AS accuracy_non_pop
+FROM ga FULL JOIN gb ON ga.pop = gb.pop""")
+
+_OVR_RAW = _summary_sql(grp=None).replace('round(', '(').replace(', 6)', ')')
+ORACLES["arm_comparison"] = _w(
+    P_CTE + ",\n" + _metric_ctes("p", "yhat", "pop", "_a") + ",\n" + _metric_ctes("p", "yhat2", "pop", "_b")
+    + ",\n" + _metric_ctes("p", "yhat", None, "_oa") + ",\n" + _metric_ctes("p", "yhat2", None, "_ob")
+    + f""",
+ga AS ({_SUM_RAW.replace('FROM pf', 'FROM pf_a')}), gb AS ({_SUM_RAW.replace('FROM pf', 'FROM pf_b')}),
+oa AS ({_OVR_RAW.replace('FROM pf', 'FROM pf_oa')}), ob AS ({_OVR_RAW.replace('FROM pf', 'FROM pf_ob')}),
+arms AS (SELECT 'pop_aware' AS arm, oa.accuracy, oa.f1, (SELECT max(accuracy) - min(accuracy) FROM ga) AS gap FROM oa
+         UNION ALL
+         SELECT 'non_pop', ob.accuracy, ob.f1, (SELECT max(accuracy) - min(accuracy) FROM gb) FROM ob)""", """
+SELECT arm, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, round(gap, 6) AS gap,
+       round((SELECT gap FROM arms WHERE arm = 'pop_aware') - gap, 6) AS gap_reduction FROM arms""")
+
+ORACLES["parity_gap"] = _w(P_CTE + """,
+r AS (SELECT pop, avg(CASE WHEN yhat = 1 THEN 1.0 ELSE 0.0 END) AS rate FROM p GROUP BY pop)""", """
+SELECT round(max(rate) - min(rate), 6) AS parity_gap, count(*) AS groups FROM r""")
+
+# ---------------------------------------------------------------- profile (fixture V)
+ORACLES["histogram50"] = _w(FEATURE_CTES + """,
+st AS (SELECT min(allele_count) AS lo, max(allele_count) AS hi FROM f WHERE allele_count IS NOT NULL),
+st2 AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM st),
+b AS (SELECT CAST(least(floor((allele_count - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, count(*) AS n
+      FROM f CROSS JOIN st2 WHERE allele_count IS NOT NULL GROUP BY 1),
+e AS (SELECT CAST(range AS INTEGER) AS bin FROM range(50))""", """
+SELECT e.bin, round(lo + e.bin * ((hi - lo) / 50), 6) AS lo,
+       round(CASE WHEN e.bin = 49 THEN hi ELSE lo + (e.bin + 1) * ((hi - lo) / 50) END, 6) AS hi,
+       CAST(coalesce(b.n, 0) AS BIGINT) AS n
+FROM e CROSS JOIN st2 LEFT JOIN b ON e.bin = b.bin""")
+
+ORACLES["kde_grid"] = _w(FEATURE_CTES + """,
+st AS (SELECT min(allele_freq) AS lo, max(allele_freq) AS hi, count(allele_freq) AS n,
+              stddev_samp(allele_freq) AS sd FROM f WHERE allele_freq IS NOT NULL),
+bw AS (SELECT *, sd * pow(n, -0.2) AS h, (hi - lo) / 199 AS step FROM st),
+pts AS (SELECT allele_freq AS v, count(*) AS c FROM f WHERE allele_freq IS NOT NULL GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS i FROM range(200))""", """
+SELECT g.i, round(lo + g.i * step, 6) AS x,
+       round(sum(c * exp(-pow(lo + g.i * step - v, 2) / (2 * h * h))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM g CROSS JOIN bw CROSS JOIN pts GROUP BY g.i, lo, step, n, h""")
+
+_NUM = ["allele_freq", "allele_count", "sample_size", "position", "allele_length", "allele_A_count",
+        "allele_C_count", "allele_G_count", "allele_T_count", "allele_GC_content", "allele_freq_rel"]
+ORACLES["corr_matrix"] = _w(FEATURE_CTES, "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS rho FROM f"
+    for a in _NUM for b in _NUM))
+
+# ---------------------------------------------------------------- rule scores (fixture C)
+_W_ROWS = ", ".join(f"('{k}', {float(v)})" for k, v in {
+    "PVS1": 8, "PS1": 4, "PS2": 4, "PS3": 4, "PS4": 4, "PM1": 2, "PM2": 2, "PM3": 2, "PM4": 2,
+    "PM5": 2, "PM6": 2, "PP1": 1, "PP2": 1, "PP3": 1, "PP4": 1, "PP5": 1, "BA1": -8, "BS1": -4,
+    "BS2": -4, "BS3": -4, "BS4": -4, "BP1": -1, "BP2": -1, "BP3": -1, "BP4": -1, "BP5": -1,
+    "BP6": -1, "BP7": -1}.items())
+SCORE_CTES = C_CTE + f""",
+wt AS (SELECT * FROM (VALUES {_W_ROWS}) t(code, w)),
+fac AS (SELECT * FROM (VALUES ('NATION_0', 'PM2', 1.2), ('NATION_0', 'PP1', 1.1),
+                              ('NATION_1', 'PM2', 0.9), ('NATION_1', 'PP1', 1.0)) t(pop, code, f)),
+sc AS (SELECT c.h, c.pop, sum(coalesce(wt.w, 0.0)) * product(coalesce(CAST(fac.f AS DOUBLE), 1.0)) AS acmg_score
+       FROM c LEFT JOIN wt ON c.code = wt.code LEFT JOIN fac ON c.pop = fac.pop AND c.code = fac.code
+       GROUP BY c.h, c.pop)"""
+
+ORACLES["acmg_score"] = _w(SCORE_CTES, "SELECT h, pop, round(acmg_score, 6) AS acmg_score FROM sc")
+ORACLES["acmg_blend"] = _w(P_CTE + ",\n" + SCORE_CTES + """,
+j AS (SELECT p.h, p.p1 AS prob, coalesce(sc.acmg_score, 0.0) AS s FROM p LEFT JOIN sc ON p.h = sc.h)""", """
+SELECT h, round(prob, 6) AS prob, round(s, 6) AS acmg_score,
+       round(0.7 * prob + 0.3 * (s + 20) / 40, 6) AS blend FROM j""")
+ORACLES["acmg_hybrid"] = _w(P_CTE + ",\n" + SCORE_CTES + """,
+j AS (SELECT p.h, p.p1 AS prob, coalesce(sc.acmg_score, 0.0) AS s FROM p LEFT JOIN sc ON p.h = sc.h),
+k AS (SELECT *, least(greatest((s + 20) / 40, 0.0), 1.0) AS nrm FROM j)""", """
+SELECT h, round(prob, 6) AS prob_pathogenic, round(s, 6) AS acmg_raw, round(nrm, 6) AS acmg_norm,
+       round(0.7 * prob + 0.3 * nrm, 6) AS hybrid_score FROM k""")
+
+# ---------------------------------------------------------------- pathways, characters
+_SEV = ("CASE WHEN strpos(coalesce(consequence_type, 'nan'), 'frameshift') > 0 THEN 3.0 "
+        "WHEN strpos(coalesce(consequence_type, 'nan'), 'missense') > 0 THEN 2.0 ELSE 0.5 END")
+_PW = {"Cancer pathways": (["Brand#12"], 1.0), "Cell cycle": (["Brand#11"], 1.0),
+       "DNA repair": (["Brand#11", "Brand#12"], 1.5),
+       "Metabolic pathways": (["Brand#23", "Brand#35"], 0.5),
+       "Pentose phosphate pathway": (["Brand#23"], 1.0)}
+ORACLES["pathway_features"] = _w(V_CTE, "SELECT variant_id, " + ",\n".join(
+    f"CAST(CASE WHEN gene IN ({', '.join(repr(g) for g in genes)}) THEN {_SEV} * {imp} ELSE 0.0 END AS DOUBLE) "
+    f"AS \"pathway_{p}\"" for p, (genes, imp) in _PW.items()) + " FROM v")
+
+ORACLES["char_counts_long"] = _w(V_CTE + """,
+x AS (SELECT variant_id, unnest(string_split(lower(concat(coalesce(allele, ''), coalesce(allele_string, ''))), ''))
+      AS ch FROM v)""", """
+SELECT variant_id, ch, count(*) AS n FROM x WHERE ch <> '' GROUP BY variant_id, ch""")

@@ -176,3 +176,142 @@ QUERIES.update({
     "fold_assign": q_fold_assign,
     "balanced_weights": q_balanced_weights,
 })
+
+
+# ---------------------------------------------------------------- metrics (fixture P)
+from .operators import metrics as met  # noqa: E402
+from .operators import profile as prof  # noqa: E402
+from .operators import rules as rul  # noqa: E402
+from .operators.text import CharCounts  # noqa: E402
+
+
+def q_confusion_matrix(spark, sf_dir):
+    return _rounded(met.confusion_matrix(fx.predictions(spark, sf_dir), [0, 1, 2]))
+
+
+def q_class_report(spark, sf_dir):
+    return _rounded(met.class_report(fx.predictions(spark, sf_dir), [0, 1, 2],
+                                     ["benign", "pathogenic", "uncertain"]))
+
+
+def q_weighted_metrics(spark, sf_dir):
+    return _rounded(met.summary(met.confusion_cube(fx.predictions(spark, sf_dir))))
+
+
+def q_group_metrics(spark, sf_dir):
+    return _rounded(met.group_metrics(fx.predictions(spark, sf_dir), "y", "yhat", "pop"))
+
+
+def q_overall_and_group_accuracy(spark, sf_dir):
+    return _rounded(met.overall_and_group(fx.predictions(spark, sf_dir), "y", "yhat", "pop"))
+
+
+def q_accuracy_gap(spark, sf_dir):
+    g = met.group_metrics(fx.predictions(spark, sf_dir), "y", "yhat", "pop")
+    return _rounded(met.accuracy_gap(g.select("pop", "accuracy")))
+
+
+def q_arm_side_by_side(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir)
+    a = met.group_metrics(p, "y", "yhat", "pop")
+    b = met.group_metrics(p, "y", "yhat2", "pop")
+    return _rounded(met.side_by_side(a, b, "pop", "accuracy"))
+
+
+def q_arm_comparison(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir)
+    return _rounded(met.arm_comparison(p, "y", {"pop_aware": "yhat", "non_pop": "yhat2"}, "pop"))
+
+
+def q_parity_gap(spark, sf_dir):
+    return _rounded(met.parity_gap(fx.predictions(spark, sf_dir), "yhat", "pop", positive=1))
+
+
+# ---------------------------------------------------------------- profile (fixture V)
+NUMERIC_PROFILE = ["allele_freq", "allele_count", "sample_size", "position", "allele_length",
+                   "allele_A_count", "allele_C_count", "allele_G_count", "allele_T_count",
+                   "allele_GC_content", "allele_freq_rel"]
+
+
+def q_histogram50(spark, sf_dir):
+    df = labelled_features(spark, sf_dir)
+    return _rounded(prof.histogram(df, "allele_count", 50))
+
+
+def q_kde_grid(spark, sf_dir):
+    df = labelled_features(spark, sf_dir)
+    return _rounded(prof.kde_grid(df, "allele_freq", 200))
+
+
+def q_corr_matrix(spark, sf_dir):
+    df = labelled_features(spark, sf_dir)
+    return _rounded(prof.corr_matrix(df, NUMERIC_PROFILE))
+
+
+# ---------------------------------------------------------------- rule scores (fixture C)
+# population factors for the fixture's population names (parameters)
+FIXTURE_FACTORS = {"NATION_0": {"PM2": 1.2, "PP1": 1.1}, "NATION_1": {"PM2": 0.9, "PP1": 1.0}}
+
+
+def _scores(spark, sf_dir):
+    return rul.score_long(fx.rule_codes(spark, sf_dir), "h", "pop", "code", factors=FIXTURE_FACTORS)
+
+
+def q_acmg_score(spark, sf_dir):
+    return _rounded(_scores(spark, sf_dir))
+
+
+def q_acmg_blend(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir).select("h", F.col("p1").alias("prob"))
+    out = rul.blend_scores(rul.attach_scores(p, _scores(spark, sf_dir)), "prob")
+    return _rounded(out)
+
+
+def q_acmg_hybrid(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir).select("h", "p1")
+    out = rul.hybrid_scores(rul.attach_scores(p, _scores(spark, sf_dir)), "p1")
+    return _rounded(out.select("h", "prob_pathogenic", "acmg_raw", "acmg_norm", "hybrid_score"))
+
+
+# ---------------------------------------------------------------- pathways, characters
+# gene -> pathways table for the fixture's gene names (a parameter)
+FIXTURE_PATHWAYS = {
+    "Brand#11": ["DNA repair", "Cell cycle"],
+    "Brand#12": ["DNA repair", "Cancer pathways"],
+    "Brand#23": ["Metabolic pathways", "Pentose phosphate pathway"],
+    "Brand#35": ["Metabolic pathways"],
+}
+FIXTURE_IMPORTANCE = {"DNA repair": 1.5, "Metabolic pathways": 0.5}
+
+
+def q_pathway_features(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    out = feat.pathway_features(v, FIXTURE_PATHWAYS, FIXTURE_IMPORTANCE)
+    return out.select("variant_id", *[c for c in out.columns if c.startswith("pathway_")])
+
+
+def q_char_counts_long(spark, sf_dir):
+    v = fx.variants(spark, sf_dir)
+    cc = CharCounts().fit(v)
+    return cc.long_form(v, "variant_id")
+
+
+QUERIES.update({
+    "confusion_matrix": q_confusion_matrix,
+    "class_report": q_class_report,
+    "weighted_metrics": q_weighted_metrics,
+    "group_metrics": q_group_metrics,
+    "overall_and_group_accuracy": q_overall_and_group_accuracy,
+    "accuracy_gap": q_accuracy_gap,
+    "arm_side_by_side": q_arm_side_by_side,
+    "arm_comparison": q_arm_comparison,
+    "parity_gap": q_parity_gap,
+    "histogram50": q_histogram50,
+    "kde_grid": q_kde_grid,
+    "corr_matrix": q_corr_matrix,
+    "acmg_score": q_acmg_score,
+    "acmg_blend": q_acmg_blend,
+    "acmg_hybrid": q_acmg_hybrid,
+    "pathway_features": q_pathway_features,
+    "char_counts_long": q_char_counts_long,
+})
