@@ -336,3 +336,43 @@ ORACLES["char_counts_long"] = _w(V_CTE + """,
 x AS (SELECT variant_id, unnest(string_split(lower(concat(coalesce(allele, ''), coalesce(allele_string, ''))), ''))
       AS ch FROM v)""", """
 SELECT variant_id, ch, count(*) AS n FROM x WHERE ch <> '' GROUP BY variant_id, ch""")
+
+
+# ---------------------------------------------------------------- thresholds (fixture P)
+ROC_CTES = P_CTE + """,
+sc AS (SELECT pop AS grp, k.cls, CASE k.cls WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS score,
+              CASE WHEN y = k.cls THEN 1 ELSE 0 END AS pos
+       FROM p CROSS JOIN (VALUES (0), (1), (2)) k(cls)),
+pts AS (SELECT grp, CAST(cls AS INTEGER) AS cls, score, CAST(sum(pos) AS BIGINT) AS tpc,
+               CAST(sum(1 - pos) AS BIGINT) AS fpc FROM sc GROUP BY ALL),
+cum AS (SELECT *,
+          CAST(sum(tpc) OVER (PARTITION BY grp, cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tps,
+          CAST(sum(fpc) OVER (PARTITION BY grp, cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fps,
+          row_number() OVER (PARTITION BY grp, cls ORDER BY score DESC) AS rk,
+          lead(tpc) OVER (PARTITION BY grp, cls ORDER BY score DESC) AS ntpc,
+          lead(fpc) OVER (PARTITION BY grp, cls ORDER BY score DESC) AS nfpc
+        FROM pts),
+kept AS (SELECT grp, cls, score AS threshold, fps, tps FROM cum
+         WHERE rk = 1 OR ntpc IS NULL OR ntpc <> tpc OR nfpc <> fpc),
+tot AS (SELECT grp, cls, sum(tpc) AS tp_total, sum(fpc) AS fp_total FROM pts GROUP BY ALL),
+allp AS (SELECT * FROM kept UNION ALL SELECT grp, cls, CAST('inf' AS DOUBLE), 0, 0 FROM tot),
+roc AS (SELECT a.grp, a.cls, a.threshold, CAST(a.fps AS BIGINT) AS fps, CAST(a.tps AS BIGINT) AS tps,
+               a.fps / nullif(t.fp_total, 0) AS fpr, a.tps / nullif(t.tp_total, 0) AS tpr,
+               t.tp_total, t.fp_total
+        FROM allp a JOIN tot t ON a.grp = t.grp AND a.cls = t.cls),
+pick AS (SELECT grp, cls, threshold AS learned FROM (
+           SELECT *, row_number() OVER (PARTITION BY grp, cls ORDER BY abs(fpr - 0.1), threshold DESC) AS r
+           FROM roc WHERE tp_total > 0 AND fp_total > 0) WHERE r = 1),
+thr AS (SELECT g.grp, CAST(k.cls AS INTEGER) AS cls, coalesce(pick.learned, 0.5) AS threshold
+        FROM (SELECT DISTINCT grp FROM sc) g CROSS JOIN (VALUES (0), (1), (2)) k(cls)
+        LEFT JOIN pick ON pick.grp = g.grp AND pick.cls = k.cls)"""
+
+ORACLES["roc_points"] = _w(ROC_CTES, """
+SELECT grp, cls, round(threshold, 6) AS threshold, fps, tps, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc""")
+ORACLES["group_thresholds"] = _w(ROC_CTES, "SELECT grp, cls, round(threshold, 6) AS threshold FROM thr")
+ORACLES["threshold_predict"] = _w(ROC_CTES + """,
+tv AS (SELECT grp, max(CASE WHEN cls = 0 THEN threshold END) AS t0, max(CASE WHEN cls = 1 THEN threshold END) AS t1,
+              max(CASE WHEN cls = 2 THEN threshold END) AS t2 FROM thr GROUP BY grp),
+d AS (SELECT p.h, p.pop, p0 - coalesce(t0, 0.5) AS d0, p1 - coalesce(t1, 0.5) AS d1, p2 - coalesce(t2, 0.5) AS d2
+      FROM p LEFT JOIN tv ON p.pop = tv.grp)""", """
+SELECT h, pop, CAST(CASE WHEN d0 >= d1 AND d0 >= d2 THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS INTEGER) AS yhat_thr FROM d""")

@@ -315,3 +315,35 @@ QUERIES.update({
     "pathway_features": q_pathway_features,
     "char_counts_long": q_char_counts_long,
 })
+
+
+# ---------------------------------------------------------------- thresholds (fixture P)
+from .operators import thresholds as thr  # noqa: E402
+
+
+def _p_scores(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir).withColumn("probs", F.array("p0", "p1", "p2"))
+    return p, thr.class_scores(p, "pop", "y", "probs", [0, 1, 2])
+
+
+def q_roc_points(spark, sf_dir):
+    _, sc = _p_scores(spark, sf_dir)
+    return _rounded(thr.roc_points(sc).drop("tp_total", "fp_total"))
+
+
+def q_group_thresholds(spark, sf_dir):
+    _, sc = _p_scores(spark, sf_dir)
+    return _rounded(thr.group_thresholds(sc, [0, 1, 2]))
+
+
+def q_threshold_predict(spark, sf_dir):
+    p, sc = _p_scores(spark, sf_dir)
+    vec = thr.threshold_vectors(thr.group_thresholds(sc, [0, 1, 2]), 3)
+    return thr.predict_with_thresholds(p, vec, "pop", "probs", 3).select("h", "pop", "yhat_thr")
+
+
+QUERIES.update({
+    "roc_points": q_roc_points,
+    "group_thresholds": q_group_thresholds,
+    "threshold_predict": q_threshold_predict,
+})
