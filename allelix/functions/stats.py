@@ -19,27 +19,33 @@ _P_LOW = 0.02425
 # ---------------------------------------------------------------------------
 
 
-def _horner(coefs, x: Column) -> Column:
-    out = F.lit(coefs[0])
+def _horner_sql(coefs, x: str) -> str:
+    out = repr(coefs[0])
     for c in coefs[1:]:
-        out = out * x + F.lit(c)
+        out = f"({out} * {x} + {c!r})"
     return out
 
 
-def norm_ppf(p: Column) -> Column:
-    """Inverse standard normal CDF as pure Column math (no UDF)."""
-    q_lo = F.sqrt(F.lit(-2.0) * F.log(p))
-    lo = _horner(_C, q_lo) / (_horner(_D, q_lo) * q_lo + F.lit(1.0))
-    q_hi = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
-    hi = -_horner(_C, q_hi) / (_horner(_D, q_hi) * q_hi + F.lit(1.0))
-    q = p - F.lit(0.5)
-    r = q * q
-    mid = _horner(_A, r) * q / (_horner(_B, r) * r + F.lit(1.0))
-    return (F.when(p <= 0, F.lit(float("-inf")))
-            .when(p >= 1, F.lit(float("inf")))
-            .when(p < _P_LOW, lo)
-            .when(p > 1 - _P_LOW, hi)
-            .otherwise(mid))
+def norm_ppf_sql(p: str) -> str:
+    """Inverse standard normal CDF of SQL expression ``p``, as SQL text."""
+    p = f"CAST({p} AS DOUBLE)"
+    ql = f"sqrt(-2.0D * ln({p}))"
+    lo = f"({_horner_sql(_C, ql)} / ({_horner_sql(_D, ql)} * {ql} + 1.0D))"
+    qh = f"sqrt(-2.0D * ln(1.0D - {p}))"
+    hi = f"(-{_horner_sql(_C, qh)} / ({_horner_sql(_D, qh)} * {qh} + 1.0D))"
+    q = f"({p} - 0.5D)"
+    r = f"({q} * {q})"
+    mid = f"({_horner_sql(_A, r)} * {q} / ({_horner_sql(_B, r)} * {r} + 1.0D))"
+    return (f"CASE WHEN {p} <= 0 THEN CAST('-Infinity' AS DOUBLE) "
+            f"WHEN {p} >= 1 THEN CAST('Infinity' AS DOUBLE) "
+            f"WHEN {p} < {_P_LOW!r} THEN {lo} WHEN {p} > {1 - _P_LOW!r} THEN {hi} ELSE {mid} END")
+
+
+def norm_ppf(p: Column | str) -> Column:
+    """Inverse standard normal CDF as a native Column expression (no UDF)."""
+    if isinstance(p, str):
+        return F.expr(norm_ppf_sql(f"`{p}`"))
+    raise TypeError("norm_ppf takes a column name; use norm_ppf_sql for expressions")
 
 
 def safe_div(num: Column, den: Column) -> Column:

@@ -376,3 +376,43 @@ tv AS (SELECT grp, max(CASE WHEN cls = 0 THEN threshold END) AS t0, max(CASE WHE
 d AS (SELECT p.h, p.pop, p0 - coalesce(t0, 0.5) AS d0, p1 - coalesce(t1, 0.5) AS d1, p2 - coalesce(t2, 0.5) AS d2
       FROM p LEFT JOIN tv ON p.pop = tv.grp)""", """
 SELECT h, pop, CAST(CASE WHEN d0 >= d1 AND d0 >= d2 THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS INTEGER) AS yhat_thr FROM d""")
+
+
+# ---------------------------------------------------------------- scaling (fixture V)
+_SC = ["allele_freq", "allele_count", "allele_GC_content"]
+_IMP = ",\n".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT avg({c}) FROM f)) AS {c}" for c in _SC)
+IMP_CTES = FEATURE_CTES + f""",
+fi AS (SELECT variant_id, {_IMP}, coalesce(sample_size, (SELECT avg(sample_size) FROM f)) AS sample_size FROM f)"""
+
+ORACLES["impute_only"] = _w(IMP_CTES, "SELECT variant_id, " + ", ".join(
+    f"round({c}, 6) AS num_{c}" for c in _SC) + " FROM fi")
+ORACLES["impute_standard_scale"] = _w(IMP_CTES + ",\nst AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 OR stddev_pop({c}) IS NULL THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}"
+    for c in _SC) + " FROM fi)", "SELECT variant_id, " + ", ".join(
+    f"round(({c} - m_{c}) / s_{c}, 6) AS num_{c}" for c in _SC) + " FROM fi CROSS JOIN st")
+ORACLES["robust_scale"] = _w(IMP_CTES + ",\nst AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}" for c in _SC) + " FROM fi)",
+    "SELECT variant_id, " + ", ".join(
+        f"round(({c} - q_{c}[2]) / CASE WHEN q_{c}[3] - q_{c}[1] = 0 THEN 1.0 ELSE q_{c}[3] - q_{c}[1] END, 6) AS num_{c}"
+        for c in _SC) + " FROM fi CROSS JOIN st")
+
+
+_REFS = "[" + ", ".join(repr(i / 999) for i in range(1000)) + "]"
+
+
+def _qrank_ctes(c: str) -> str:
+    return f"""qs_{c} AS (SELECT quantile_cont({c}, {_REFS}) AS q FROM fi),
+qk_{c} AS (SELECT q[i + 1] AS v, i / 999.0 AS r FROM qs_{c}, range(1000) t(i)),
+kn_{c} AS (SELECT v, min(r) AS rlo, max(r) AS rhi FROM qk_{c} GROUP BY v),
+kx_{c} AS (SELECT *, lead(v) OVER (ORDER BY v) AS nv, lead(rlo) OVER (ORDER BY v) AS nrlo FROM kn_{c}),
+kb_{c} AS (SELECT min(v) AS kmin, max(v) AS kmax FROM kn_{c}),
+rk_{c} AS (SELECT fi.variant_id,
+             CASE WHEN fi.{c} - 1e-7 < kb.kmin THEN 0.0 WHEN fi.{c} + 1e-7 > kb.kmax THEN 1.0
+                  WHEN fi.{c} = k.v THEN (k.rlo + k.rhi) / 2
+                  ELSE k.rhi + (k.nrlo - k.rhi) * (fi.{c} - k.v) / (k.nv - k.v) END AS rank
+           FROM fi CROSS JOIN kb_{c} kb ASOF LEFT JOIN kx_{c} k ON fi.{c} >= k.v)"""
+
+
+ORACLES["quantile_rank"] = _w(IMP_CTES + ",\n" + _qrank_ctes("allele_freq") + ",\n" + _qrank_ctes("sample_size"), """
+SELECT a.variant_id, round(a.rank, 6) AS _rank_allele_freq, round(b.rank, 6) AS _rank_sample_size
+FROM rk_allele_freq a JOIN rk_sample_size b ON a.variant_id = b.variant_id""")

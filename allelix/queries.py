@@ -347,3 +347,43 @@ QUERIES.update({
     "group_thresholds": q_group_thresholds,
     "threshold_predict": q_threshold_predict,
 })
+
+
+# ---------------------------------------------------------------- scaling (fixture V)
+from pyspark.ml import PipelineModel  # noqa: E402
+
+from .operators import transform as tf  # noqa: E402
+
+SCALE_COLS = ["allele_freq", "allele_count", "allele_GC_content"]
+
+
+def _scaled(spark, sf_dir, scaler, cols=SCALE_COLS, keep=None):
+    df = labelled_features(spark, sf_dir)
+    stages = tf.fit_numeric(df, cols, scaler)
+    out = PipelineModel(stages=stages).transform(df)
+    return out.select("variant_id", *(keep or [f"num_{c}" for c in cols]))
+
+
+def q_impute_standard_scale(spark, sf_dir):
+    return _rounded(_scaled(spark, sf_dir, "standard"))
+
+
+def q_impute_only(spark, sf_dir):
+    return _rounded(_scaled(spark, sf_dir, "none"))
+
+
+def q_robust_scale(spark, sf_dir):
+    return _rounded(_scaled(spark, sf_dir, "robust"))
+
+
+def q_quantile_rank(spark, sf_dir):
+    cols = ["allele_freq", "sample_size"]
+    return _rounded(_scaled(spark, sf_dir, "quantile", cols, keep=[f"_rank_{c}" for c in cols]))
+
+
+QUERIES.update({
+    "impute_standard_scale": q_impute_standard_scale,
+    "impute_only": q_impute_only,
+    "robust_scale": q_robust_scale,
+    "quantile_rank": q_quantile_rank,
+})
