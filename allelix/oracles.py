@@ -416,3 +416,55 @@ rk_{c} AS (SELECT fi.variant_id,
 ORACLES["quantile_rank"] = _w(IMP_CTES + ",\n" + _qrank_ctes("allele_freq") + ",\n" + _qrank_ctes("sample_size"), """
 SELECT a.variant_id, round(a.rank, 6) AS _rank_allele_freq, round(b.rank, 6) AS _rank_sample_size
 FROM rk_allele_freq a JOIN rk_sample_size b ON a.variant_id = b.variant_id""")
+
+
+# ---------------------------------------------------------------- metric tables (fixture P)
+_FOLDS_P = """gsp AS (SELECT pop AS grp, count(*) AS n,
+               row_number() OVER (ORDER BY count(*) DESC, pop) AS i FROM p GROUP BY pop),
+recp(i, loads, grp, n, fold) AS (
+  SELECT 0, [0, 0, 0, 0, 0]::BIGINT[], NULL::VARCHAR, NULL::BIGINT, NULL::INTEGER
+  UNION ALL
+  SELECT gsp.i,
+         list_transform(recp.loads, lambda x, j: CASE WHEN j = list_position(recp.loads, list_min(recp.loads))
+                                                 THEN x + gsp.n ELSE x END),
+         gsp.grp, gsp.n, CAST(list_position(recp.loads, list_min(recp.loads)) - 1 AS INTEGER)
+  FROM recp JOIN gsp ON gsp.i = recp.i + 1),
+foldsp AS (SELECT grp, fold FROM recp WHERE grp IS NOT NULL),
+tvp AS (SELECT grp, max(CASE WHEN cls = 0 THEN threshold END) AS t0, max(CASE WHEN cls = 1 THEN threshold END) AS t1,
+              max(CASE WHEN cls = 2 THEN threshold END) AS t2 FROM thr GROUP BY grp),
+pp AS (SELECT p.*, foldsp.fold,
+         CASE WHEN p0 - t0 >= p1 - t1 AND p0 - t0 >= p2 - t2 THEN 0 WHEN p1 - t1 >= p2 - t2 THEN 1 ELSE 2 END AS yhat_thr,
+         CASE WHEN round(p0, 2) >= round(p1, 2) AND round(p0, 2) >= round(p2, 2) THEN 0
+              WHEN round(p1, 2) >= round(p2, 2) THEN 1 ELSE 2 END AS yhat_r
+       FROM p JOIN foldsp ON p.pop = foldsp.grp LEFT JOIN tvp ON p.pop = tvp.grp)"""
+
+_FM_PARTS = []
+for _model, _scaler, _col in (("argmax", "none", "yhat"), ("coarse", "none", "yhat2"),
+                              ("group_threshold", "none", "yhat_thr"), ("argmax", "rounded", "yhat_r")):
+    _t = f"_{_model}_{_scaler}"
+    _FM_PARTS.append((_t, _model, _scaler, _metric_ctes(f"(SELECT fold, y, {_col} AS yhat FROM pp)", "yhat", "fold", _t)))
+FOLD_METRIC_CTES = ("RECURSIVE " + ROC_CTES + ",\n" + _FOLDS_P + ",\n" + ",\n".join(x[3] for x in _FM_PARTS)
+                    + ",\nfm AS (" + "\nUNION ALL\n".join(
+                        f"SELECT 'pop_aware' AS arm, '{m}' AS model, '{s}' AS scaler, 'model={m}' AS params, "
+                        f"CAST(fold AS INTEGER) AS fold, CAST(sum(support) AS BIGINT) AS n, "
+                        f"sum(tp) / sum(support) AS accuracy, sum(precision * support) / sum(support) AS precision, "
+                        f"sum(recall * support) / sum(support) AS recall, sum(f1 * support) / sum(support) AS f1 "
+                        f"FROM pf{t} GROUP BY fold" for t, m, s, _ in _FM_PARTS) + ")")
+
+ORACLES["cv_summary"] = _w(FOLD_METRIC_CTES, """
+SELECT scaler, model, round(avg(accuracy), 6) AS acc, round(stddev_pop(accuracy), 6) AS acc_std,
+       round(avg(precision), 6) AS prec, round(avg(recall), 6) AS rec, round(avg(f1), 6) AS f1
+FROM fm GROUP BY scaler, model""")
+ORACLES["model_scaler_grid"] = _w(FOLD_METRIC_CTES + """,
+cs AS (SELECT scaler, model, avg(accuracy) AS acc FROM fm GROUP BY scaler, model)""", """
+SELECT model, round(max(CASE WHEN scaler = 'none' THEN acc END), 6) AS "none",
+       round(max(CASE WHEN scaler = 'rounded' THEN acc END), 6) AS rounded
+FROM cs GROUP BY model""")
+ORACLES["best_params"] = _w(FOLD_METRIC_CTES + """,
+mp AS (SELECT scaler, params, avg(accuracy) AS mean_score FROM fm GROUP BY scaler, params),
+rk AS (SELECT *, row_number() OVER (PARTITION BY scaler ORDER BY mean_score DESC, params) AS r FROM mp)""", """
+SELECT scaler, params, round(mean_score, 6) AS mean_score FROM rk WHERE r = 1""")
+ORACLES["best_model"] = _w(FOLD_METRIC_CTES + """,
+am AS (SELECT arm, model, scaler, avg(accuracy) AS accuracy FROM fm GROUP BY arm, model, scaler),
+rk AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, arm, model) AS r FROM am)""", """
+SELECT arm, model, scaler, round(accuracy, 6) AS accuracy FROM rk WHERE r = 1""")

@@ -387,3 +387,67 @@ QUERIES.update({
     "robust_scale": q_robust_scale,
     "quantile_rank": q_quantile_rank,
 })
+
+
+# ---------------------------------------------------------------- metric tables (fixture P)
+from .plans import search as srch  # noqa: E402
+
+
+def fold_metric_table(spark, sf_dir):
+    """Per (model, scaler, fold) metrics of three predictors over fixture P.
+
+    Folds are group k-fold on the population (W4 + J7); the predictors are
+    P's argmax (``argmax``), its coarse argmax (``coarse``) and the
+    per-group threshold rule learned on P (``group_threshold``, W2/W3/K2);
+    the scaler axis records probabilities as given (``none``) or rounded to
+    two places before the argmax (``rounded``).
+    """
+    p, sc = _p_scores(spark, sf_dir)
+    vec = thr.threshold_vectors(thr.group_thresholds(sc, [0, 1, 2]), 3)
+    p = thr.predict_with_thresholds(p, vec, "pop", "probs", 3)
+    rounded = F.transform("probs", lambda x: F.round(x, 2))
+    p = p.withColumn("yhat_r", thr.argmax_shifted(rounded, F.array_repeat(F.lit(0.0), 3)))
+    folds = spl.group_folds(p, "pop", 5)
+    p = spl.assign_folds(p, folds, "pop")
+    preds = {("argmax", "none"): "yhat", ("coarse", "none"): "yhat2",
+             ("group_threshold", "none"): "yhat_thr", ("argmax", "rounded"): "yhat_r"}
+    parts = []
+    for (model, scaler), col in preds.items():
+        cube = met.confusion_cube(p.select("y", F.col(col).alias("yhat"), F.col("fold").cast("string")
+                                           .alias("fold")), "y", "yhat", "fold")
+        s = met.summary(cube, "fold")
+        parts.append(s.select(F.lit("pop_aware").alias("arm"), F.lit(model).alias("model"),
+                              F.lit(scaler).alias("scaler"), F.lit(f"model={model}").alias("params"),
+                              F.col("fold").cast("int").alias("fold"), "n", "accuracy",
+                              "precision", "recall", "f1"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def q_cv_summary(spark, sf_dir):
+    return _rounded(srch.cv_summary(fold_metric_table(spark, sf_dir)))
+
+
+def q_model_scaler_grid(spark, sf_dir):
+    s = srch.cv_summary(fold_metric_table(spark, sf_dir))
+    return _rounded(srch.model_scaler_grid(s, ("none", "rounded")))
+
+
+def q_best_params(spark, sf_dir):
+    return _rounded(srch.best_params(fold_metric_table(spark, sf_dir), key_cols=("scaler",)))
+
+
+def q_best_model(spark, sf_dir):
+    t = fold_metric_table(spark, sf_dir).groupBy("arm", "model", "scaler").agg(
+        F.avg("accuracy").alias("accuracy"))
+    return _rounded(srch.best_model(t))
+
+
+QUERIES.update({
+    "cv_summary": q_cv_summary,
+    "model_scaler_grid": q_model_scaler_grid,
+    "best_params": q_best_params,
+    "best_model": q_best_model,
+})
