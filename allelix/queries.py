@@ -451,3 +451,104 @@ QUERIES.update({
     "best_params": q_best_params,
     "best_model": q_best_model,
 })
+
+
+# ---------------------------------------------------------------- model fits (rows-only)
+import tempfile  # noqa: E402
+
+from .plans import models as mdl  # noqa: E402
+from .session import checkpoint_dir  # noqa: E402
+
+
+def _split_features(spark, sf_dir, binary=False):
+    df = labelled_features(spark, sf_dir, binary=binary)
+    s = spl.stratified_split(df, seed=42)
+    return spl.train_test(s)
+
+
+def _arm_groups(train, test, spec, classes):
+    fitted = mdl.fit_arm(train, spec, classes)
+    ev = mdl.evaluate_arm(fitted, test)
+    return _rounded(ev["groups"])
+
+
+def q_fit_forest(spark, sf_dir):
+    """M1 + M7: population-aware forest arm, per-population hold-out metrics."""
+    tr, te = _split_features(spark, sf_dir)
+    return _arm_groups(tr, te, mdl.ArmSpec(population_aware=True, model="RandomForest"), [0, 1, 2])
+
+
+def q_fit_boosted(spark, sf_dir):
+    """M2 + M7: boosted trees on the binary task (pathogenic vs not), per-population metrics."""
+    tr, te = _split_features(spark, sf_dir, binary=True)
+    return _arm_groups(tr, te, mdl.ArmSpec(population_aware=True, model="XGBoost"), [0, 1])
+
+
+def q_fit_logistic(spark, sf_dir):
+    """M3 + M7: population-agnostic logistic arm, per-population metrics."""
+    tr, te = _split_features(spark, sf_dir)
+    return _arm_groups(tr, te, mdl.ArmSpec(population_aware=False, model="LogisticRegression"), [0, 1, 2])
+
+
+def q_feature_importance(spark, sf_dir):
+    """K1 + J6: top-20 forest feature importances with names."""
+    tr, te = _split_features(spark, sf_dir)
+    fitted = mdl.fit_arm(tr, mdl.ArmSpec(population_aware=False, model="RandomForest"), [0, 1, 2])
+    return _rounded(mdl.feature_importance(fitted, te, 20))
+
+
+def q_score_saved_model(spark, sf_dir):
+    """S7 + S8: fit, save, load, then score the hold-out rows with the loaded model."""
+    tr, te = _split_features(spark, sf_dir)
+    fitted = mdl.fit_arm(tr, mdl.ArmSpec(population_aware=False, model="LogisticRegression"), [0, 1, 2])
+    path = tempfile.mkdtemp(prefix="arm-", dir=checkpoint_dir(spark).replace("file:", ""))
+    mdl.save_arm(fitted, path)
+    loaded = mdl.load_arm(path)
+    out = loaded.transform(te).select("variant_id", "yhat", F.element_at("probs", 2).alias("prob_pathogenic"))
+    return _rounded(out)
+
+
+def q_cv_grid(spark, sf_dir):
+    """M8: group 5-fold CV of the logistic model with the standard scaler
+    (one cell of the scaler x model grid), per-fold metrics."""
+    df = labelled_features(spark, sf_dir)
+    return _rounded(srch.cv_grid(df, scalers=("standard",), models=("LogisticRegression",), k=5,
+                                 parallelism=5))
+
+
+def q_random_search(spark, sf_dir):
+    """Seeded random search (logistic grid: C x penalty), group folds on
+    the training part; per-(params, fold) metrics."""
+    tr, _ = _split_features(spark, sf_dir)
+    table, _, _, _ = srch.random_search(tr, "LogisticRegression", n_draws=20, k=5, parallelism=8)
+    return _rounded(table)
+
+
+def q_holdout(spark, sf_dir):
+    """Hold-out of both arms (standard scaler + forest), 3-class."""
+    df = labelled_features(spark, sf_dir)
+    table, _, _, _ = srch.holdout(df)
+    return _rounded(table)
+
+
+def q_parity_search(spark, sf_dir):
+    """Demographic-parity search on documents by language (fixture L,
+    binary quality label), logistic base model; one row per grid point."""
+    docs = fx.documents_labelled(spark, sf_dir)
+    spec = mdl.ArmSpec(population_aware=True, model="LogisticRegression", group_col="grp",
+                       label_col="y", numeric=("n_chars",), categorical=("grp",), sequence=())
+    _, table = srch.parity_search(docs, spec)
+    return _rounded(table)
+
+
+QUERIES.update({
+    "fit_forest": q_fit_forest,
+    "fit_boosted": q_fit_boosted,
+    "fit_logistic": q_fit_logistic,
+    "feature_importance": q_feature_importance,
+    "score_saved_model": q_score_saved_model,
+    "cv_grid": q_cv_grid,
+    "random_search": q_random_search,
+    "holdout": q_holdout,
+    "parity_search": q_parity_search,
+})
