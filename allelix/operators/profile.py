@@ -79,21 +79,27 @@ def kde_grid(df: DataFrame, col: str, gridsize: int = 200, bins: int | None = No
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, rho) for every ordered pair, from one aggregation of the
-    upper triangle (Spark's ``corr`` skips rows where either side is NULL)."""
+    """(a, b, rho) for every ordered pair.
+
+    One scan: each row is exploded into one (pair, a, b) cell per
+    upper-triangle pair and ``corr`` is aggregated by pair — a partial
+    aggregation over at most c(c+1)/2 keys (Spark's ``corr`` skips rows where
+    either side is NULL, i.e. pairwise-complete). This keeps the generated
+    aggregate small, where one ``agg`` of c(c+1)/2 ``corr`` columns outgrows
+    whole-stage codegen.
+    """
     cols = list(columns)
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{i}_{j}"))
-            pairs.append((i, j))
-    row = df.agg(*aggs)
-    cells = []
-    for i, j in pairs:
-        cells.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
-                              F.col(f"_c{i}_{j}").alias("rho")))
-        if i != j:
-            cells.append(F.struct(F.lit(cols[j]).alias("a"), F.lit(cols[i]).alias("b"),
-                                  F.col(f"_c{i}_{j}").alias("rho")))
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.a", "c.b", "c.rho")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                 F.col(cols[i]).cast("double").alias("x"), F.col(cols[j]).cast("double").alias("y"))
+        for i, j in pairs]))
+    rho = (df.select(cells.alias("c")).select("c.*").groupBy("i", "j")
+           .agg(F.corr("x", "y").alias("rho")))
+    names = F.array(*[F.lit(c) for c in cols])
+    both = F.explode(F.array(
+        F.struct(F.col("i").alias("p"), F.col("j").alias("q")),
+        F.struct(F.col("j").alias("p"), F.col("i").alias("q"))))
+    return (rho.select("rho", both.alias("o")).select("rho", "o.p", "o.q").distinct()
+            .select(F.element_at(names, F.col("p") + 1).alias("a"),
+                    F.element_at(names, F.col("q") + 1).alias("b"), "rho"))

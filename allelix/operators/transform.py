@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Transformer
 from pyspark.ml.feature import (Bucketizer, OneHotEncoder, SQLTransformer, StringIndexer,
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_ppf_sql
+from .quantiles import exact_quantiles
 
 # --- fixed values (library conventions the reference relies on) -------------
 N_QUANTILES = 1000
@@ -36,7 +38,7 @@ CLIP_HI = 5.19933758270342     # inverse normal CDF of 1 - (1e-7 - machine epsil
 MISSING = "missing"
 # ---------------------------------------------------------------------------
 
-EXACT_MAX_ROWS = 50_000_000  # above this, quantiles use percentile_approx
+SMALL_DISTINCT = 10_000  # Spark's exact percentile holds one map entry per distinct value
 
 
 def _q(c: str) -> str:
@@ -50,9 +52,43 @@ def _lit(v: float) -> str:
 
 
 def fit_means(df: DataFrame, cols: Sequence[str]) -> tuple[dict, int]:
+    means, n, _ = _fit_moments(df, cols)
+    return means, n
+
+
+def _fit_moments(df: DataFrame, cols: Sequence[str]) -> tuple[dict, int, dict]:
+    """One pass: row count, means and approximate distinct counts."""
     row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}, row["_n"]
+                 *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    return ({c: row[f"m{i}"] for i, c in enumerate(cols)}, row["_n"],
+            {c: row[f"d{i}"] for i, c in enumerate(cols)})
+
+
+def column_quantiles(df: DataFrame, exprs: dict[str, str], distinct: dict[str, int], n: int,
+                     probs: Sequence[float], method: str = "exact", accuracy: int = 1_000_000) -> dict:
+    """Quantiles per column. ``exact``: Spark's ``percentile`` when the column
+    has few distinct values (its state is one entry per distinct value),
+    otherwise distributed rank selection (``quantiles.exact_quantiles``);
+    columns run as concurrent Spark jobs. ``approx``: ``percentile_approx``."""
+    probs = [float(p) for p in probs]
+    arr = "array(" + ", ".join(repr(p) for p in probs) + ")"
+    if method == "approx":
+        row = df.agg(*[F.expr(f"percentile_approx({e}, {arr}, {accuracy})").alias(f"q{i}")
+                       for i, e in enumerate(exprs.values())]).first()
+        return {c: row[f"q{i}"] for i, c in enumerate(exprs)}
+    small = [c for c in exprs if (distinct.get(c) or 0) <= SMALL_DISTINCT]
+    large = [c for c in exprs if c not in small]
+    out = {}
+    if small:
+        row = df.agg(*[F.expr(f"percentile({exprs[c]}, {arr})").alias(f"q{i}")
+                       for i, c in enumerate(small)]).first()
+        out.update({c: row[f"q{i}"] for i, c in enumerate(small)})
+    if large:
+        with ThreadPoolExecutor(max_workers=min(8, len(large))) as pool:
+            res = pool.map(lambda c: exact_quantiles(df, F.expr(exprs[c]), probs, n=n), large)
+            out.update(dict(zip(large, res)))
+    return out
 
 
 def imputed(c: str, mean) -> str:
@@ -61,13 +97,14 @@ def imputed(c: str, mean) -> str:
 
 
 def fit_numeric(df: DataFrame, cols: Sequence[str], scaler: str = "standard",
-                prefix: str = "num_", exact_max_rows: int = EXACT_MAX_ROWS,
+                prefix: str = "num_", quantiles: str = "exact",
                 accuracy: int = 1_000_000) -> list[Transformer]:
-    """Fit T1 + T2 on ``df``; returns stages adding ``prefix + col`` columns."""
+    """Fit T1 + T2 on ``df``; returns stages adding ``prefix + col`` columns.
+    ``quantiles`` is ``exact`` (default) or ``approx`` for robust/quantile."""
     cols = list(cols)
     if not cols:
         return []
-    means, n = fit_means(df, cols)
+    means, n, distinct = _fit_moments(df, cols)
     imp = {c: imputed(c, means[c]) for c in cols}
     if scaler == "none":
         exprs = {c: imp[c] for c in cols}
@@ -81,18 +118,15 @@ def fit_numeric(df: DataFrame, cols: Sequence[str], scaler: str = "standard",
             mu = 0.0 if means[c] is None else means[c]
             exprs[c] = f"({imp[c]} - {_lit(mu)}) / {_lit(sd)}"
     elif scaler == "robust":
-        pct = "percentile" if n <= exact_max_rows else "percentile_approx"
-        extra = "" if pct == "percentile" else f", {accuracy}"
-        row = df.agg(*[F.expr(f"{pct}({imp[c]}, array(0.25, 0.5, 0.75){extra})").alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
+        qs = column_quantiles(df, imp, distinct, n, [0.25, 0.5, 0.75], quantiles, accuracy)
         exprs = {}
-        for i, c in enumerate(cols):
-            q25, q50, q75 = row[f"q{i}"] or (0.0, 0.0, 0.0)
+        for c in cols:
+            q25, q50, q75 = qs[c] or (0.0, 0.0, 0.0)
             iqr = q75 - q25
             iqr = 1.0 if iqr == 0 else iqr
             exprs[c] = f"({imp[c]} - {_lit(q50)}) / {_lit(iqr)}"
     elif scaler == "quantile":
-        return _fit_quantile(df, cols, imp, n, prefix, exact_max_rows, accuracy)
+        return _fit_quantile(df, cols, imp, n, distinct, prefix, quantiles, accuracy)
     else:
         raise ValueError(f"unknown scaler {scaler!r}")
     stmt = "SELECT *, " + ", ".join(f"{e} AS {_q(prefix + c)}" for c, e in exprs.items()) + " FROM __THIS__"
@@ -117,20 +151,16 @@ def quantile_knots(quantiles: Sequence[float]) -> tuple[list, list, list]:
     return knots, r_lo, r_hi
 
 
-def _fit_quantile(df, cols, imp, n, prefix, exact_max_rows, accuracy) -> list[Transformer]:
+def _fit_quantile(df, cols, imp, n, distinct, prefix, quantiles, accuracy) -> list[Transformer]:
     m = max(1, min(N_QUANTILES, n))
     refs = [i / (m - 1) for i in range(m)] if m > 1 else [0.0]
-    arr = "array(" + ", ".join(repr(r) for r in refs) + ")"
-    pct = "percentile" if n <= exact_max_rows else "percentile_approx"
-    extra = "" if pct == "percentile" else f", {accuracy}"
-    row = df.agg(*[F.expr(f"{pct}({imp[c]}, {arr}{extra})").alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
+    qs = column_quantiles(df, imp, distinct, n, refs, quantiles, accuracy)
     stages: list[Transformer] = []
     pre = "SELECT *, " + ", ".join(f"{imp[c]} AS {_q('_imp_' + c)}" for c in cols) + " FROM __THIS__"
     stages.append(SQLTransformer(statement=pre))
     outs = []
     for i, c in enumerate(cols):
-        knots, r_lo, r_hi = quantile_knots(row[f"q{i}"] or [0.0])
+        knots, r_lo, r_hi = quantile_knots(qs[c] or [0.0])
         splits = [-math.inf] + knots + [math.inf]
         stages.append(Bucketizer(splits=splits, inputCol=f"_imp_{c}", outputCol=f"_bkt_{c}",
                                  handleInvalid="keep"))
