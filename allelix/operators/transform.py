@@ -196,14 +196,25 @@ def quantile_normal_stage(cols, prefix) -> SQLTransformer:
     return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
 
 
-def categorical_stages(cols: Sequence[str], prefix: str = "cat_") -> list[Transformer]:
-    """T1 (constant 'missing') + T3: sorted categories, unseen -> all-zero
-    block (indexer keeps an extra slot that the encoder drops)."""
+def categorical_stages(cols: Sequence[str], prefix: str = "cat_", encoding: str = "onehot") -> list[Transformer]:
+    """T1 (constant 'missing') + T3: sorted categories.
+
+    ``onehot``: sparse one-hot block, unseen -> all-zero block (the indexer
+    keeps an extra slot that the encoder drops) — for linear models.
+    ``index``: the category index itself, carrying nominal metadata, so tree
+    learners split on categories directly; unseen values get the indexer's
+    extra slot. Spark's trees hold one bin index per row and feature, so a
+    4,000-wide one-hot block costs 4,000 slots per row where the index costs 1.
+    """
     cols = list(cols)
     if not cols:
         return []
     fill = ("SELECT *, " + ", ".join(f"coalesce(CAST({_q(c)} AS STRING), '{MISSING}') AS {_q('_s_' + c)}"
                                      for c in cols) + " FROM __THIS__")
+    if encoding == "index":
+        idx = StringIndexer(inputCols=[f"_s_{c}" for c in cols], outputCols=[prefix + c for c in cols],
+                            handleInvalid="keep", stringOrderType="alphabetAsc")
+        return [SQLTransformer(statement=fill), idx]
     idx = StringIndexer(inputCols=[f"_s_{c}" for c in cols], outputCols=[f"_i_{c}" for c in cols],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
     ohe = OneHotEncoder(inputCols=[f"_i_{c}" for c in cols], outputCols=[prefix + c for c in cols],
@@ -211,6 +222,17 @@ def categorical_stages(cols: Sequence[str], prefix: str = "cat_") -> list[Transf
     return [SQLTransformer(statement=fill), idx, ohe]
 
 
+def max_category_arity(pipeline_model) -> int:
+    """Largest number of index slots over the fitted string indexers."""
+    from pyspark.ml.feature import StringIndexerModel
+    arity = 0
+    for st in pipeline_model.stages:
+        if isinstance(st, StringIndexerModel):
+            for labels in st.labelsArray:
+                arity = max(arity, len(labels) + 1)  # + the 'keep' slot
+    return arity
+
+
 def char_count_stage(vocabulary: Sequence[str], columns: Sequence[str], prefix: str = "seq_") -> SQLTransformer:
     """T4 as a stage: one count column per vocabulary character."""
     s = "lower(concat(" + ", ".join(f"coalesce(CAST({_q(c)} AS STRING), '')" for c in columns) + "))"

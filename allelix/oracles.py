@@ -468,3 +468,23 @@ ORACLES["best_model"] = _w(FOLD_METRIC_CTES + """,
 am AS (SELECT arm, model, scaler, avg(accuracy) AS accuracy FROM fm GROUP BY arm, model, scaler),
 rk AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, arm, model) AS r FROM am)""", """
 SELECT arm, model, scaler, round(accuracy, 6) AS accuracy FROM rk WHERE r = 1""")
+
+
+# ---------------------------------------------------------------- sinks, stage store, sets, contract
+ORACLES["csv_roundtrip"] = ORACLES["class_distribution"]
+ORACLES["stage_roundtrip"] = ORACLES["group_metrics"]
+_PW_ROWS = ", ".join(f"('{g}', '{p}')" for g, ps in {
+    "Brand#11": ["DNA repair", "Cell cycle"], "Brand#12": ["DNA repair", "Cancer pathways"],
+    "Brand#23": ["Metabolic pathways", "Pentose phosphate pathway"],
+    "Brand#35": ["Metabolic pathways"]}.items() for p in ps)
+ORACLES["sorted_sets"] = _w(LABELLED_CTES + f""",
+gp AS (SELECT * FROM (VALUES {_PW_ROWS}) t(gene, pathway))""", """
+SELECT (SELECT list_sort(list(DISTINCT population_name)) FROM lab2 WHERE population_name IS NOT NULL) AS populations,
+       (SELECT list_sort(list(DISTINCT mapped_target)) FROM lab2) AS classes,
+       (SELECT list_sort(list(DISTINCT gp.pathway)) FROM lab2 JOIN gp ON lab2.gene = gp.gene) AS pathways,
+       (SELECT count(DISTINCT population_name) FROM lab2) AS n_populations""")
+ORACLES["split_contract"] = _w(SPLIT_CTES, """
+SELECT (SELECT count(*) FROM (SELECT variant_id FROM lab2 EXCEPT ALL SELECT variant_id FROM split)) AS missing,
+       (SELECT count(*) FROM (SELECT variant_id FROM split EXCEPT ALL SELECT variant_id FROM lab2)) AS extra,
+       (SELECT count(*) FROM (SELECT variant_id FROM split WHERE is_test
+                              INTERSECT SELECT variant_id FROM split WHERE NOT is_test)) AS overlap""")

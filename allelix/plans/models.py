@@ -44,6 +44,9 @@ MODEL_NAMES = ("RandomForest", "XGBoost", "LogisticRegression", "FairnessAware")
 # ---------------------------------------------------------------------------
 
 LABEL, WEIGHT, FEATURES = "label", "weight", "features"
+# Spark tree resources (not model semantics): node statistics memory per
+# pass over the data, and node-id caching for deep trees
+TREE_RESOURCES = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 
 
 class OneVsRestBoosted:
@@ -52,7 +55,7 @@ class OneVsRestBoosted:
     def __init__(self, classes, seed: int = 42, **params):
         self.classes = list(classes)
         self.seed = seed
-        self.params = {**BOOSTED_DEFAULTS, **params}
+        self.params = {**TREE_RESOURCES, **BOOSTED_DEFAULTS, **params}
 
     def fit(self, df: DataFrame) -> "OneVsRestBoostedModel":
         models = []
@@ -103,13 +106,13 @@ class OneVsRestBoostedModel:
 def make_estimator(name: str, classes, total_weight: float | None = None, seed: int = 42, **params):
     """M5: estimator factory by name; unknown names are an error."""
     if name == "RandomForest":
-        p = {**FOREST_DEFAULTS, **params}
+        p = {**TREE_RESOURCES, **FOREST_DEFAULTS, **params}
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
                                       seed=seed, **p)
     if name == "XGBoost":
         if len(classes) > 2:
             return OneVsRestBoosted(classes, seed=seed, **params)
-        p = {**BOOSTED_DEFAULTS, **params}
+        p = {**TREE_RESOURCES, **BOOSTED_DEFAULTS, **params}
         return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **p)
     if name == "LogisticRegression":
         p = {**LOGISTIC_DEFAULTS, **params}
@@ -140,6 +143,13 @@ class ArmSpec:
     numeric: tuple | None = None
     categorical: tuple | None = None
     sequence: tuple | None = None
+    # categorical encoding: None = "index" for tree models, "onehot" otherwise
+    encoding: str | None = None
+
+    def cat_encoding(self) -> str:
+        if self.encoding:
+            return self.encoding
+        return "onehot" if self.model == "LogisticRegression" else "index"
 
 
 def prepare_arm(df: DataFrame, spec: ArmSpec) -> DataFrame:
@@ -161,7 +171,7 @@ def feature_stages(train: DataFrame, spec: ArmSpec):
         num += [c for c in train.columns if c.startswith("pathway_")]
     cat = [c for c in cat if c not in spec.drop_categoricals]
     stages = tf.fit_numeric(train, num, spec.scaler)
-    stages += tf.categorical_stages(cat)
+    stages += tf.categorical_stages(cat, encoding=spec.cat_encoding())
     blocks = [f"num_{c}" for c in num] + [f"cat_{c}" for c in cat]
     if spec.include_sequence and seq:
         cc = CharCounts(columns=tuple(seq)).fit(train)
@@ -199,6 +209,15 @@ class ArmModel:
         return out.withColumn("yhat", F.col("prediction").cast("int"))
 
 
+def estimator_for(spec: ArmSpec, feats: PipelineModel, classes, total_w: float, seed: int = 42):
+    """M5 with the arm's parameters; index-encoded categories need at least
+    one tree bin per category of the widest categorical feature."""
+    params = dict(spec.params)
+    if spec.cat_encoding() == "index" and spec.model != "LogisticRegression":
+        params.setdefault("maxBins", max(32, tf.max_category_arity(feats)))
+    return make_estimator(spec.model, classes, total_w, seed, **params)
+
+
 def fit_arm(train: DataFrame, spec: ArmSpec, classes, seed: int = 42) -> ArmModel:
     """Fit the arm's feature pipeline and classifier on training rows."""
     arm = with_label_weight(prepare_arm(train, spec), spec.label_col)
@@ -207,7 +226,7 @@ def fit_arm(train: DataFrame, spec: ArmSpec, classes, seed: int = 42) -> ArmMode
         [spec.group_col] if spec.group_col in arm.columns else []))
     x = x.persist()
     total_w = x.agg(F.sum(WEIGHT)).first()[0]
-    est = make_estimator(spec.model, classes, total_w, seed, **spec.params)
+    est = estimator_for(spec, feats, classes, total_w, seed)
     if isinstance(est, GroupThresholdClassifier):
         est.group_col = spec.group_col if spec.group_col in arm.columns else None
     model = est.fit(x)
@@ -241,7 +260,8 @@ class GroupThresholdClassifier:
 
     def fit(self, x: DataFrame) -> "GroupThresholdModel":
         base = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                      seed=self.seed, **{**FOREST_DEFAULTS, **self.params}).fit(x)
+                                      seed=self.seed,
+                                      **{**TREE_RESOURCES, **FOREST_DEFAULTS, **self.params}).fit(x)
         scored = base.transform(x).withColumn("probs", vector_to_array("probability"))
         g = self.group_col
         scored = scored.withColumn("_grp", F.col(g) if g else F.lit("all"))

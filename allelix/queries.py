@@ -553,3 +553,56 @@ QUERIES.update({
     "holdout": q_holdout,
     "parity_search": q_parity_search,
 })
+
+
+# ---------------------------------------------------------------- sinks, stage store, sets, contract
+from .sources.readers import write_table  # noqa: E402
+from .sources.stages import StageStore  # noqa: E402
+
+
+def _scratch(spark, prefix):
+    return tempfile.mkdtemp(prefix=prefix, dir=checkpoint_dir(spark).replace("file:", ""))
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """S3: class distribution written as header CSV to the shared folder and read back."""
+    path = _scratch(spark, "csv-") + "/class_distribution"
+    write_table(q_class_distribution(spark, sf_dir), path, "csv")
+    return spark.read.schema("mapped_target STRING, n BIGINT, share DOUBLE").option("header", True).csv(path)
+
+
+def q_stage_roundtrip(spark, sf_dir):
+    """S4 + S5: per-group metrics saved as a stage, then the latest entry
+    for (stage, mode, fingerprint) loaded back through the manifest."""
+    store = StageStore(spark, _scratch(spark, "stages-"))
+    store.save("group_metrics", q_group_metrics(spark, sf_dir), "three_class", "fp")
+    return store.load("group_metrics", "three_class", "fp")
+
+
+def q_sorted_sets(spark, sf_dir):
+    """A4 + K5: sorted distinct populations, classes and (data-present) pathways."""
+    df = _labelled(spark, sf_dir)
+    gp = F.create_map(*[x for g, ps in FIXTURE_PATHWAYS.items()
+                        for x in (F.lit(g), F.array(*[F.lit(p) for p in ps]))])
+    paths = F.explode(F.coalesce(F.try_element_at(gp, F.col("gene")), F.array().cast("array<string>")))
+    return (df.select("population_name", "mapped_target", paths.alias("pathway"))
+            .agg(F.array_sort(F.collect_set("population_name")).alias("populations"),
+                 F.array_sort(F.collect_set("mapped_target")).alias("classes"),
+                 F.array_sort(F.collect_set("pathway")).alias("pathways"),
+                 F.countDistinct("population_name").alias("n_populations")))
+
+
+def q_split_contract(spark, sf_dir):
+    """Train ∪ test = input, train ∩ test = ∅ (counts of violations)."""
+    df = _labelled(spark, sf_dir).select("variant_id", "population_name", "target_encoded")
+    c = spl.split_contract(df, spl.stratified_split(df, seed=42))
+    return spark.createDataFrame([(c["missing"], c["extra"], c["overlap"])],
+                                 "missing BIGINT, extra BIGINT, overlap BIGINT")
+
+
+QUERIES.update({
+    "csv_roundtrip": q_csv_roundtrip,
+    "stage_roundtrip": q_stage_roundtrip,
+    "sorted_sets": q_sorted_sets,
+    "split_contract": q_split_contract,
+})
