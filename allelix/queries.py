@@ -454,12 +454,17 @@ QUERIES.update({
 
 
 # ---------------------------------------------------------------- model fits (rows-only)
-import tempfile  # noqa: E402
+import uuid  # noqa: E402
 
 from .plans import models as mdl  # noqa: E402
 from .session import checkpoint_dir  # noqa: E402
 
 
+def _scratch(spark, prefix):
+    """A fresh path under the shared checkpoint folder (Spark creates it)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{prefix}{uuid.uuid4().hex}"
+
+
 def _split_features(spark, sf_dir, binary=False):
     df = labelled_features(spark, sf_dir, binary=binary)
     s = spl.stratified_split(df, seed=42)
@@ -501,7 +506,7 @@ def q_score_saved_model(spark, sf_dir):
     """S7 + S8: fit, save, load, then score the hold-out rows with the loaded model."""
     tr, te = _split_features(spark, sf_dir)
     fitted = mdl.fit_arm(tr, mdl.ArmSpec(population_aware=False, model="LogisticRegression"), [0, 1, 2])
-    path = tempfile.mkdtemp(prefix="arm-", dir=checkpoint_dir(spark).replace("file:", ""))
+    path = _scratch(spark, "arm-")
     mdl.save_arm(fitted, path)
     loaded = mdl.load_arm(path)
     out = loaded.transform(te).select("variant_id", "yhat", F.element_at("probs", 2).alias("prob_pathogenic"))
@@ -560,10 +565,6 @@ from .sources.readers import write_table  # noqa: E402
 from .sources.stages import StageStore  # noqa: E402
 
 
-def _scratch(spark, prefix):
-    return tempfile.mkdtemp(prefix=prefix, dir=checkpoint_dir(spark).replace("file:", ""))
-
-
 def q_csv_roundtrip(spark, sf_dir):
     """S3: class distribution written as header CSV to the shared folder and read back."""
     path = _scratch(spark, "csv-") + "/class_distribution"
