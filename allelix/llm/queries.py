@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, secret_scan, source_mix, token_binary, url_filter
+from . import line_dedup, minhash_dedup, quality_rules, secret_scan, source_mix, token_binary, url_filter
 
 URL_RULES = (url_filter.HostRule("net/", False), url_filter.HostRule("example.net/en/", True),
              url_filter.HostRule("example.com/de/", False), url_filter.HostRule("org/fr", True))
@@ -45,6 +45,13 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash_dedup.near_groups(read(spark, sf_dir, "documents"), n=2)
+    known = lambda c: F.when(F.col(c) != minhash_dedup.NO_ID, F.col(c))
+    return groups.select(known("_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"),
+                         (F.col("_id") == F.col("component")).alias("kept"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_binary.new_folder(spark, "tokens")
     token_binary.write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -67,6 +74,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_token_binary": op8_token_binary,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,

@@ -55,6 +55,14 @@ def test_op5(spark, data):
     assert again == sorted(((r.doc_id, r.size, r.taken) for r in df), key=none_last)
 
 
+def test_op6(spark, data):
+    d, docs = data
+    got = rows(Q.op6_minhash_dedup(spark, d), "doc_id", "n_shingles", "component_id", "kept")
+    want = [(i, n, None if c == brute.BIG else c, (brute.BIG if i is None else i) == c)
+            for i, n, c in brute.near([r[:2] for r in docs])]
+    assert got == sorted(want, key=none_last)
+
+
 def test_op8(spark, data):
     d, docs = data
     tok = Tokenizer.from_file(public_tokenizers.path(Q.TOKENIZER))
