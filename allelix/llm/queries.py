@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash_dedup, quality_rules, secret_scan, source_mix, token_binary, url_filter
+from . import decontaminate, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mix, token_binary, url_filter
 
 URL_RULES = (url_filter.HostRule("net/", False), url_filter.HostRule("example.net/en/", True),
              url_filter.HostRule("example.com/de/", False), url_filter.HostRule("org/fr", True))
@@ -52,6 +52,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("_id") == F.col("component")).alias("kept"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_binary.new_folder(spark, "tokens")
     token_binary.write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_binary": op8_token_binary,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
