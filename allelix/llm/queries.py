@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mix, token_binary, url_filter
+from . import decontaminate, line_dedup, minhash_dedup, pii_tagger, quality_rules, secret_scan, source_mix, token_binary, url_filter
 
 URL_RULES = (url_filter.HostRule("net/", False), url_filter.HostRule("example.net/en/", True),
              url_filter.HostRule("example.com/de/", False), url_filter.HostRule("org/fr", True))
@@ -25,6 +25,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii_tagger.find_private(read(spark, sf_dir, "documents"))
+    return spans.mapInArrow(pii_tagger.digest, pii_tagger.DIGEST)
+
+
 def _kept_digest(batches):
     for b in batches:
         kept = [line_dedup.kept_text(t, m) for t, m in zip(*(b.column(c).to_pylist() for c in ("_text", "keep_bitmap")))]
@@ -76,6 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_pii_tagger": op2_pii_tagger,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_minhash_dedup": op6_minhash_dedup,

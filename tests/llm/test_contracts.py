@@ -24,6 +24,22 @@ def data(request, spark, case_dir, case_rows):
     return (case_dir, case_rows) if request.param == "cases" else (SF001, sf_rows(spark))
 
 
+def test_op2(spark, data):
+    d, docs = data
+    got = rows(Q.op2_pii_tagger(spark, d), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    order = ("email", "ip", "card", "phone")
+    want = []
+    for i, t, _ in docs:
+        s = brute.pii_base(t)
+        n = [sum(k == x for k, *_ in s) for x in order]
+        want.append((i, *n, brute.sha(",".join(f"{k}:{a}:{z}" for k, a, z in s)), s))
+    want.sort(key=lambda r: none_last(r[:6]))
+    assert [r[:6] for r in got] == [r[:6] for r in want]
+    for r, w in zip(got, want):
+        every = [(k, int(a), int(z)) for k, a, z in spans_of(r[6])]
+        assert set(w[6]) <= set(every) and every == sorted(every, key=lambda s: (order.index(s[0]), s[1]))
+
+
 def test_op4(spark, data):
     d, docs = data
     got = rows(Q.op4_line_dedup(spark, d), "doc_id", "n_lines", "n_dropped", "kept_sha256")
