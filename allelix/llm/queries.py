@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash_dedup, pii_tagger, quality_rules, secret_scan, source_mix, token_binary, url_filter
+from . import decontaminate, line_dedup, minhash_dedup, pii_tagger, quality_rules, secret_scan, source_mix, suffix_dedup, token_binary, url_filter
 
 URL_RULES = (url_filter.HostRule("net/", False), url_filter.HostRule("example.net/en/", True),
              url_filter.HostRule("example.com/de/", False), url_filter.HostRule("org/fr", True))
@@ -30,6 +30,10 @@ def op2_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.mapInArrow(pii_tagger.digest, pii_tagger.DIGEST)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), suffix_dedup.digest, suffix_dedup.DIGEST)
+
+
 def _kept_digest(batches):
     for b in batches:
         kept = [line_dedup.kept_text(t, m) for t, m in zip(*(b.column(c).to_pylist() for c in ("_text", "keep_bitmap")))]
@@ -82,6 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii_tagger": op2_pii_tagger,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_minhash_dedup": op6_minhash_dedup,

@@ -40,6 +40,12 @@ def test_op2(spark, data):
         assert set(w[6]) <= set(every) and every == sorted(every, key=lambda s: (order.index(s[0]), s[1]))
 
 
+def test_op3(spark, data):
+    d, docs = data
+    got = rows(Q.op3_suffix_dedup(spark, d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.repeats([r[:2] for r in docs]), key=none_last)
+
+
 def test_op4(spark, data):
     d, docs = data
     got = rows(Q.op4_line_dedup(spark, d), "doc_id", "n_lines", "n_dropped", "kept_sha256")
