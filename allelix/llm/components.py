@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelix.session import cut_lineage
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31)))).first())
@@ -18,7 +20,7 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node."""
     now = edges.where(F.col(a) != F.col(b)).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
+        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().transform(cut_lineage)
     seen = _state(now)
     while True:
         # large star: neighbours above a node go to the smallest of its neighbourhood
@@ -30,7 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         now = (small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-               .unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint())
+               .unionByName(low.select("u", F.col("m").alias("v"))).distinct().transform(cut_lineage))
         state = _state(now)
         if state == seen:
             break

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allelix.session import cut_lineage
+
 MASKS = ("11011011", "10111101", "11100111")
 SPAN, STRIDE = 8, 4
 REACH = 64
@@ -72,7 +74,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = len(MASKS)
     place = lambda stride: (F.floor(F.col("k") / n) * stride).cast("int")
     ours = items.select("item", F.posexplode(_seeds(F.col("tokens"), 1)).alias("k", "key")).select(
-        "key", "item", place(1).alias("item_at")).distinct().checkpoint()
+        "key", "item", place(1).alias("item_at")).distinct().transform(cut_lineage)
     theirs = docs.select("_id", "_th", F.posexplode(_seeds(token_hashes(F.col("_text")), STRIDE)).alias("k", "key"))
     return theirs.join(_small(ours), "key").select("_id", "_th", place(STRIDE).alias("at"), "item", "item_at").distinct()
 
@@ -102,7 +104,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(_id, _th, item, matches, length): verified overlaps, the best of each (document, item)."""
     named = _named(docs, id_col, text_col)
     items = benchmark.select(F.col(item_id_col).alias("item"), token_hashes(F.col(item_text_col)).alias("tokens"))
-    found = hits(named, items).checkpoint()  # few rows, read three times
+    found = hits(named, items).transform(cut_lineage)  # few rows, read three times
     # texts of documents with hits alone go on
     some = named.join(_small(found.select("_id", "_th").distinct()).select(
         F.col("_id").alias("_hid"), F.col("_th").alias("_hth")),
@@ -150,6 +152,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                       text_col: str = "text") -> DataFrame:
     """The clean input rows, columns unchanged."""
     bad = overlaps(docs, benchmark, id_col, text_col).select(
-        F.col("_id").alias("_bid"), F.col("_th").alias("_bth")).distinct().checkpoint()
+        F.col("_id").alias("_bid"), F.col("_th").alias("_bth")).distinct().transform(cut_lineage)
     return docs.join(_small(bad), F.col(id_col).eqNullSafe(F.col("_bid"))
                      & (F.xxhash64(text_col) == F.col("_bth")), "left_anti")

@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from allelix.session import cut_lineage
+
 from .components import connected_components
 from .shingles import mix64, shingle_set
 
@@ -178,10 +180,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest id that links reach, the group a number of this run that
     tells groups apart even where rows repeat an id (null for the empty set)."""
     # sizes, hashes and band keys: some hundred bytes a document, read by all later steps
-    rows = sketches(docs, id_col, text_col, n).checkpoint()
+    rows = sketches(docs, id_col, text_col, n).transform(cut_lineage)
     grouped = (rows.where("n > 0").groupBy("hi", "lo")
                .agg(F.min(F.struct("_id", "_th")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-               .select("hi", "lo", "least.*", "n", "bands").checkpoint())
+               .select("hi", "lo", "least.*", "n", "bands").transform(cut_lineage))
     nodes = grouped.withColumn("node", F.monotonically_increasing_id())  # over stored rows: always the same
     links = _links(nodes, _named(docs, id_col, text_col), n, percent)
     comps = connected_components(links)
@@ -199,7 +201,7 @@ def _links(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     """Confirmed links (a, b) that connect whatever similar classes share a bucket."""
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = keyed.join(shared, "key").select("key", "node", F.col("n").alias("size")).checkpoint()
+    members = keyed.join(shared, "key").select("key", "node", F.col("n").alias("size")).transform(cut_lineage)
     links = tested = None
     label = None
     rounds = 0
@@ -211,7 +213,7 @@ def _links(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
             active = active.withColumn("component", F.col("node"))
         spans = (active.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                  .where("lo < hi").select("key"))
-        active = active.join(spans, "key").checkpoint()
+        active = active.join(spans, "key").transform(cut_lineage)
         if active.isEmpty():
             break
         centres = (active.withColumn("g", F.pmod(F.xxhash64("node"), F.lit(4 ** rounds)))
@@ -224,14 +226,14 @@ def _links(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                  .select(F.least("c", "node").alias("c"), F.greatest("c", "node").alias("x")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["c", "x"], "left_anti")
-        pairs = pairs.checkpoint()
-        found = confirmed(pairs, nodes, docs, n, percent).checkpoint()
-        links = found if links is None else links.unionByName(found).checkpoint()
-        tested = pairs if tested is None else tested.unionByName(pairs).checkpoint()
-        label = connected_components(links).checkpoint()
+        pairs = pairs.transform(cut_lineage)
+        found = confirmed(pairs, nodes, docs, n, percent).transform(cut_lineage)
+        links = found if links is None else links.unionByName(found).transform(cut_lineage)
+        tested = pairs if tested is None else tested.unionByName(pairs).transform(cut_lineage)
+        label = connected_components(links).transform(cut_lineage)
         # all pairs of a centre in its bucket are decided: it leaves
         members = active.join(centres.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti").select(
-            "key", "node", "size").checkpoint()
+            "key", "node", "size").transform(cut_lineage)
         rounds += 1
     if links is None:
         links = nodes.sparkSession.createDataFrame([], "a bigint, b bigint")

@@ -38,6 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelix.session import cut_lineage
+
 from .lstm_crf import Tagger, symbols
 
 KINDS = ("email", "ip", "card", "phone")
@@ -166,7 +168,7 @@ def labelled_windows(docs: DataFrame, text_col: str = "text", most: int = SAMPLE
     corpus, equal for equal corpora."""
     # each task keeps its smallest hashes, so the stored table has 2 * most rows a task at most
     found = docs.select(F.col(text_col).alias("_text")).mapInArrow(
-        _windows(seed, most), "has int, rank bigint, piece string, tags binary").distinct().checkpoint()
+        _windows(seed, most), "has int, rank bigint, piece string, tags binary").distinct().transform(cut_lineage)
     drawn = [found.where(F.col("has") == has).orderBy("rank", "piece").limit(most) for has in (0, 1)]
     return drawn[0].unionByName(drawn[1])
 

@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelix.session import cut_lineage
+
 KINDS = ("assign", "access", "hex", "token")
 MAX_OWNERS = 1
 MIN_BITS = 3.5  # Shannon bits per character of a live-looking value
@@ -129,7 +131,7 @@ def graded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """
     # few rows of numbers, read by the count and by the join: the texts are scanned once
     found = scan(docs, id_col, text_col, owner_col, repo_col).withColumn(
-        "_row", F.monotonically_increasing_id()).checkpoint()
+        "_row", F.monotonically_increasing_id()).transform(cut_lineage)
     owned = ownership(found, max_owners)
     each = found.where(F.size("found") > 0).select("_row", F.explode("found").alias("s")).join(
         owned, F.col("s.value") == F.col("value"))

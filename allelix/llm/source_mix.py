@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelix.operators.ordering import running_sum
+from allelix.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -77,7 +78,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
                      ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
     table = order.select("_src", "source_size", w.alias("_w"),
-                         (F.col("source_size") * F.lit(float(max_repeat))).alias("_most")).checkpoint()
+                         (F.col("source_size") * F.lit(float(max_repeat))).alias("_most")).transform(cut_lineage)
     total = table.agg(F.sum("source_size")).first()[0] or 0
     left, level = total * total_share, 0.0
     done = -1
@@ -224,8 +225,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``spans`` are [from word, to word, times] of the document's taken words.
     """
     # the sizes are read by several jobs; without this each would read all texts
-    sizes = word_sizes(docs, id_col, text_col, source_col).checkpoint()
-    targets = source_targets(sizes, weights, total_share, max_repeat).checkpoint()
+    sizes = word_sizes(docs, id_col, text_col, source_col).transform(cut_lineage)
+    targets = source_targets(sizes, weights, total_share, max_repeat).transform(cut_lineage)
     total = sizes.agg(F.sum("size")).first()[0] or 0
     n_shards = max(1, -(-total // shard_words))
     u = F.xxhash64(F.col("_id"), F.col("_th"), F.lit(seed))
