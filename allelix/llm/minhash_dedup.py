@@ -254,7 +254,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                        F.xxhash64(text_col).alias("_th"),
                        (F.translate(F.coalesce(F.col(text_col), F.lit("")), " \t\n\x0b\x0c\r", "") != "").alias("_some"))
     # rows equal in id and text are one group: the first by content stays
-    nth = Window.partitionBy("_id", "_th").orderBy(F.to_json("_row"))
+    nth = Window.partitionBy("_id", "_th").orderBy(F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in docs.columns
+                                                                        if c != text_col])))
     kept = rows.where("_some").join(one, ["_id", "_th"], "left_semi").withColumn(
         "_nth", F.row_number().over(nth)).where("_nth = 1")
     return kept.select("_row.*").unionByName(rows.where("NOT _some").select("_row.*"))

@@ -9,28 +9,30 @@ _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 LINE_DEDUP = f"""
 WITH l AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents),
-k AS (SELECT doc_id, line, at, translate(trim(line, {_WS}), {_UPPER}) AS key FROM l),
+k AS (SELECT doc_id, line, pos, translate(trim(line, {_WS}), {_UPPER}) AS key FROM l),
 shared AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10
            GROUP BY key HAVING count(DISTINCT doc_id) > 1),
 m AS (SELECT k.*, coalesce(k.doc_id <> s.keeper, false) AS gone FROM k LEFT JOIN shared s ON k.key = s.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
 
 QUALITY_RULES = f"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
-         list_filter(string_split(translate(coalesce(text, ''), {_WS}, '      '), ' '), x -> x <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> trim(x, {_WS}) <> '') AS lines
+         list_filter(string_split(translate(coalesce(text, ''), {_WS}, '      '), ' '), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {_WS}) <> '') AS lines
   FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
-h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM g),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i,
+             unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) AS win
+      FROM w WHERE len(words) >= 3),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM h, (VALUES (0), (1), (2)) o(k) WHERE n > 1 GROUP BY doc_id),
 m AS (
-  SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS word_chars,
+  SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
          length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
          len(lines) AS n_lines, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper
@@ -47,7 +49,53 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, f, substr(h, 2 * f + 1, 498) AS part  -- 200 starts each
+      FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 200)) AS f FROM d)),
+w AS (SELECT doc_id, f + s AS s, md5_number(substr(part, 2 * s + 1, 100)) AS k
+      FROM (SELECT doc_id, f, part, unnest(range(length(part) // 2 - 49)) AS s FROM p)),
+least AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT w.doc_id, w.s FROM w JOIN least ON w.k = least.k WHERE w.doc_id > least.m),
+edges AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh
+          FROM gone),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS z
+         FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM edges) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM runs
+        UNION ALL SELECT d.doc_id, coalesce(max(r.z), 0), length(any_value(d.h)) // 2
+        FROM d LEFT JOIN runs r ON d.doc_id = r.doc_id GROUP BY d.doc_id),
+kept AS (SELECT cut.doc_id, string_agg(substr(d.h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS h
+         FROM cut JOIN d ON cut.doc_id = d.doc_id GROUP BY cut.doc_id),
+n AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n.removed, 0)::BIGINT AS n_removed,
+       coalesce(n.spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+MINHASH_DEDUP = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split(translate(translate(coalesce(text, ''), {_UPPER}), {_WS}, '      '), ' '),
+                             lambda x: x <> '') AS words
+  FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(words) = 1 THEN [words[1]] ELSE [words[i], words[i + 1]] END AS sh
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words), 2))) AS i FROM w WHERE len(words) > 0)),
+s AS (SELECT DISTINCT doc_id, sh FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh
+      WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM b JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id
+      WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.low, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(c.low, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a
+"""
+
 ORACLES = {
+    "op3_suffix_dedup": SUFFIX_DEDUP,
     "op4_line_dedup": LINE_DEDUP,
+    "op6_minhash_dedup": MINHASH_DEDUP,
     "op10_quality_rules": QUALITY_RULES,
 }

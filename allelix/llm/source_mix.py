@@ -264,7 +264,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        F.col(id_col).cast("bigint").alias("_rid"), F.xxhash64(text_col).alias("_rth"))
     rows = rows.withColumn("_rnth", F.row_number().over(
-        Window.partitionBy("_rid", "_rth").orderBy(F.to_json("_row"))))
+        Window.partitionBy("_rid", "_rth").orderBy(F.to_json(F.struct(
+            *[F.col(f"_row.`{c}`") for c in docs.columns if c != text_col])))))
     cond = (F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rth") == F.col("_th")) & (F.col("_rnth") == F.col("_nth")))
     hit = rows.join(spans, cond).select("_row", F.col(f"_row.{text_col}").alias("_text"), "spans")
 
