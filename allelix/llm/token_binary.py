@@ -108,13 +108,15 @@ def encode_levels(ids: np.ndarray, width: int = WIDTH) -> list[tuple[bytes, byte
 
 # ------------------------------------------------------------- the tokenizer
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct piece once.
+    """Ids of whole texts by the tokenizers library, each distinct word once.
 
     The byte-level pre-tokenizer always starts a new word at a space that is
     followed by a character other than white space, whatever stands before
     it. Cut there, a text falls into pieces whose ids don't depend on their
-    neighbours. Unknown pieces are encoded by the library, joined by spaces
-    into one call, and kept; the table is emptied when it is full.
+    neighbours. Inside a piece, a single line end between other characters
+    and the stops behind a run of letters are words of their own too. Unknown
+    words are encoded by the library, joined into one call, and kept; a
+    table is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -124,80 +126,90 @@ class PieceEncoder:
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.line_end = self.ids("\n")
+        self.spaced: dict[str, bytes] = {}  # words behind a space
+        self.bare: dict[str, bytes] = {"\n": self.line_end.tobytes()}
 
     def ids(self, text: str) -> np.ndarray:
         """The library's own answer for one text."""
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        # a piece holds no space, so ids that begin with one mark the pieces
-        ids = self.ids(" " + " ".join(pieces))
-        cut = np.concatenate([np.nonzero(self.opens[ids])[0], [len(ids)]])
-        if len(cut) != len(pieces) + 1:
-            raise RuntimeError("pieces and ids don't match")
-        raw, cut = ids.tobytes(), (cut * 4).tolist()
-        for p, a, z in zip(pieces, cut, cut[1:]):
-            self.spaced[p] = raw[a:z]
-
-    def _bare(self, piece: str) -> bytes:
-        got = self.bare.get(piece)
-        if got is None:
-            if len(self.bare) >= CACHE_PIECES:
-                self.bare.clear()
-            got = self.bare[piece] = self.ids(piece).tobytes()
-        return got
+    def _learn(self, words: set[str], table: dict[str, bytes], sep: str) -> None:
+        """Encode words that hold no ``sep`` in one call: its ids mark where each begins."""
+        if not words:
+            return
+        order = list(words)
+        ids = self.ids(sep + sep.join(order))
+        at = np.nonzero(self.opens[ids] if sep == " " else ids == self.line_end[0])[0]
+        if len(at) != len(order):
+            raise RuntimeError("words and ids don't match")
+        raw, skip = ids.tobytes(), 0 if sep == " " else 4
+        stop = [*(at[1:] * 4).tolist(), len(raw)]
+        for w, lo, hi in zip(order, (at * 4).tolist(), stop):
+            table[w] = raw[lo + skip:hi]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        cut = []
-        for t in texts:
-            t = t or ""
-            if _ODD_SPACE.search(t):
-                cut.append(_CUT.split(t))
-            else:
-                cut.append(t.split(" "))
-        unknown: set[str] = set()
+        if len(self.spaced) + len(self.bare) > CACHE_PIECES:
+            self.spaced.clear()
+            self.bare.clear()
+            self.bare["\n"] = self.line_end.tobytes()
+        spaced, bare = self.spaced, self.bare
+        cut = [_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        every: set[str] = set()
         for pieces in cut:
-            unknown.update(pieces[1:])
-        unknown.difference_update(self.spaced)
-        if unknown:
-            if len(self.spaced) + len(unknown) > CACHE_PIECES:
-                self.spaced.clear()
-                unknown = set().union(*(p[1:] for p in cut))
-            # cut inside a piece once more where its parts are known to be apart
-            self._learn_parts(unknown)
-        spaced = self.spaced
-        return [self._bare(p[0]) + b"".join([spaced[x] for x in p[1:]]) if p[0] or len(p) > 1 else b"" for p in cut]
-
-    def _learn_parts(self, unknown: set[str]) -> None:
-        plain: set[str] = set()
-        later: list[tuple[str, list[str], list[str]]] = []
-        for p in unknown:
-            if " " in p or _WHITE.search(p.replace("\n", "x")):
-                # white space that is not a single line end: the library takes the piece whole
-                self.spaced[p] = self.ids(" " + p).tobytes()
+            every.update(pieces[1:])
+        parts: dict[str, list[str]] = {}  # pieces of several words
+        made: dict[str, bytes] = {}  # their ids, for this batch
+        new_spaced: set[str] = set()
+        new_bare: set[str] = set()
+        for piece in every:
+            if piece in spaced:
                 continue
-            # a single line end between other characters is a word of its own
-            head, *lines = p.split("\n")
-            if lines and ("" in lines or not head):
-                self.spaced[p] = self.ids(" " + p).tobytes()
+            if piece.isalpha():
+                new_spaced.add(piece)
                 continue
-            parts = []
-            stem = head.rstrip(_STOPS)
-            if len(stem) < len(head) and stem.isalpha():
-                plain.add(stem)
-                parts.append(head[len(stem):])
-            else:
-                plain.add(stem := head)
-            if lines or parts:
-                later.append((p, [stem], [*parts, *(x for y in lines for x in ("\n", y))]))
-        fresh = sorted(plain.difference(self.spaced))
-        if fresh:
-            self._learn(fresh)
-        for p, (stem,), rest in later:
-            self.spaced[p] = self.spaced[stem] + b"".join([self._bare(x) for x in rest])
+            words = _words_of(piece)
+            if words is None:
+                made[piece] = self.ids(" " + piece).tobytes()
+                continue
+            if words[0] not in spaced:
+                new_spaced.add(words[0])
+            if len(words) > 1:
+                parts[piece] = words
+                new_bare.update(w for w in words[1:] if w not in bare)
+        self._learn(new_spaced, spaced, " ")
+        self._learn(new_bare, bare, "\n")
+        for piece, (head, *rest) in parts.items():
+            made[piece] = spaced[head] + b"".join([bare[w] for w in rest])
+
+        out = []
+        get, special = spaced.get, made.get
+        for pieces in cut:
+            head = self.ids(pieces[0]).tobytes() if pieces[0] else b""
+            out.append(head + b"".join([get(x) or special(x) for x in pieces[1:]]))
+        return out
+
+
+def _words_of(piece: str) -> list[str] | None:
+    """A piece as words that the library encodes apart, the first one behind a
+    space; None if its white space is not single line ends between other characters."""
+    stem = piece.rstrip(_STOPS)
+    if stem.isalpha():
+        return [stem, piece[len(stem):]]
+    lines = piece.split("\n")
+    if "" in lines or any(map(_WHITE.search, lines)):
+        return None
+    out = _stops_off(lines[0])
+    for line in lines[1:]:
+        out.append("\n")
+        out += _stops_off(line)
+    return out
+
+
+def _stops_off(word: str) -> list[str]:
+    stem = word.rstrip(_STOPS)
+    return [stem, word[len(stem):]] if stem != word and stem.isalpha() else [word]
 
 
 _ODD_SPACE = re.compile(r" (?!\S)")
