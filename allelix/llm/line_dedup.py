@@ -24,6 +24,7 @@ that repeat both id and text have the same bitmap, one row for each distinct
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -220,3 +221,15 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, fn, schema: str, id_col:
     maps = bitmaps.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_th"),
                           "n_lines", "n_dropped", "keep_bitmap")
     return keyed.join(maps, ["_id", "_th"]).drop("_th").mapInArrow(fn, schema)
+
+
+def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest columns of the query."""
+    for b in batches:
+        sha = [hashlib.sha256(kept_text(t, m).encode("utf-8", "surrogatepass")).hexdigest()
+               for t, m in zip(b.column("_text").to_pylist(), b.column("keep_bitmap").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("n_lines"), b.column("n_dropped"),
+                                          pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+
+
+DIGEST = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"

@@ -3,9 +3,6 @@ with production parameters, over its whole table."""
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +31,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), suffix_dedup.digest, suffix_dedup.DIGEST)
 
 
-def _kept_digest(batches):
-    for b in batches:
-        kept = [line_dedup.kept_text(t, m) for t, m in zip(*(b.column(c).to_pylist() for c in ("_text", "keep_bitmap")))]
-        sha = [hashlib.sha256(k.encode("utf-8", "surrogatepass")).hexdigest() for k in kept]
-        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("n_lines"), b.column("n_dropped"), pa.array(sha)],
-                                         ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
-
-
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), _kept_digest,
-                                   "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), line_dedup.digest, line_dedup.DIGEST)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != line_dedup.NO_ID, F.col("doc_id")))
 
 
