@@ -6,12 +6,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import sequence_columns, severity
 from ..functions.stats import safe_div
-from .joins import DEFAULT_BROADCAST_ROWS
+from ..session import cut_lineage
 
 LABEL_COLUMNS = ("clinical_significance", "mapped_target", "target_encoded")
 
@@ -64,36 +64,37 @@ class GroupMeans:
     """T8 estimator: per-group mean of a numeric column (A3), global fallback.
 
     ``fit`` aggregates (map-side partial aggregation; a hot group costs one
-    partial row per task, not one task). ``transform`` joins the per-group
-    table back (J1) — broadcast only when its size was checked — and adds
-    the zero-guarded ratio (P7). NULL groups form a group of their own
-    (text 'nan').
+    partial row per task, not one task) into a stored table with a row per
+    group. ``transform`` joins it back (J1) - Spark broadcasts it if its
+    measured size allows, otherwise it shuffles and splits hot groups - and
+    adds the zero-guarded ratio (P7). NULL groups form a group of their own
+    (text 'nan'). NaN values count as missing. ``save`` and ``load`` keep the learned table with a model.
     """
 
     group_col: str = "population_name"
     value_col: str = "allele_freq"
     mean_col: str = "pop_allele_freq_mean"
     ratio_col: str = "allele_freq_rel"
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     means: DataFrame | None = field(default=None, repr=False)
     global_mean: float | None = None
 
     def fit(self, df: DataFrame) -> "GroupMeans":
-        g = _as_text(self.group_col).alias("_grp")
-        x = F.col(self.value_col).cast("double")
-        # one pass: per-group and overall mean via grouping sets
-        both = (df.select(g, x.alias("_x"))
-                .rollup("_grp").agg(F.avg("_x").alias("_m"), F.grouping_id().alias("_gid")))
-        rows = both.take(self.broadcast_rows + 2)
-        if len(rows) <= self.broadcast_rows + 1:
-            # size proven: keep the group table as a broadcast local relation
-            self.global_mean = next((r["_m"] for r in rows if r["_gid"] == 1), None)
-            local = [(r["_grp"], r["_m"]) for r in rows if r["_gid"] == 0]
-            self.means = F.broadcast(df.sparkSession.createDataFrame(
-                local, "_grp STRING, _m DOUBLE"))
-        else:
-            self.global_mean = df.agg(F.avg(x)).first()[0]
-            self.means = both.where(F.col("_gid") == 0).select("_grp", "_m")
+        x = F.nullif(F.col(self.value_col).cast("double"), F.lit(float("nan")))
+        per = cut_lineage(df.select(_as_text(self.group_col).alias("_grp"), x.alias("_x"))
+                          .groupBy("_grp").agg(F.sum("_x").alias("_s"), F.count("_x").alias("_c")))
+        total = per.agg(F.sum("_s").alias("s"), F.sum("_c").alias("c")).first()
+        self.global_mean = total["s"] / total["c"] if total["c"] else None
+        self.means = per.select("_grp", F.when(F.col("_c") > 0, F.col("_s") / F.col("_c")).alias("_m"))
+        return self
+
+    def save(self, path: str) -> None:
+        self.means.withColumn("_global", F.lit(self.global_mean).cast("double")).write.mode("overwrite").parquet(path)
+
+    def load(self, spark: SparkSession, path: str) -> "GroupMeans":
+        table = spark.read.schema("_grp STRING, _m DOUBLE, _global DOUBLE").parquet(path)
+        one = table.select("_global").first()
+        self.global_mean = one["_global"] if one else None
+        self.means = table.select("_grp", "_m")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

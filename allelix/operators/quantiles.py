@@ -1,19 +1,21 @@
 """Exact quantiles by distributed rank selection.
 
 Spark's exact ``percentile`` aggregate keeps a map of every distinct value
-and merges it in one task — fine for thousands of rows, not for billions.
+and merges it in one task - fine for thousands of rows, not for billions.
 ``exact_quantiles`` gives the same numbers (linear interpolation between
 the order statistics at floor/ceil of ``p * (n - 1)``) with no single-task
-step:
+step, for all columns in one pass and on one path whatever their size:
 
-1. (distinct value, count) by partial aggregation;
-2. ``percentile_approx`` over the distinct values cuts them into balanced
-   buckets (a Bucketizer: JVM binary search);
-3. cumulative counts in value order via ``ordering.running_sum`` — each
-   distinct value covers ranks [end - count, end);
-4. the needed ranks (at most 2 per probability) are located with two more
-   binary searches, and only the covering values — at most 2 per
-   probability — reach the driver.
+1. (column, distinct value, count) by partial aggregation, stored for the
+   steps below;
+2. ``percentile_approx`` over each column's distinct values cuts them into
+   balanced buckets;
+3. cumulative counts in value order via ``ordering.running_sum``, keyed by
+   column - each distinct value covers ranks [end - count, end);
+4. the needed ranks (at most 2 per probability) meet the values that cover
+   them, and only those values reach the driver.
+
+NaN and NULL are no values. A column without values gives None.
 """
 
 from __future__ import annotations
@@ -21,60 +23,52 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import bounded_rows
+from ..session import cut_lineage
 from .ordering import running_sum
 
-
-def _splits(values) -> list[float]:
-    inner = sorted({float(v) for v in values if v is not None and not math.isnan(v)})
-    return [-math.inf] + inner + [math.inf]
+BUCKETS = 64
 
 
-def exact_quantiles(df: DataFrame, x: Column, probs: Sequence[float], buckets: int = 1024,
-                    n: int | None = None) -> list[float] | None:
-    """Exact linear-interpolation quantiles of ``x`` (NULLs ignored)."""
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, list[float] | None]:
+    """Exact linear-interpolation quantiles of every column expression."""
     probs = [float(p) for p in probs]
-    d = (df.select(x.cast("double").alias("v")).where(F.col("v").isNotNull())
-         .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    if n is None:
-        n = df.select(x.alias("v")).where(F.col("v").isNotNull()).count()
-    if not n:
-        return None
-    # balanced buckets over the distinct values
-    fr = [i / buckets for i in range(1, buckets)]
-    bnd = d.agg(F.percentile_approx("v", fr, 10_000).alias("b")).first()["b"] or []
-    bucketed = Bucketizer(splits=_splits(bnd), inputCol="v", outputCol="_b").transform(d)
-    cum = running_sum(bucketed, [], [F.col("v")], {"end": F.col("c")}, bucket=F.col("_b"))
-    # ranks needed by the interpolation
-    ranks = set()
-    for p in probs:
-        pos = p * (n - 1)
-        ranks.add(math.floor(pos))
-        ranks.add(math.ceil(pos))
-    rank_splits = [-math.inf] + sorted(float(r) for r in ranks) + [math.inf]
-    # number of needed ranks < end  vs  < start: a value is needed when they differ
-    cum = cum.withColumn("_end_h", F.col("end") - F.lit(0.5)) \
-             .withColumn("_start_h", F.col("end") - F.col("c") - F.lit(0.5))
-    cum = Bucketizer(splits=rank_splits, inputCol="_end_h", outputCol="_ke").transform(cum)
-    cum = Bucketizer(splits=rank_splits, inputCol="_start_h", outputCol="_ks").transform(cum)
-    picked = bounded_rows(cum.where(F.col("_ke") != F.col("_ks")).select("v", "c", "end"),
-                          4 * len(probs) + 4, "quantile order statistics")
-    spans = sorted((r["end"] - r["c"], r["end"], r["v"]) for r in picked)
-
-    def at(rank: int) -> float:
-        for start, end, v in spans:
-            if start <= rank < end:
-                return v
-        raise RuntimeError(f"rank {rank} not covered")
-
-    out = []
-    for p in probs:
-        pos = p * (n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        vlo, vhi = at(lo), at(hi)
-        out.append(vlo if lo == hi else (hi - pos) * vlo + (pos - lo) * vhi)
+    names = list(columns)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), columns[c].cast("double").alias("v")) for i, c in enumerate(names)])
+    counts = cut_lineage(
+        df.select(F.explode(cells).alias("s")).select("s.c", "s.v")
+        .where(F.col("v").isNotNull() & ~F.isnan("v"))
+        .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
+    # one row per column: its number of values and the edges of its buckets
+    per = {r["c"]: r for r in counts.groupBy("c").agg(
+        F.sum("n").alias("n"), F.percentile_approx("v", cuts, 10_000).alias("edges")).collect()}
+    if not per:
+        return {c: None for c in names}
+    ranks = {i: sorted({r for p in probs for r in (math.floor(p * (row["n"] - 1)), math.ceil(p * (row["n"] - 1)))})
+             for i, row in per.items()}
+    spark = df.sparkSession
+    # columns x (edges, ranks): as long as the request, whatever the table's size
+    asked = F.broadcast(spark.createDataFrame(
+        [(i, [float(e) for e in per[i]["edges"]], [int(r) for r in ranks[i]]) for i in per],
+        "c int, edges array<double>, ranks array<bigint>"))
+    placed = counts.join(asked, "c").withColumn("_b", F.size(F.filter("edges", lambda e: e < F.col("v"))))
+    cum = running_sum(placed.select("c", "v", "n", "_b"), ["c"], [F.col("v")], {"end": F.col("n")}, bucket=F.col("_b"))
+    hit = cum.join(asked.select("c", "ranks"), "c").select("c", "v", F.explode(F.filter(
+        "ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))).alias("rank"))
+    at = {(r["c"], r["rank"]): r["v"] for r in hit.collect()}
+    out: dict[str, list[float] | None] = {}
+    for i, c in enumerate(names):
+        if i not in per:
+            out[c] = None
+            continue
+        qs = []
+        for p in probs:
+            pos = p * (per[i]["n"] - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            v, w = at[i, lo], at[i, hi]
+            qs.append(v if v == w else (hi - pos) * v + (pos - lo) * w)  # equal ends stay exact
+        out[c] = qs
     return out

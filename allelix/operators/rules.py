@@ -31,11 +31,15 @@ def score_long(codes: DataFrame, key: str = "h", population: str = "pop", code:
             .agg((F.sum("_w") * F.product("_f")).alias(score_col)))
 
 
-def attach_scores(rows: DataFrame, scores: DataFrame, key: str = "h",
+def attach_scores(rows: DataFrame, scores: DataFrame, key: str = "h", population: str = "pop",
                   score_col: str = "acmg_score") -> DataFrame:
-    """Rows without any code score 0 (left join on the key)."""
-    return (rows.join(scores.select(key, score_col), key, "left")
-            .withColumn(score_col, F.coalesce(F.col(score_col), F.lit(0.0))))
+    """Each row gets the score of its own (key, population), 0 without any
+    code. ``scores`` has one row per (key, population), so no row multiplies;
+    NULL keys or populations match each other."""
+    s = scores.select(F.col(key).alias("_sk"), F.col(population).alias("_sp"), F.col(score_col).alias("_ss"))
+    own = F.col(key).eqNullSafe(F.col("_sk")) & F.col(population).eqNullSafe(F.col("_sp"))
+    return (rows.join(s, own, "left")
+            .withColumn(score_col, F.coalesce(F.col("_ss"), F.lit(0.0))).drop("_sk", "_sp", "_ss"))
 
 
 def blend_scores(df: DataFrame, prob_col: str, score_col: str = "acmg_score",

@@ -3,9 +3,12 @@ row -> fold (J7), split contract checks (U3), balanced class weights (M4)."""
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import bounded, bounded_rows
 from .ordering import hex_prefix_bucket, running_sum
 
@@ -36,22 +39,27 @@ def stratified_split(df: DataFrame, *, key_col: str = "variant_id", label_col: s
     strata are the classes. Same rule and seed -> same split on any cluster
     layout. Ranks come from ``running_sum`` bucketed by a prefix of the
     uniform hash (a hot stratum is spread over many tasks); stratum sizes
-    are one partial aggregation, broadcast after a size check.
+    are one partial aggregation. ``key_col`` must be unique within a stratum,
+    or tied rows may change sides when a stage is computed again.
     """
     work, g = _group_col(df, group_col, null_group)
     keys = ([g] if g else []) + [label_col]
     sizes = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = bounded_rows(sizes, 1_000_000, "stratum table")
-    sizes = F.broadcast(df.sparkSession.createDataFrame(rows, schema=sizes.schema))
-    largest = max((r["_n"] for r in rows), default=0)
+    sizes = cut_lineage(sizes)  # a row per stratum; the join is left to Spark's measured sizes
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    okeys = [f"_k{i}" for i in range(len(keys))]
+    sizes = sizes.select(*[F.col(k).alias(o) for k, o in zip(keys, okeys)], "_n")
     u = F.col("_u")
     ranked = running_sum(work.withColumn("_u", hash_order(key_col, seed)), keys,
                          [u, F.col(key_col)], {"_rank": F.lit(1)},
                          bucket=hex_prefix_bucket(u, largest, rows_per_bucket))
     quota = F.least(F.ceil(F.lit(float(test_size)) * F.col("_n")), F.col("_n") - 1)
-    out = (ranked.join(sizes, keys, "left")
+    same = F.lit(True)
+    for k, o in zip(keys, okeys):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    out = (ranked.join(sizes, same, "left")
            .withColumn(flag_col, F.col("_rank") <= quota)
-           .drop("_u", "_rank", "_n"))
+           .drop("_u", "_rank", "_n", *okeys))
     return out.drop("_grp") if g else out
 
 
@@ -61,34 +69,35 @@ def train_test(split_df: DataFrame, flag_col: str = "is_test") -> tuple[DataFram
 
 
 def group_folds(df: DataFrame, group_col: str = "population_name", k: int = 5,
-                null_group: str = "keep", max_groups: int = 1_000_000) -> DataFrame:
+                null_group: str = "keep") -> DataFrame:
     """Group k-fold assignment table (group, n, fold).
 
     Groups sorted by size (desc, then name) each go to the currently lightest
     fold (first on ties); no group is in two folds; fewer groups than folds
-    is an error. The greedy pass runs as one Spark array ``aggregate`` over
-    the group-size table (one row per group, size checked), not on the driver.
+    is an error. The greedy pass is sequential by its definition: it streams
+    the sorted group sizes (a row per group, never the data) through one task
+    that keeps a heap of k loads.
     """
     work, g = _group_col(df, group_col, null_group)
     if g is None:
         raise ValueError("group_folds needs a group column")
-    sizes = work.groupBy(F.col(g).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
-    n_groups = len(bounded_rows(sizes.select("grp"), max_groups, "group table"))
+    sizes = cut_lineage(work.groupBy(F.col(g).alias("grp")).agg(F.count(F.lit(1)).alias("n")))
+    n_groups = sizes.count()
     if n_groups < k:
         raise ValueError(f"cannot make {k} group folds from {n_groups} groups")
-    items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg_n"), F.col("grp"))))
-    zero = F.array_repeat(F.lit(0).cast("bigint"), k)
-    init = F.struct(zero.alias("loads"),
-                    F.array().cast("array<struct<grp:string,n:bigint,fold:int>>").alias("out"))
-
-    def step(acc, e):
-        pos = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")
-        loads = F.transform(acc["loads"], lambda x, i: F.when(i + 1 == pos, x - e["neg_n"]).otherwise(x))
-        rec = F.struct(e["grp"].alias("grp"), (-e["neg_n"]).alias("n"), (pos - 1).alias("fold"))
-        return F.struct(loads.alias("loads"), F.concat(acc["out"], F.array(rec)).alias("out"))
-
-    plan = sizes.agg(F.aggregate(items, init, step).alias("s"))
-    return plan.select(F.explode("s.out").alias("r")).select("r.grp", "r.n", "r.fold")
+
+    def greedy(batches):
+        loads = [(0, f) for f in range(k)]
+        for pdf in batches:
+            folds = []
+            for n in pdf["n"]:
+                load, fold = loads[0]
+                heapq.heapreplace(loads, (load + int(n), fold))
+                folds.append(fold)
+            yield pdf.assign(fold=folds)
+
+    ordered = sizes.repartition(1).sortWithinPartitions(F.desc("n"), "grp")
+    return cut_lineage(ordered.mapInPandas(greedy, "grp string, n bigint, fold int"))
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, group_col: str = "population_name",

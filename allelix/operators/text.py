@@ -32,7 +32,7 @@ class CharCounts:
     def fit(self, df: DataFrame) -> "CharCounts":
         cols = [c for c in self.columns if c in df.columns]
         self.columns = tuple(cols)
-        chars = (df.select(F.explode(F.split(concat_sequences(cols), "")).alias("ch"))
+        chars = (df.select(F.explode(F.array_distinct(F.split(concat_sequences(cols), ""))).alias("ch"))
                  .where(F.col("ch") != "").distinct())
         rows = bounded_rows(chars, self.max_vocab, "character vocabulary")
         self.vocabulary = sorted(r["ch"] for r in rows)

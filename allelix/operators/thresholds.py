@@ -35,11 +35,14 @@ SCORE_BUCKETS = 4096
 
 def class_scores(df: DataFrame, group_col: str, label_col: str, probs_col: str,
                  classes: Sequence[int]) -> DataFrame:
-    """Long one-vs-rest table (grp, cls, score, pos) for every class."""
+    """Long one-vs-rest table (grp, cls, score, pos) for every class.
+
+    Slot c of ``probs_col`` belongs to class code c, as in Spark's probability
+    vectors (which have a slot for every code up to the largest)."""
     g = F.coalesce(F.col(group_col).cast("string"), F.lit("nan"))
     cells = F.array(*[F.struct(F.lit(int(c)).alias("cls"),
-                               F.element_at(F.col(probs_col), i + 1).cast("double").alias("score"))
-                      for i, c in enumerate(classes)])
+                               F.get(F.col(probs_col), int(c)).cast("double").alias("score"))
+                      for c in classes])
     return (df.select(g.alias("grp"), F.col(label_col).alias("_y"), F.explode(cells).alias("c"))
             .select("grp", "c.cls", "c.score", (F.col("_y") == F.col("c.cls")).cast("long").alias("pos")))
 
@@ -97,14 +100,19 @@ def argmax_shifted(probs: Column, thr: Column) -> Column:
 
 
 def predict_with_thresholds(df: DataFrame, vectors: DataFrame, group_col: str, probs_col: str,
-                            k: int, default: float = 0.5, out_col: str = "yhat_thr") -> DataFrame:
+                            k: int, default: float = 0.5, out_col: str = "yhat_thr",
+                            classes: Sequence[int] | None = None) -> DataFrame:
     """K2 + J4: join the group's threshold vector (size-checked broadcast),
-    default vector for unseen groups or vectors with NaN / wrong length."""
+    default vector for unseen groups or vectors with NaN / wrong length.
+    ``classes`` (default 0..k-1) are the codes in the vectors' order; the
+    result is a code."""
+    codes = list(range(k)) if classes is None else [int(c) for c in classes]
     small, _ = bounded(vectors.select(F.col("grp").alias("_g"), F.col("thr").alias("_thr")))
     g = F.coalesce(F.col(group_col).cast("string"), F.lit("nan"))
     dflt = F.array_repeat(F.lit(float(default)), k)
     thr = F.when(F.col("_thr").isNull() | (F.size("_thr") != k) |
                  F.exists("_thr", lambda t: F.isnan(t)), dflt).otherwise(F.col("_thr"))
     return (df.withColumn("_g", g).join(small, "_g", "left")
-            .withColumn(out_col, argmax_shifted(F.col(probs_col), thr))
-            .drop("_g", "_thr"))
+            .withColumn("_at", argmax_shifted(F.array(*[F.get(F.col(probs_col), c) for c in codes]), thr))
+            .withColumn(out_col, F.get(F.array(*[F.lit(c) for c in codes]), F.col("_at")))
+            .drop("_g", "_thr", "_at"))

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Transformer
 from pyspark.ml.feature import (Bucketizer, OneHotEncoder, SQLTransformer, StringIndexer,
@@ -38,7 +37,7 @@ CLIP_HI = 5.19933758270342     # inverse normal CDF of 1 - (1e-7 - machine epsil
 MISSING = "missing"
 # ---------------------------------------------------------------------------
 
-SMALL_DISTINCT = 10_000  # Spark's exact percentile holds one map entry per distinct value
+TREE_BINS = 255  # candidate splits of a numeric feature of a tree model (the usual histogram size)
 
 
 def _q(c: str) -> str:
@@ -51,49 +50,34 @@ def _lit(v: float) -> str:
     return f"CAST({float(v)!r} AS DOUBLE)"
 
 
-def fit_means(df: DataFrame, cols: Sequence[str]) -> tuple[dict, int]:
-    means, n, _ = _fit_moments(df, cols)
-    return means, n
+def _value(c: str) -> str:
+    """The column as DOUBLE; NaN counts as missing."""
+    return f"nullif(CAST({_q(c)} AS DOUBLE), double('NaN'))"
 
 
-def _fit_moments(df: DataFrame, cols: Sequence[str]) -> tuple[dict, int, dict]:
-    """One pass: row count, means and approximate distinct counts."""
+def fit_means(df: DataFrame, cols: Sequence[str]) -> tuple[dict, int]:
+    """One pass: means of the known values and the row count."""
     row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return ({c: row[f"m{i}"] for i, c in enumerate(cols)}, row["_n"],
-            {c: row[f"d{i}"] for i, c in enumerate(cols)})
-
-
-def column_quantiles(df: DataFrame, exprs: dict[str, str], distinct: dict[str, int], n: int,
-                     probs: Sequence[float], method: str = "exact", accuracy: int = 1_000_000) -> dict:
-    """Quantiles per column. ``exact``: Spark's ``percentile`` when the column
-    has few distinct values (its state is one entry per distinct value),
-    otherwise distributed rank selection (``quantiles.exact_quantiles``);
-    columns run as concurrent Spark jobs. ``approx``: ``percentile_approx``."""
+                 *[F.avg(F.expr(_value(c))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return {c: row[f"m{i}"] for i, c in enumerate(cols)}, row["_n"]
+
+
+def column_quantiles(df: DataFrame, exprs: dict[str, str], probs: Sequence[float], method: str = "exact",
+                     accuracy: int = 1_000_000) -> dict:
+    """Quantiles per column. ``exact``: distributed rank selection, one path for
+    every size (``quantiles.exact_quantiles``). ``approx``: ``percentile_approx``."""
     probs = [float(p) for p in probs]
-    arr = "array(" + ", ".join(repr(p) for p in probs) + ")"
     if method == "approx":
+        arr = "array(" + ", ".join(repr(p) for p in probs) + ")"
         row = df.agg(*[F.expr(f"percentile_approx({e}, {arr}, {accuracy})").alias(f"q{i}")
                        for i, e in enumerate(exprs.values())]).first()
         return {c: row[f"q{i}"] for i, c in enumerate(exprs)}
-    small = [c for c in exprs if (distinct.get(c) or 0) <= SMALL_DISTINCT]
-    large = [c for c in exprs if c not in small]
-    out = {}
-    if small:
-        row = df.agg(*[F.expr(f"percentile({exprs[c]}, {arr})").alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        out.update({c: row[f"q{i}"] for i, c in enumerate(small)})
-    if large:
-        with ThreadPoolExecutor(max_workers=min(8, len(large))) as pool:
-            res = pool.map(lambda c: exact_quantiles(df, F.expr(exprs[c]), probs, n=n), large)
-            out.update(dict(zip(large, res)))
-    return out
+    return exact_quantiles(df, {c: F.expr(e) for c, e in exprs.items()}, probs)
 
 
 def imputed(c: str, mean) -> str:
     # a column with no values imputes 0 (no statistic to learn)
-    return f"coalesce(CAST({_q(c)} AS DOUBLE), {_lit(0.0 if mean is None else mean)})"
+    return f"coalesce({_value(c)}, {_lit(0.0 if mean is None else mean)})"
 
 
 def fit_numeric(df: DataFrame, cols: Sequence[str], scaler: str = "standard",
@@ -104,7 +88,7 @@ def fit_numeric(df: DataFrame, cols: Sequence[str], scaler: str = "standard",
     cols = list(cols)
     if not cols:
         return []
-    means, n, distinct = _fit_moments(df, cols)
+    means, n = fit_means(df, cols)
     imp = {c: imputed(c, means[c]) for c in cols}
     if scaler == "none":
         exprs = {c: imp[c] for c in cols}
@@ -118,7 +102,7 @@ def fit_numeric(df: DataFrame, cols: Sequence[str], scaler: str = "standard",
             mu = 0.0 if means[c] is None else means[c]
             exprs[c] = f"({imp[c]} - {_lit(mu)}) / {_lit(sd)}"
     elif scaler == "robust":
-        qs = column_quantiles(df, imp, distinct, n, [0.25, 0.5, 0.75], quantiles, accuracy)
+        qs = column_quantiles(df, imp, [0.25, 0.5, 0.75], quantiles, accuracy)
         exprs = {}
         for c in cols:
             q25, q50, q75 = qs[c] or (0.0, 0.0, 0.0)
@@ -126,7 +110,7 @@ def fit_numeric(df: DataFrame, cols: Sequence[str], scaler: str = "standard",
             iqr = 1.0 if iqr == 0 else iqr
             exprs[c] = f"({imp[c]} - {_lit(q50)}) / {_lit(iqr)}"
     elif scaler == "quantile":
-        return _fit_quantile(df, cols, imp, n, distinct, prefix, quantiles, accuracy)
+        return _fit_quantile(df, cols, imp, n, prefix, quantiles, accuracy)
     else:
         raise ValueError(f"unknown scaler {scaler!r}")
     stmt = "SELECT *, " + ", ".join(f"{e} AS {_q(prefix + c)}" for c, e in exprs.items()) + " FROM __THIS__"
@@ -151,10 +135,10 @@ def quantile_knots(quantiles: Sequence[float]) -> tuple[list, list, list]:
     return knots, r_lo, r_hi
 
 
-def _fit_quantile(df, cols, imp, n, distinct, prefix, quantiles, accuracy) -> list[Transformer]:
+def _fit_quantile(df, cols, imp, n, prefix, quantiles, accuracy) -> list[Transformer]:
     m = max(1, min(N_QUANTILES, n))
     refs = [i / (m - 1) for i in range(m)] if m > 1 else [0.0]
-    qs = column_quantiles(df, imp, distinct, n, refs, quantiles, accuracy)
+    qs = column_quantiles(df, imp, refs, quantiles, accuracy)
     stages: list[Transformer] = []
     pre = "SELECT *, " + ", ".join(f"{imp[c]} AS {_q('_imp_' + c)}" for c in cols) + " FROM __THIS__"
     stages.append(SQLTransformer(statement=pre))
@@ -196,6 +180,28 @@ def quantile_normal_stage(cols, prefix) -> SQLTransformer:
     return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
 
 
+def numeric_bins(df: DataFrame, stages: Sequence[Transformer], cols: Sequence[str], prefix: str = "num_",
+                 inner: str = "_sc_", bins: int = TREE_BINS) -> list[Transformer]:
+    """Stages that replace each scaled column by the number of its quantile bin.
+
+    A tree splits on order alone, so bin numbers at learned quantile edges
+    offer the splits a histogram learner would, and a numeric column never
+    has more than ``bins`` of them, however wide ``maxBins`` must be for the
+    categorical ones.
+    """
+    if not cols:
+        return []
+    scaled = df
+    for st in stages:
+        scaled = st.transform(scaled)
+    fr = [i / bins for i in range(1, bins)]
+    row = scaled.agg(*[F.percentile_approx(F.col(inner + c), fr, 10_000).alias(f"e{i}")
+                       for i, c in enumerate(cols)]).first()
+    splits = [[-math.inf, *sorted({float(e) for e in row[f"e{i}"] or [0.0]}), math.inf] for i in range(len(cols))]
+    return [Bucketizer(splitsArray=splits, inputCols=[inner + c for c in cols],
+                       outputCols=[prefix + c for c in cols], handleInvalid="keep")]
+
+
 def categorical_stages(cols: Sequence[str], prefix: str = "cat_", encoding: str = "onehot") -> list[Transformer]:
     """T1 (constant 'missing') + T3: sorted categories.
 

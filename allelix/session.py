@@ -7,7 +7,6 @@ cluster names in ``spark.checkpoint.dir`` and only sets one when it is unset.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,7 +33,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a scratch folder only when none is set."""
+    """The shared checkpoint folder of the session.
+
+    Where none is set, a session in one process (local master, as in tests)
+    gets a scratch folder of its own; on a cluster a machine's own folder would
+    be seen by that machine alone, so that is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -42,7 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="allelix-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf = tempfile.mkdtemp(prefix="allelix-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 

@@ -11,6 +11,8 @@ STRING_COLUMNS = ("gene", "chromosome", "variant_id", "consequence_type",
                   "clinical_significance", "population_name", "region",
                   "allele", "allele_string")
 NUMERIC_COLUMNS = ("allele_freq", "allele_count", "sample_size", "position")
+# texts that mean "missing" in a CSV field
+NULL_MARKERS = ("", "NA", "N/A", "n/a", "#N/A", "<NA>", "NaN", "nan", "-NaN", "-nan", "NULL", "null", "None")
 # ---------------------------------------------------------------------------
 
 
@@ -25,14 +27,19 @@ def read_variants_csv(spark: SparkSession, path: str, sep: str = ",",
                       columns: list[str] | None = None) -> DataFrame:
     """S1 + S2: header CSV with declared types; absent columns are left out.
 
-    Every column is read as text (no schema inference pass), then the numeric
-    ones are coerced with ``try_cast`` so bad text becomes NULL.
+    Every column is read as text (no schema inference pass), texts of
+    ``NULL_MARKERS`` become NULL, then the numeric columns are coerced with
+    ``try_cast`` so bad text becomes NULL too. Every file's header is held
+    against the columns: a file that has them in another order is an error,
+    never a silent exchange of values.
     """
     cols = columns or _header(spark, path, sep)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep)
-          .option("mode", "PERMISSIVE").csv(path))
-    return coerce_numeric(df)
+          .option("mode", "PERMISSIVE").option("enforceSchema", False)
+          .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
+    known = df.withColumns({c: F.when(~F.col(f"`{c}`").isin(*NULL_MARKERS), F.col(f"`{c}`")) for c in cols})
+    return coerce_numeric(known)
 
 
 def read_variants_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -41,11 +48,11 @@ def read_variants_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, columns=NUMERIC_COLUMNS) -> DataFrame:
-    """Named columns -> DOUBLE via try_cast; absent names are skipped."""
+    """Named columns -> DOUBLE via try_cast, NaN -> NULL; absent names are skipped."""
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
-    return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in present})
+    return df.withColumns({c: F.expr(f"nullif(try_cast(`{c}` AS DOUBLE), double('NaN'))") for c in present})
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
