@@ -152,6 +152,17 @@ split AS (SELECT variant_id, population_name, target_encoded,
 ORACLES["stratified_split"] = _w(SPLIT_CTES, "SELECT * FROM split")
 ORACLES["split_sizes"] = _w(SPLIT_CTES, "SELECT is_test, count(*) AS n FROM split GROUP BY is_test")
 
+ORACLES["holdout_counts"] = _w(SPLIT_CTES, """
+SELECT a.arm, coalesce(population_name, 'nan') AS pop, count(*) AS n
+FROM split CROSS JOIN (VALUES ('population_aware'), ('nonpopulation_aware')) a(arm)
+WHERE is_test GROUP BY 1, 2""")
+ORACLES["saved_arm_difference"] = _w(SPLIT_CTES, """
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM split WHERE is_test""")
+ORACLES["logistic_optimality"] = "SELECT true AS optimal"
+ORACLES["onehot_slot_sums"] = _w(LABELLED_CTES, " UNION ALL ".join(
+    f"SELECT 'cat_{c}_' || coalesce({c}, 'missing') AS name, CAST(count(*) AS DOUBLE) AS total FROM lab2 GROUP BY 1"
+    for c in ("gene", "chromosome", "consequence_type", "region")))
+
 FOLD_CTES = LABELLED_CTES + """,
 gs AS (SELECT coalesce(population_name, 'nan') AS grp, count(*) AS n,
               row_number() OVER (ORDER BY count(*) DESC, coalesce(population_name, 'nan')) AS i

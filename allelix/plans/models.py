@@ -9,7 +9,7 @@ M2 boosted   GBTClassifier (binary); for k > 2 classes ``OneVsRestBoosted``
              probabilities (the built-in OneVsRest gives no probabilities);
              100 rounds, depth 5, rate 0.1, no class weights. First-order
              boosting, not the second-order method with leaf penalties.
-M3 logistic  multinomial LogisticRegression, 1000 iterations, balanced
+M3 logistic  LogisticRegression (binomial for two classes, else multinomial), 1000 iterations, balanced
              weights, L2 with regParam = 1 / (C * sum of weights) so the
              objective matches "C x weighted log-loss + half squared norm"
 M6 group thresholds: base forest + per-group thresholds (W2, W3) learned on
@@ -19,6 +19,7 @@ M6 group thresholds: base forest + per-group thresholds (W2, W3) learned on
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -40,7 +41,7 @@ from ..operators.text import CharCounts
 FOREST_DEFAULTS = {"numTrees": 100, "maxDepth": 10}
 BOOSTED_DEFAULTS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1}
 LOGISTIC_DEFAULTS = {"maxIter": 1000, "C": 1.0, "penalty": "l2"}
-MODEL_NAMES = ("RandomForest", "XGBoost", "LogisticRegression", "FairnessAware")
+MODEL_NAMES = ("RandomForest", "Boosted", "LogisticRegression", "FairnessAware")
 # ---------------------------------------------------------------------------
 
 LABEL, WEIGHT, FEATURES = "label", "weight", "features"
@@ -58,12 +59,14 @@ class OneVsRestBoosted:
         self.params = {**TREE_RESOURCES, **BOOSTED_DEFAULTS, **params}
 
     def fit(self, df: DataFrame) -> "OneVsRestBoostedModel":
-        models = []
-        for c in self.classes:
+        def one(c):
             binary = df.withColumn("_bin", (F.col(LABEL) == float(c)).cast("double"))
             gbt = GBTClassifier(featuresCol=FEATURES, labelCol="_bin", seed=self.seed, **self.params)
-            models.append(gbt.fit(binary))
-        return OneVsRestBoostedModel(self.classes, models)
+            return gbt.fit(binary)
+
+        # the fits don't depend on each other: their jobs share the cluster
+        with ThreadPoolExecutor(max_workers=len(self.classes)) as pool:
+            return OneVsRestBoostedModel(self.classes, list(pool.map(one, self.classes)))
 
 
 class OneVsRestBoostedModel:
@@ -79,7 +82,9 @@ class OneVsRestBoostedModel:
             out = m.transform(out)
             out = out.withColumn(f"_q{i}", vector_to_array(f"_p{i}")[1]).drop(f"_p{i}", f"_r{i}", f"_y{i}")
             cols.append(F.col(f"_q{i}"))
-        raw = F.array(*cols)
+        # like Spark's own probability vectors, slot c belongs to class code c
+        by_code = dict(zip(self.classes, cols))
+        raw = F.array(*[by_code.get(c, F.lit(0.0)) for c in range(int(max(self.classes)) + 1)])
         total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
         prob = F.transform(raw, lambda x: x / F.when(total > 0, total).otherwise(F.lit(1.0)))
         out = out.withColumn("probs", prob).drop(*[f"_q{i}" for i in range(len(self.models))])
@@ -109,7 +114,7 @@ def make_estimator(name: str, classes, total_weight: float | None = None, seed:
         p = {**TREE_RESOURCES, **FOREST_DEFAULTS, **params}
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
                                       seed=seed, **p)
-    if name == "XGBoost":
+    if name == "Boosted":
         if len(classes) > 2:
             return OneVsRestBoosted(classes, seed=seed, **params)
         p = {**TREE_RESOURCES, **BOOSTED_DEFAULTS, **params}
@@ -119,8 +124,9 @@ def make_estimator(name: str, classes, total_weight: float | None = None, seed:
         C, penalty = float(p.pop("C")), p.pop("penalty")
         p.pop("solver", None)  # no counterpart
         reg = 1.0 / (C * (total_weight or 1.0))
+        # two classes have one coefficient row; two mirrored rows would halve the penalty
         return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                  family="multinomial", standardization=False, regParam=reg,
+                                  family="binomial" if len(classes) <= 2 else "multinomial", standardization=False, regParam=reg,
                                   elasticNetParam=1.0 if penalty == "l1" else 0.0, **p)
     if name == "FairnessAware":
         return GroupThresholdClassifier(classes, seed=seed, **params)
@@ -170,7 +176,12 @@ def feature_stages(train: DataFrame, spec: ArmSpec):
     if spec.include_pathways:
         num += [c for c in train.columns if c.startswith("pathway_")]
     cat = [c for c in cat if c not in spec.drop_categoricals]
-    stages = tf.fit_numeric(train, num, spec.scaler)
+    if spec.model == "LogisticRegression" or spec.cat_encoding() != "index":
+        stages = tf.fit_numeric(train, num, spec.scaler)
+    else:
+        # trees see each numeric column as at most TREE_BINS quantile bins
+        stages = tf.fit_numeric(train, num, spec.scaler, prefix="_sc_")
+        stages += tf.numeric_bins(train, stages, num)
     stages += tf.categorical_stages(cat, encoding=spec.cat_encoding())
     blocks = [f"num_{c}" for c in num] + [f"cat_{c}" for c in cat]
     if spec.include_sequence and seq:
@@ -188,22 +199,61 @@ def with_label_weight(df: DataFrame, label_col: str) -> DataFrame:
 
 
 @dataclass
-class ArmModel:
+class ArmFeatures:
+    """The fitted features of an arm: group means (T8) learned on the training
+    rows, then the pipeline. They depend on (scaler, fold), not on the model's
+    parameters, so a search fits them once and every model reads one matrix."""
+
     spec: ArmSpec
-    features: PipelineModel
-    model: object
-    classes: list
+    pipeline: PipelineModel
+    means: feat.GroupMeans | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """Raw or prepared rows with the feature vector; other columns stay."""
         g = self.spec.group_col
-        keep = g in df.columns and not self.spec.population_aware
+        if self.means is not None and self.means.ratio_col not in df.columns:
+            df = self.means.transform(feat.interaction_terms(df, g))
         # the agnostic arm never sees the group as a feature, but evaluation
         # still needs it: carry it under a name no feature role uses
+        keep = g in df.columns and not self.spec.population_aware
         src = df.withColumn("__eval_group", F.col(g)) if keep else df
-        x = self.features.transform(prepare_arm(src, self.spec))
+        x = self.pipeline.transform(prepare_arm(src, self.spec))
+        return x.withColumnRenamed("__eval_group", g) if keep else x
+
+    def matrix(self, df: DataFrame, *more: str) -> DataFrame:
+        """(label, weight, features, group) of labelled rows, to be persisted by the caller."""
+        rows = with_label_weight(df, self.spec.label_col)
+        g = [self.spec.group_col] if self.spec.group_col in df.columns else []
+        return self.transform(rows).select(LABEL, WEIGHT, FEATURES, *g, *more)
+
+
+def fit_features(train: DataFrame, spec: ArmSpec) -> ArmFeatures:
+    """Learn group means and the feature pipeline on training rows."""
+    means, df = None, train
+    aware = spec.population_aware and spec.numeric is None
+    if aware and spec.group_col in train.columns and "allele_freq" in train.columns:
+        means = feat.GroupMeans(group_col=spec.group_col)
+        if means.ratio_col in train.columns:
+            means = None  # the caller's rows already carry it
+        else:
+            df = means.fit(train).transform(feat.interaction_terms(train, spec.group_col))
+    arm = prepare_arm(df, spec)
+    return ArmFeatures(spec, Pipeline(stages=feature_stages(arm, spec)).fit(arm), means)
+
+
+@dataclass
+class ArmModel:
+    spec: ArmSpec
+    features: ArmFeatures
+    model: object
+    classes: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.predict(self.features.transform(df))
+
+    def predict(self, x: DataFrame) -> DataFrame:
+        """Scores of rows that already have the feature vector."""
         out = self.model.transform(x)
-        if keep:
-            out = out.withColumnRenamed("__eval_group", g)
         if "probs" not in out.columns and "probability" in out.columns:
             out = out.withColumn("probs", vector_to_array("probability"))
         return out.withColumn("yhat", F.col("prediction").cast("int"))
@@ -214,32 +264,40 @@ def estimator_for(spec: ArmSpec, feats: PipelineModel, classes, total_w: float,
     one tree bin per category of the widest categorical feature."""
     params = dict(spec.params)
     if spec.cat_encoding() == "index" and spec.model != "LogisticRegression":
-        params.setdefault("maxBins", max(32, tf.max_category_arity(feats)))
+        params.setdefault("maxBins", max(tf.TREE_BINS + 1, tf.max_category_arity(feats)))
     return make_estimator(spec.model, classes, total_w, seed, **params)
 
 
 def fit_arm(train: DataFrame, spec: ArmSpec, classes, seed: int = 42) -> ArmModel:
-    """Fit the arm's feature pipeline and classifier on training rows."""
-    arm = with_label_weight(prepare_arm(train, spec), spec.label_col)
-    feats = Pipeline(stages=feature_stages(arm, spec)).fit(arm)
-    x = feats.transform(arm).select(LABEL, WEIGHT, FEATURES, *(
-        [spec.group_col] if spec.group_col in arm.columns else []))
-    x = x.persist()
+    """Fit the arm's features and classifier on training rows."""
+    feats = fit_features(train, spec)
+    x = feats.matrix(train).persist()
+    model = fit_on(x, feats, spec, classes, seed)
+    x.unpersist()
+    return model
+
+
+def fit_on(x: DataFrame, feats: ArmFeatures, spec: ArmSpec, classes, seed: int = 42) -> ArmModel:
+    """Fit the arm's classifier on a persisted matrix (label, weight, features, group)."""
     total_w = x.agg(F.sum(WEIGHT)).first()[0]
-    est = estimator_for(spec, feats, classes, total_w, seed)
+    est = estimator_for(spec, feats.pipeline, classes, total_w, seed)
     if isinstance(est, GroupThresholdClassifier):
-        est.group_col = spec.group_col if spec.group_col in arm.columns else None
-    model = est.fit(x)
-    x.unpersist()
-    return ArmModel(spec, feats, model, list(classes))
+        aware = spec.population_aware and spec.group_col in x.columns
+        est.group_col = spec.group_col if aware else None
+    return ArmModel(spec, feats, est.fit(x), list(classes))
 
 
 def evaluate_arm(model: ArmModel, test: DataFrame, group_col: str = "population_name",
                  label_col: str = "target_encoded") -> dict[str, DataFrame]:
     """M7: overall metrics, per-group metrics and the accuracy gap."""
-    scored = model.transform(test).select(F.col(label_col).alias("y"), "yhat",
-                                          F.coalesce(F.col(group_col), F.lit("nan")).alias("grp")
-                                          if group_col in test.columns else F.lit("all").alias("grp"))
+    return evaluate_scored(model.transform(test), group_col, label_col)
+
+
+def evaluate_scored(out: DataFrame, group_col: str = "population_name", label_col: str = LABEL) -> dict[str, DataFrame]:
+    """M7 for rows with a prediction ``yhat``."""
+    scored = out.select(F.col(label_col).cast("int").alias("y"), "yhat",
+                        F.coalesce(F.col(group_col).cast("string"), F.lit("nan")).alias("grp")
+                        if group_col in out.columns else F.lit("all").alias("grp"))
     cube = met.confusion_cube(scored, "y", "yhat", "grp")
     overall = met.summary(cube.groupBy("y", "yhat").agg(F.sum("n").alias("n")))
     groups = met.summary(cube, "grp")
@@ -283,7 +341,8 @@ class GroupThresholdModel:
         out = self.base.transform(df).withColumn("probs", vector_to_array("probability"))
         out = out.withColumn("_grp", F.col(self.group_col) if self.group_col and self.group_col in df.columns
                              else F.lit("all"))
-        out = thr.predict_with_thresholds(out, vec, "_grp", "probs", len(self.classes), out_col="_k")
+        out = thr.predict_with_thresholds(out, vec, "_grp", "probs", len(self.classes), out_col="_k",
+                                          classes=self.classes)
         return out.withColumn("prediction", F.col("_k").cast("double")).drop("_k", "_grp")
 
 
@@ -295,7 +354,7 @@ def feature_importance(model: ArmModel, scored_sample: DataFrame, top_n: int = 2
     imp = getattr(m, "featureImportances", None)
     if imp is None:
         return spark.createDataFrame([], "rank INT, idx INT, name STRING, importance DOUBLE")
-    names = tf.feature_names(model.features.transform(prepare_arm(scored_sample, model.spec)))
+    names = tf.feature_names(model.features.transform(scored_sample))
     values = imp.toArray().tolist()
     if len(names) != len(values) or not names:
         return spark.createDataFrame([], "rank INT, idx INT, name STRING, importance DOUBLE")
@@ -307,8 +366,10 @@ def feature_importance(model: ArmModel, scored_sample: DataFrame, top_n: int = 2
 
 
 def save_arm(model: ArmModel, path: str) -> None:
-    """Features pipeline + classifier under ``path``."""
-    model.features.write().overwrite().save(f"{path}/features")
+    """Group means, features pipeline + classifier under ``path``."""
+    model.features.pipeline.write().overwrite().save(f"{path}/features")
+    if model.features.means is not None:
+        model.features.means.save(f"{path}/group_means")
     if isinstance(model.model, OneVsRestBoostedModel):
         model.model.save(f"{path}/model")
         kind = "ovr_boosted"
@@ -321,7 +382,8 @@ def save_arm(model: ArmModel, path: str) -> None:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     meta = {"kind": kind, "classes": model.classes, "spec": model.spec.__dict__,
-            "vectors": getattr(model.model, "vectors", None)}
+            "vectors": getattr(model.model, "vectors", None),
+            "group_means": model.features.means is not None}
     spark.createDataFrame([(json.dumps(meta),)], "meta STRING").write.mode("overwrite").json(f"{path}/meta")
 
 
@@ -337,7 +399,10 @@ def load_arm(path: str) -> ArmModel:
         if sp.get(key) is not None:
             sp[key] = tuple(sp[key])
     spec = ArmSpec(**sp)
-    feats = PipelineModel.load(f"{path}/features")
+    means = None
+    if meta.get("group_means"):
+        means = feat.GroupMeans(group_col=spec.group_col).load(spark, f"{path}/group_means")
+    feats = ArmFeatures(spec, PipelineModel.load(f"{path}/features"), means)
     kind = meta["kind"]
     if kind == "ovr_boosted":
         model = OneVsRestBoostedModel.load(f"{path}/model")

@@ -22,7 +22,7 @@ from tests.conftest import SF001, SF01
 @pytest.fixture(scope="module")
 def learnable(spark):
     v = fx.variants_learnable(spark, SF01)
-    df = feat.population_features(feat.sequence_features(v)).persist()
+    df = feat.interaction_terms(feat.sequence_features(v)).persist()
     s = spl.stratified_split(df, label_col="y_learn", seed=42)
     tr, te = spl.train_test(s)
     return tr.persist(), te.persist()
@@ -42,7 +42,7 @@ def test_forest_beats_majority_and_is_reproducible(spark, learnable):
 
 def test_logistic_and_boosted_learn(spark, learnable):
     tr, te = learnable
-    for model, params in (("LogisticRegression", {"maxIter": 100}), ("XGBoost", {"maxIter": 10})):
+    for model, params in (("LogisticRegression", {"maxIter": 100}), ("Boosted", {"maxIter": 10})):
         spec = M.ArmSpec(population_aware=True, model=model, label_col="y_learn", params=params)
         acc = M.evaluate_arm(M.fit_arm(tr, spec, [0, 1]), te, label_col="y_learn")["overall"].first().accuracy
         assert acc > 0.6, model
@@ -51,7 +51,7 @@ def test_logistic_and_boosted_learn(spark, learnable):
 def test_three_class_boosted_has_probabilities(spark):
     df = labelled_features(spark, SF001)
     tr, te = spl.train_test(spl.stratified_split(df))
-    spec = M.ArmSpec(population_aware=False, model="XGBoost", params={"maxIter": 3, "maxDepth": 3})
+    spec = M.ArmSpec(population_aware=False, model="Boosted", params={"maxIter": 3, "maxDepth": 3})
     fitted = M.fit_arm(tr, spec, [0, 1, 2])
     out = fitted.transform(te).select("probs", "yhat").collect()
     assert all(abs(sum(r.probs) - 1.0) < 1e-9 and len(r.probs) == 3 for r in out)
@@ -79,14 +79,19 @@ def test_save_load_scores_equal_and_stream(spark, learnable, scratch):
     src = f"{scratch}/in"
     raw = fx.variants(spark, SF001).withColumn("codes", F.array(F.lit("PM2"), F.lit("PP1")))
     raw.write.parquet(src)
-    means = feat.GroupMeans().fit(tr)
-    q = scoring.score_stream(spark, path, src, raw.schema, f"{scratch}/out", f"{scratch}/ck", means=means)
+    q = scoring.score_stream(spark, path, src, raw.schema, f"{scratch}/out", f"{scratch}/ck")
     q.processAllAvailable()
     q.stop()
     got = spark.read.parquet(f"{scratch}/out")
     assert got.count() == raw.count()
     r = got.where(F.col("hybrid_score").isNull()).count()
     assert r == 0
+    # raw rows score as before saving, in a batch and on the stream: the arm carries its group means
+    before = fitted.transform(scoring.prepare_rows(raw)).select("variant_id", F.element_at("probs", 2).alias("p")).distinct()
+    batch = scoring.score(loaded, raw).select("variant_id", F.col("prob_pathogenic").alias("q")).distinct()
+    for after in (batch, got.select("variant_id", F.col("prob_pathogenic").alias("q")).distinct()):
+        j = before.join(after, "variant_id").where(F.abs(F.col("p") - F.col("q")) <= 1e-12)
+        assert j.select("variant_id").distinct().count() == raw.select("variant_id").distinct().count()
 
 
 def test_group_threshold_classifier(spark):
@@ -115,7 +120,8 @@ def test_workflow_resume_computes_nothing(spark, scratch):
                       model_params={"LogisticRegression": {"maxIter": 20}})
     first = W.run(spark, v, cfg)
     assert {r.stage: r.reused for r in first["_reused"].collect()} == \
-        {"eda": False, "eda_histogram": False, "cv": False, "holdout": False, "export": False}
+        {"eda": False, "eda_histogram": False, "cv": False, "split": False, "holdout": False,
+         "holdout_populations": False, "holdout_confusion": False, "export": False}
     second = W.run(spark, v, cfg)
     assert all(r.reused for r in second["_reused"].collect())
     assert second["cv"].count() == 1 and second["holdout"].count() == 2
