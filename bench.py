@@ -4,8 +4,7 @@ Prints ONE JSON line: {"metric", "value", "unit", "queries": {name: sec}, "sf"}.
 Each query is built (fits are eager) and then fully computed with a
 ``noop`` write, so every row is produced without collecting to the driver.
 ``value`` is the sum over queries. Set BENCH_QUERIES=a,b to pick a subset,
-BENCH_MODELS=0 to skip the model fits, BENCH_MODELS=all to add the forest
-and boosted arms.
+BENCH_MODELS=0 to skip the model fits.
 """
 
 from __future__ import annotations
@@ -27,17 +26,15 @@ OPERATORS = ["population_profile", "stratified_split", "group_kfold", "group_met
              "threshold_predict", "acmg_hybrid", "pathway_features", "char_counts_long",
              "impute_standard_scale", "robust_scale", "quantile_rank", "histogram50",
              "kde_grid", "corr_matrix", "cv_summary"]
-MODELS = ["fit_logistic"]
-# forest and boosted arms at sf0.1 take minutes each in local mode; opt in
-ALL_MODELS = ["fit_logistic", "fit_forest", "fit_boosted"]
+# the three model rows of the baseline
+MODELS = ["fit_logistic", "fit_forest", "fit_boosted_3class"]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     picked = os.environ.get("BENCH_QUERIES")
-    which = os.environ.get("BENCH_MODELS", "1")
-    models = {"0": [], "all": ALL_MODELS}.get(which, MODELS)
+    models = [] if os.environ.get("BENCH_MODELS") == "0" else MODELS
     names = picked.split(",") if picked else OPERATORS + models
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")),
                           app="allelix-bench")
