@@ -48,6 +48,7 @@ SIZE = 50
 GRAM = 20
 STEP = 8
 BLOCK_BYTES = 4_000_000
+CACHE_BYTES = 128_000
 NO_ID = 2**63 - 1
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 _LOW40 = np.uint64(2**40 - 1)
@@ -109,6 +110,11 @@ def anchors(buf: bytes, ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray,
     for turn in range(4):
         at = np.full(len(lo), -1)
         left = np.arange(len(lo))
+        if not turn:
+            # where a lower hash came in, it stands in the window's last place
+            came = (lo > 0) & whole[lo - 1] & (low[lo] < low[lo - 1])
+            at[came] = lo[came] + grams - 1
+            left = left[~came]
         for j in range(grams):  # the leftmost place of the minimum
             found = h[lo[left] + j] == low[lo[left]]
             at[left[found]] = lo[left[found]] + j
@@ -143,10 +149,20 @@ class Block:
         self.raw = [raw[i] for i in order]
         self.buf = b"".join(self.raw) + bytes(128)
         self.ends = np.cumsum([len(r) for r in self.raw])
-        self.lo, self.hi, self.at, self.h = anchors(self.buf, self.ends)
+        self.lo, self.hi, self.at, self.h = self._anchors()
         self.doc = np.searchsorted(self.ends, self.lo, side="right")
         self.distinct, self.inverse = np.unique(self.h, return_inverse=True)
 
+    def _anchors(self):
+        """Anchors of the whole block, some documents at a time: their arrays fit a processor's cache."""
+        parts, first, start = [], 0, 0
+        for k, end in enumerate(self.ends.tolist()):
+            if end - start >= CACHE_BYTES or k + 1 == len(self.ends):
+                lo, hi, at, h = anchors(self.buf[start:end + 128], self.ends[first:k + 1] - start)
+                parts.append((lo + start, hi + start, at + start, h))
+                first, start = k + 1, end
+        return [np.concatenate(x) for x in zip(*parts)]
+
     def bucket_rows(self, buckets: int):
         """(bucket, distinct hashes that fall into it) - as index arrays, by bucket."""
         bucket = (self.distinct >> np.uint64(40)) % np.uint64(buckets)
