@@ -12,8 +12,8 @@
 3. Stars: a bucket's smallest class is its centre, and only (centre, member)
    pairs are candidates, so a bucket of m classes gives m - 1 pairs. Pairs are
    confirmed on the full sets; the centres then leave their buckets. A bucket
-   whose remaining classes are all in one component can't join anything more
-   and is done. The others get 4, 16, 64, ... centres in the next rounds (by a hash of
+   whose remaining classes are known to be in one component can't join anything more
+   and is done. The others get 16, 256, 4096, ... centres in the next rounds (by a hash of
    the class), until no bucket spans two components with an untested pair.
    So no link between buckets' members is lost, whether or not they
    resemble the first centre.
@@ -45,6 +45,10 @@ from .shingles import mix64, shingle_set
 BINS = 128
 BANDS, ROWS = 32, 4
 NO_ID = 2**63 - 1
+# each round has so many times the centres of the last one
+GROWTH = 16
+# jobs (node, centres) that are broadcast to the texts; of more, both sides are shuffled
+BROADCAST_JOBS = 50_000
 # members of a centre that one task compares
 SALT_ROWS = 5_000
 _BIN_BITS = np.uint64(64 - (BINS - 1).bit_length())
@@ -166,7 +170,10 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
         F.col("c").alias("node"), job(False))
     # a class has few centres in a round, a centre one job for each salt
     jobs = members.unionByName(centres).groupBy("node").agg(F.collect_list("job").alias("jobs"))
-    placed = jobs.join(nodes.select("node", "_id", "_th"), "node")
+    placed = jobs.join(nodes.select("node", "_id", "_th"), "node").transform(cut_lineage)
+    # counted in pairs, not in nodes: an array of jobs counts with its length
+    if (placed.agg(F.sum(F.size("jobs"))).first()[0] or 0) <= BROADCAST_JOBS:
+        placed = F.broadcast(placed)
     sets = placed.join(docs, ["_id", "_th"]).select("node", "jobs", "_text").mapInArrow(
         _sets_for(n), "c bigint, salt int, member boolean, node bigint, hashes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -216,7 +223,7 @@ def _links(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
         active = active.join(spans, "key").transform(cut_lineage)
         if active.isEmpty():
             break
-        centres = (active.withColumn("g", F.pmod(F.xxhash64("node"), F.lit(4 ** rounds)))
+        centres = (active.withColumn("g", F.pmod(F.xxhash64("node"), F.lit(GROWTH ** rounds)))
                    .groupBy("key", "g").agg(F.min(F.struct("node", "size", "component")).alias("c"))
                    .select("key", F.col("c.node").alias("c"), F.col("c.size").alias("c_size"),
                            F.col("c.component").alias("c_component")))
@@ -228,9 +235,9 @@ def _links(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
             pairs = pairs.join(tested, ["c", "x"], "left_anti")
         pairs = pairs.transform(cut_lineage)
         found = confirmed(pairs, nodes, docs, n, percent).transform(cut_lineage)
-        links = found if links is None else links.unionByName(found).transform(cut_lineage)
-        tested = pairs if tested is None else tested.unionByName(pairs).transform(cut_lineage)
-        label = connected_components(links).transform(cut_lineage)
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        label = _labels(links).transform(cut_lineage)
         # all pairs of a centre in its bucket are decided: it leaves
         members = active.join(centres.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti").select(
             "key", "node", "size").transform(cut_lineage)
@@ -240,6 +247,17 @@ def _links(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     return links
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component) within two steps of the links: the smallest neighbour's
+    smallest neighbour. Nodes with one label are in one component; the
+    converse need not hold yet, which costs a round tests and loses nothing."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+    top = low.select(F.col("u").alias("m"), F.col("m").alias("t"))
+    return low.join(top, "m").select(F.col("u").alias("node"), F.col("t").alias("component"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                      percent: int = 80) -> DataFrame:
     """The input with one row of each near-duplicate group (the smallest id), columns unchanged.
