@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 
 # hashes of words that a Python worker keeps
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 class _Words(dict):
