@@ -2,9 +2,9 @@
 
 Tokens are lower-cased words without punctuation. A seed covers ``SPAN``
 tokens; a mask picks which of them are hashed, so a changed token under an
-ignored position doesn't break the seed. Every item is hashed at all its positions, every
-document at each ``STRIDE``-th: any ``SPAN + STRIDE - 1`` = 11 equal tokens in
-a row share an unmasked seed, and masks find most that are interrupted.
+ignored position doesn't break the seed. Items and documents are hashed at all their
+positions: any ``SPAN`` equal tokens in a row share a seed wherever they stand,
+and masks find most that are interrupted.
 
 1. Join: document seeds meet item seeds on the hash. The item side is broadcast
    if its counted rows fit ``BROADCAST_ROWS``; beyond that Spark shuffles.
@@ -29,35 +29,37 @@ from pyspark.sql import functions as F
 from allelix.session import cut_lineage
 
 MASKS = ("11011011", "10111101", "11100111")
-SPAN, STRIDE = 8, 4
+SPAN = 8
 REACH = 64
 MIN_MATCHES, PERCENT = 13, 80
 BROADCAST_ROWS = 1_000_000  # of two or three longs: some 30 MB
 PUNCTUATION = ".,;:!?\"'()[]{}*#%$&|<>`_"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)``, the value computed once a row (see quality_rules)."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def token_hashes(text: Column) -> Column:
     bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION + "\t\n\x0b\x0c\r",
                        " " * (len(PUNCTUATION) + 5))
     return F.transform(F.array_remove(F.split(bare, " "), ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: Column, stride: int) -> Column:
-    """Hashes by position and mask: element k is mask k % 3 at position k // 3 * stride."""
+def _seeds(texts: DataFrame, tokens: Column, *keep: str) -> DataFrame:
+    """(keep.., at, key0, key1, key2): a row per position, a hash per mask.
+
+    The tokens of a position are zipped to one row and hashed in compiled code
+    (lambdas aren't compiled). The token array comes out of a generator, so that
+    no filter inferred for the next one computes it again below."""
+    each = texts.select(*keep, F.explode(F.array(tokens)).alias("_h"))
+    last = F.greatest(F.size("_h") - (SPAN - 1), F.lit(0))
+    rows = F.arrays_zip(*[F.slice("_h", k + 1, last).alias(f"t{k}") for k in range(SPAN)])
+    placed = each.select(*keep, F.posexplode(rows).alias("at", "_s"))
+    return placed.select(*keep, "at", *[
+        F.xxhash64(F.lit(m), *[F.col("_s").getField(f"t{k}") for k in range(SPAN) if mask[k] == "1"]).alias(f"key{m}")
+        for m, mask in enumerate(MASKS)])
 
-    def at(h: Column) -> Column:
-        keys = F.transform(
-            F.sequence(F.lit(0), F.size(h) - SPAN, F.lit(stride)),
-            lambda i: F.array(*[F.xxhash64(F.lit(m), *[F.get(h, i + k) for k in range(SPAN) if mask[k] == "1"])
-                                for m, mask in enumerate(MASKS)]))
-        return F.when(F.size(h) >= SPAN, F.flatten(keys))
 
-    return _let(tokens, at)
+def _by_key(seeds: DataFrame, *keep: str) -> DataFrame:
+    """A row per position and mask instead."""
+    return seeds.select(*keep, "at", F.explode(F.array(*[f"key{m}" for m in range(len(MASKS))])).alias("key"))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,12 +73,21 @@ def _small(df: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(_id, _th, at, item, item_at): where a seed of a document equals one of an item."""
-    n = len(MASKS)
-    place = lambda stride: (F.floor(F.col("k") / n) * stride).cast("int")
-    ours = items.select("item", F.posexplode(_seeds(F.col("tokens"), 1)).alias("k", "key")).select(
-        "key", "item", place(1).alias("item_at")).distinct().transform(cut_lineage)
-    theirs = docs.select("_id", "_th", F.posexplode(_seeds(token_hashes(F.col("_text")), STRIDE)).alias("k", "key"))
-    return theirs.join(_small(ours), "key").select("_id", "_th", place(STRIDE).alias("at"), "item", "item_at").distinct()
+    ours = (_by_key(_seeds(items, F.col("tokens"), "item"), "item").withColumnRenamed("at", "item_at")
+            .distinct().transform(cut_lineage))
+    theirs = _seeds(docs, token_hashes(F.col("_text")), "_id", "_th")
+    if ours.count() > BROADCAST_ROWS:
+        both = _by_key(theirs, "_id", "_th").join(ours, "key")
+    else:  # one broadcast, looked up three times a position: only positions with a hit become rows
+        places = ours.groupBy("key").agg(F.collect_list(F.struct("item", "item_at")).alias("places"))
+        found = [f"places{m}" for m in range(len(MASKS))]
+        for m, c in enumerate(found):
+            theirs = theirs.join(F.broadcast(places.select(F.col("key").alias(f"key{m}"), F.col("places").alias(c))),
+                                 f"key{m}", "left")
+        some = theirs.where(F.coalesce(*found).isNotNull())
+        each = some.select("_id", "_th", "at", F.explode(F.array_compact(F.array(*found))).alias("_p"))
+        both = each.select("_id", "_th", "at", F.explode("_p").alias("_p")).select("_id", "_th", "at", "_p.item", "_p.item_at")
+    return both.select("_id", "_th", "at", "item", "item_at").distinct()
 
 
 def _grown(doc: Column, item: Column, at: Column, item_at: Column, step: int) -> Column:

@@ -118,6 +118,24 @@ def test_planted_passages(spark, change):
     assert decontaminate.drop_contaminated(df, bench).count() == len(docs) - len(dirty) - 2
 
 
+def _planted(spark, cases):
+    """Whether each (item, copy, offset) is found, the copy behind ``offset`` other words."""
+    docs = [(k, " ".join([f"before{k}x{i}" for i in range(at)] + copy + [f"after{k}x{i}" for i in range(9)]))
+            for k, (_, copy, at) in enumerate(cases)]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, (item, _, _) in enumerate(cases)], "item_id long, text string")
+    got = decontaminate.verdicts(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    return [bad for _, bad in sorted((r.doc_id, r.contaminated) for r in got.collect())]
+
+
+def test_exact_copies_at_every_offset(spark):
+    cases = []
+    for n in range(8, 21):
+        for at in range(4):
+            item = [f"w{n}x{at}x{i}" for i in range(n)]
+            cases.append((item, item, 20 + at))
+    assert all(_planted(spark, cases))
+
+
 # ------------------------------------------------------------ 4, 5, 6, 8, 9
 def test_bitmaps_round_trip():
     keep = line_dedup.unpack_bitmap(line_dedup.pack_bitmap(21, np.array([0, 7, 20])), 21)
