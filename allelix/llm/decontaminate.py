@@ -8,11 +8,11 @@ and masks find most that are interrupted.
 
 1. Join: document seeds meet item seeds on the hash. The item side is broadcast
    if its counted rows fit ``BROADCAST_ROWS``; beyond that Spark shuffles.
-2. Verify: around each hit document and item are laid side by side on the
-   hit's diagonal. To the left and to the right the overlap grows to
-   where matches - 3 * mismatches is largest, within ``REACH`` tokens. The document is contaminated
-   if the overlap has at least ``MIN_MATCHES`` equal tokens (all of a shorter
-   item) and at least ``PERCENT`` of its tokens are equal.
+2. Verify: document and item are laid side by side on the hit's diagonal, as far
+   as both reach. Of all stretches of which at least ``PERCENT`` of the tokens are
+   equal the one with the most equal tokens counts, wherever its changed tokens
+   stand. The document is contaminated if it has at least ``MIN_MATCHES`` equal
+   tokens; of an item shorter than that, ``PERCENT`` of its tokens.
 
 Items of fewer than ``SPAN`` tokens can't be told from ordinary text and are
 not searched. A null or short text has no seeds and is clean. A null id is an
@@ -30,7 +30,6 @@ from allelix.session import cut_lineage
 
 MASKS = ("11011011", "10111101", "11100111")
 SPAN = 8
-REACH = 64
 MIN_MATCHES, PERCENT = 13, 80
 BROADCAST_ROWS = 1_000_000  # of two or three longs: some 30 MB
 PUNCTUATION = ".,;:!?\"'()[]{}*#%$&|<>`_"
@@ -90,24 +89,47 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return both.select("_id", "_th", "at", "item", "item_at").distinct()
 
 
-def _grown(doc: Column, item: Column, at: Column, item_at: Column, step: int) -> Column:
-    """(matches, length) of the best extension from just outside the seed in one direction."""
-    first = -1 if step < 0 else SPAN
+def _longest(doc: Column, item: Column) -> Column:
+    """(matches, length) of the stretch with the most equal tokens among those at
+    least ``PERCENT`` equal; ``doc`` and ``item`` are aligned and equally long.
 
-    def walk(s: Column, k: Column) -> Column:
-        a, b = F.get(doc, at + first + step * k), F.get(item, item_at + first + step * k)
-        inside = (at + first + step * k >= 0) & (item_at + first + step * k >= 0) & a.isNotNull() & b.isNotNull()
-        same = F.when(a == b, 1).otherwise(0)
-        score = s["score"] + F.when(a == b, 1).otherwise(-3)
-        matches = s["matches"] + same
-        better = score > s["best"]
-        return F.when(~F.coalesce(inside, F.lit(False)), s).otherwise(F.struct(
-            score.alias("score"), matches.alias("matches"), F.greatest(score, s["best"]).alias("best"),
-            F.when(better, matches).otherwise(s["best_matches"]).alias("best_matches"),
-            F.when(better, k + 1).otherwise(s["best_length"]).alias("best_length")))
+    A longest stretch lies between two changed tokens (or the ends): the k-th at
+    position p has height 100 p - cost k, and changes a < b bound a good stretch
+    if b isn't lower than a by more than a constant. So only new lows from the
+    left and new highs from the right can be ends, and one walk pairs them."""
+    cost = 10_000 // (100 - PERCENT)  # of a changed token, in hundredths of a position
+    ends = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.size(doc) - 1),
+                                                 lambda i: F.get(doc, i) != F.get(item, i)), F.array(F.size(doc)))
+    points = F.transform(ends, lambda p, k: F.struct(p.alias("p"), k.alias("k"), (100 * p - cost * k).alias("h")))
+    none = F.slice(points, 1, 0)
 
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("score", "matches", "best", "best_matches", "best_length")])
-    return F.aggregate(F.sequence(F.lit(0), F.lit(REACH - 1)), zero, walk)
+    def records(values: Column, beats) -> Column:
+        return F.aggregate(values, none, lambda s, x: F.when(
+            (F.size(s) == 0) | beats(x["h"], F.get(s, F.size(s) - 1)["h"]), F.concat(s, F.array(x))).otherwise(s))
+
+    return F.get(F.transform(F.array(F.struct(
+        records(points, lambda x, y: x < y).alias("a"),
+        F.reverse(records(F.reverse(points), lambda x, y: x > y)).alias("b"))), _paired(cost)), 0)
+
+
+def _paired(cost: int):
+    def pair(r: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            a, b = F.get(r["a"], s["i"]), F.get(r["b"], s["j"])
+            length = b["p"] - a["p"] - 1
+            matches = length - (b["k"] - a["k"] - 1)
+            # length * 100 >= cost * changed
+            good = b["h"] - a["h"] >= 100 - cost
+            return F.when(a.isNull() | b.isNull(), s).when(good, F.struct(
+                s["i"].alias("i"), (s["j"] + 1).alias("j"), F.greatest(s["best"], F.struct(
+                    matches.alias("matches"), length.alias("length"))).alias("best"))).otherwise(
+                F.struct((s["i"] + 1).alias("i"), s["j"].alias("j"), s["best"].alias("best")))
+
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"),
+                        F.struct(F.lit(0).alias("matches"), F.lit(0).alias("length")).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(r["a"]) + F.size(r["b"])), zero, step, lambda s: s["best"])
+
+    return pair
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -115,7 +137,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(_id, _th, item, matches, length): verified overlaps, the best of each (document, item)."""
     named = _named(docs, id_col, text_col)
     items = benchmark.select(F.col(item_id_col).alias("item"), token_hashes(F.col(item_text_col)).alias("tokens"))
-    found = hits(named, items).transform(cut_lineage)  # few rows, read three times
+    # a diagonal is judged once, whatever its hits; few rows, read three times
+    found = hits(named, items).select("_id", "_th", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    found = found.transform(cut_lineage)
     # texts of documents with hits alone go on
     some = named.join(_small(found.select("_id", "_th").distinct()).select(
         F.col("_id").alias("_hid"), F.col("_th").alias("_hth")),
@@ -124,23 +148,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                          token_hashes(F.col("_text")).alias("doc")).distinct()
     wide = (found.join(hashed, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_th") == F.col("_dth")))
             .join(items.withColumnRenamed("item", "_item"), F.col("item").eqNullSafe(F.col("_item")))
-            # the tokens within reach; positions count from the slice's start
-            .select("_id", "_th", "item", F.size("tokens").alias("n"),
-                    F.slice("doc", F.greatest(F.col("at") - REACH, F.lit(0)) + 1, F.lit(2 * REACH + SPAN)).alias("doc"),
-                    F.least("at", F.lit(REACH)).alias("at"),
-                    F.slice("tokens", F.greatest(F.col("item_at") - REACH, F.lit(0)) + 1,
-                            F.lit(2 * REACH + SPAN)).alias("tokens"),
-                    F.least("item_at", F.lit(REACH)).alias("item_at")))
-    doc, item, at, item_at = (F.col(c) for c in ("doc", "tokens", "at", "item_at"))
-    seed = F.aggregate(F.sequence(F.lit(0), F.lit(SPAN - 1)), F.lit(0),
-                       lambda acc, k: acc + F.when(F.get(doc, at + k) == F.get(item, item_at + k), 1).otherwise(0))
-    grown = wide.select("_id", "_th", "item", "n", seed.alias("seed"), _grown(doc, item, at, item_at, -1).alias("l"),
-                        _grown(doc, item, at, item_at, 1).alias("r"))
-    whole = grown.select("_id", "_th", "item", "n",
-                         (F.col("seed") + F.col("l.best_matches") + F.col("r.best_matches")).alias("matches"),
-                         (F.lit(SPAN) + F.col("l.best_length") + F.col("r.best_length")).alias("length"))
-    good = whole.where((F.col("matches") >= F.least(F.lit(MIN_MATCHES), F.col("n")))
-                       & (F.col("matches") * 100 >= F.col("length") * PERCENT))
+            .select("_id", "_th", "item", F.size("tokens").alias("n"), "doc", "tokens",
+                    F.greatest("shift", F.lit(0)).alias("a"), F.greatest(-F.col("shift"), F.lit(0)).alias("b")))
+    length = F.least(F.size("doc") - F.col("a"), F.size("tokens") - F.col("b"))
+    # out of a generator: the slices aren't computed again in each use
+    side = wide.select("_id", "_th", "item", "n", F.explode(F.array(F.struct(
+        F.slice("doc", F.col("a") + 1, length).alias("doc"), F.slice("tokens", F.col("b") + 1, length).alias("tokens")))).alias("s"))
+    whole = side.select("_id", "_th", "item", "n", F.explode(F.array(_longest(F.col("s.doc"), F.col("s.tokens")))).alias("o")).select(
+        "_id", "_th", "item", "n", "o.matches", "o.length")
+    need = F.when(F.col("n") < MIN_MATCHES, F.ceil(F.col("n") * PERCENT / 100)).otherwise(MIN_MATCHES)
+    good = whole.where(F.col("matches") >= need)
     best = good.groupBy("_id", "_th", "item").agg(F.max(F.struct("matches", "length")).alias("b"))
     return best.select("_id", "_th", "item", "b.matches", "b.length")
 

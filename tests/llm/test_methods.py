@@ -136,6 +136,33 @@ def test_exact_copies_at_every_offset(spark):
     assert all(_planted(spark, cases))
 
 
+def test_copies_with_substitutions(spark):
+    """All that meet the rule and hold a seed are found; below the rule none."""
+    rng, cases, want = random.Random(11), [], []
+    for n, most in ((8, 1), (9, 1), (12, 2), (13, 0), (14, 1), (15, 2), (16, 3), (18, 3), (20, 4), (200, 40)):
+        for changes in (most, most + 1):
+            for at in range(8):
+                item = [f"w{n}x{changes}x{at}x{i}" for i in range(n)]
+                off = set(rng.sample(range(n), changes)) if n < 200 else set(range(4, 5 * changes, 5))
+                seed = any(all(i + k not in off for k in range(8) if m[k] == "1")
+                           for i in range(n - 7) for m in decontaminate.MASKS)
+                copy = ["changed" if i in off else w for i, w in enumerate(item)]
+                # any stretch by brute force
+                best = max(b - a - len([x for x in off if a <= x < b]) for a in range(n) for b in range(a + 1, n + 1)
+                           if 100 * (b - a - len([x for x in off if a <= x < b])) >= 80 * (b - a))
+                cases.append((item, copy, 20 + at))
+                want.append(seed and best >= (13 if n >= 13 else -(-n * 80 // 100)))
+    assert _planted(spark, cases) == want and sum(want) > 60
+
+
+def test_matches_of_a_long_item_are_all_counted(spark):
+    item = [f"w{i}" for i in range(300)]
+    copy = [w if i % 10 else "changed" for i, w in enumerate(item)]
+    df = spark.createDataFrame([(1, " ".join(["before"] * 5 + copy + ["after"]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert decontaminate.verdicts(df, bench).first().matches == 270
+
+
 # ------------------------------------------------------------ 4, 5, 6, 8, 9
 def test_bitmaps_round_trip():
     keep = line_dedup.unpack_bitmap(line_dedup.pack_bitmap(21, np.array([0, 7, 20])), 21)
