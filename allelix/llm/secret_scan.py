@@ -3,10 +3,12 @@
 Base candidates (``assign``, ``access``, ``hex``) come from fixed patterns in
 every whole text; a fourth kind, ``token``, is a proposal of the method: a
 random-looking word that no pattern names. Every candidate's value is hashed, and the corpus is asked how many
-distinct repositories and owners hold it. A value with more than
-``max_owners`` owners is a widely copied example (documentation, test data,
-a licence key of a template); a value that one owner alone holds, and that
-looks random, is live-looking. Base spans are always kept and only graded;
+distinct repositories and owners hold it. Exact copies of a text count as one
+holder, the first of its owners and repositories, so that a crossposted document isn't
+many. A value with more than ``max_owners`` owners of distinct texts, with more
+than ``max_repos`` repositories of one owner, or in one text that more than
+``max_owners + 1`` owners hold, is a widely copied example (documentation, test
+data, a licence key of a template); any other that looks random is live-looking. Base spans are always kept and only graded;
 ``token`` proposals become spans only if they are live-looking.
 
 Owners and repositories are columns of the table (by default ``source`` and
@@ -36,6 +38,7 @@ from allelix.session import cut_lineage
 
 KINDS = ("assign", "access", "hex", "token")
 MAX_OWNERS = 1
+MAX_REPOS = 20  # of one owner
 MIN_BITS = 3.5  # Shannon bits per character of a live-looking value
 # fixed patterns of the base kinds; letters of the names in either case
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -109,22 +112,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return named.mapInArrow(_scan, f"_id bigint, _th bigint, _owner string, _repo string, found {SPAN}")
 
 
-def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(value, n_docs, n_repos, n_owners, copied) of every candidate value of the corpus.
+def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """(value, n_hits, n_repos, n_owners, copied) of every candidate value of the corpus.
 
-    ``copied``: more than ``max_owners`` owners hold it.
+    The counts are of all rows; ``copied`` is judged on distinct texts (see above).
     """
-    hits = found.select("_owner", "_repo", F.explode("found.value").alias("value"))
+    hits = found.select("_th", "_owner", "_repo", F.explode("found.value").alias("value"))
     # one row per repository, then per owner, then per value: each step combines inside tasks first
     repos = hits.groupBy("value", "_owner", "_repo").agg(F.count(F.lit(1)).alias("n"))
     owners = repos.groupBy("value", "_owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("r"))
-    return owners.groupBy("value").agg(
-        F.sum("n").alias("n_hits"), F.sum("r").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"),
-    ).withColumn("copied", F.col("n_owners") > max_owners)
+    counts = owners.groupBy("value").agg(
+        F.sum("n").alias("n_hits"), F.sum("r").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+    # the same over texts: the owners of a text, its one holder, then the holders of a value
+    spread = hits.groupBy("value", "_th", "_owner").agg(F.min(F.struct("_owner", "_repo")).alias("h"))
+    texts = spread.groupBy("value", "_th").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("o"))
+    held = texts.groupBy("value", F.col("h._owner").alias("_owner"), F.col("h._repo").alias("_repo")).agg(F.max("o").alias("o"))
+    each = held.groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("r"), F.max("o").alias("o"))
+    wide = each.groupBy(F.col("value").alias("_value")).agg(
+        ((F.count(F.lit(1)) > max_owners) | (F.max("r") > max_repos) | (F.max("o") > max_owners + 1)).alias("copied"))
+    return counts.join(wide, F.col("value") == F.col("_value")).drop("_value")
 
 
 def graded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-           repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+           repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """(id, spans): per row, its spans (start, stop, kind, n_owners, n_repos, copied, live).
 
     Base spans are all there; ``token`` spans only where live-looking.
@@ -132,7 +142,7 @@ def graded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     # few rows of numbers, read by the count and by the join: the texts are scanned once
     found = scan(docs, id_col, text_col, owner_col, repo_col).withColumn(
         "_row", F.monotonically_increasing_id()).transform(cut_lineage)
-    owned = ownership(found, max_owners)
+    owned = ownership(found, max_owners, max_repos)
     each = found.where(F.size("found") > 0).select("_row", F.explode("found").alias("s")).join(
         owned, F.col("s.value") == F.col("value"))
     live = F.col("s.random") & ~F.col("copied")

@@ -226,3 +226,15 @@ def test_owners_tell_examples_from_secrets(spark):
     out = {r.doc_id: r.spans for r in secret_scan.graded(df).collect()}
     assert [len(out[i]) for i in range(6)] == [0] * 6 and out[10] == []
     assert len(out[9]) == 1 and out[9][0].live and not out[9][0].copied
+
+
+def test_crossposts_and_hot_sources(spark):
+    leaked, sample, two = "Zx9Kq2Lm8Pw4Rt6Yu1Io3As5Df7Gh0", "Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0Lz9", "Mn3Bv5Cx7Zl9Kj1Hg4Fd6Sa8Po0Iu2"
+    rows = [(1, f"x {leaked} y", "s1"), (2, f"x {leaked} y", "s2")]  # one document, crossposted
+    rows += [(100 + i, f"text {i} {sample} end", "hot") for i in range(30)]  # one owner, many texts
+    rows += [(3, f"one {two}", "s1"), (4, f"other {two}", "s2")]  # distinct texts of two owners
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.spans for r in secret_scan.graded(df).collect()}
+    for i in (1, 2):
+        assert len(out[i]) == 1 and out[i][0].live and out[i][0].n_owners == 2 and out[i][0].n_repos == 2
+    assert not any(out[i] for i in out if i > 2)
