@@ -93,9 +93,90 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a
 """
 
+# crc32 has no function: its table by rule, then a fold over a word's bytes (a hex digit pair each)
+IMPORTANCE_RESAMPLE = f"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+      FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+f AS (SELECT doc_id, unnest(w) AS w FROM d),
+s AS (SELECT w, count(*) AS n FROM f GROUP BY w),
+t AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM q) GROUP BY w),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM s UNION SELECT w FROM t)),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2),
+               lambda i: (position(h[2 * i + 1] IN '0123456789ABCDEF') - 1) * 16 + position(h[2 * i + 2] IN '0123456789ABCDEF') - 1)),
+               lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM v, crc),
+sb AS (SELECT bucket, sum(n) AS n FROM s JOIN b ON s.w = b.w GROUP BY bucket),
+tb AS (SELECT bucket, sum(n) AS n FROM t JOIN b ON t.w = b.w GROUP BY bucket),
+g AS (SELECT sb.bucket, floor(1000 * ln((coalesce(tb.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+             / ((sb.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM sb LEFT JOIN tb ON sb.bucket = tb.bucket),
+m AS (SELECT doc_id, sum(gain) AS total, count(*) AS n FROM f JOIN b ON f.w = b.w JOIN g ON b.bucket = g.bucket GROUP BY doc_id),
+h AS (SELECT d.doc_id, len(d.w) AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+             ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h
+      FROM d LEFT JOIN m ON d.doc_id = m.doc_id),
+o AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 20)
+SELECT o.doc_id, n_features::BIGINT AS n_features, weight, score,
+       CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank
+FROM o LEFT JOIN r ON o.doc_id = r.doc_id
+"""
+
+PHRASE_MINING = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split(translate(translate(coalesce(text, ''), {_UPPER}), ',;:!?' || chr(10) || chr(11) || chr(12) || chr(13),
+                             '.........'), '.')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) o(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, phrase, a, words, i, array_to_string(words[:i], ' ') AS head, array_to_string(words[i + 1:], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (SELECT cut.lang, phrase, a, i, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+      FROM cut JOIN (SELECT lang, phrase AS head, f FROM f) x ON cut.lang = x.lang AND cut.head = x.head
+      JOIN (SELECT lang, phrase AS rest, f FROM f) y ON cut.lang = y.lang AND cut.rest = y.rest),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+sub AS (SELECT lang, part, max(a) AS a FROM (
+          SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS part FROM c WHERE k = 3)
+        GROUP BY lang, part),
+kept AS (SELECT low.* FROM low LEFT JOIN sub ON low.lang = sub.lang AND low.phrase = sub.part
+         WHERE sub.a IS NULL OR 100 * sub.a < 50 * low.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a,
+       l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN n ON kept.lang = n.lang
+QUALIFY rank <= 2000
+"""
+
+RELATIVE_PARSE = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), {_WS}, '      '), ' '), lambda x: x <> '') AS words
+  FROM documents),
+w AS (SELECT doc_id, i, md5_number(array_to_string(words[i:i + 12], ' ')) AS k
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d)),
+least AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT w.doc_id, w.i + j AS i FROM w JOIN least ON w.k = least.k, range(13) r(j) WHERE w.doc_id > least.m),
+x AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS text FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i
+         GROUP BY x.doc_id),
+n AS (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n.removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
 ORACLES = {
     "op3_suffix_dedup": SUFFIX_DEDUP,
     "op4_line_dedup": LINE_DEDUP,
     "op6_minhash_dedup": MINHASH_DEDUP,
     "op10_quality_rules": QUALITY_RULES,
+    "op11_importance_resample": IMPORTANCE_RESAMPLE,
+    "op12_phrase_mining": PHRASE_MINING,
+    "op13_relative_parse": RELATIVE_PARSE,
 }

@@ -7,10 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash_dedup, pii_tagger, quality_rules, secret_scan, source_mix, suffix_dedup, token_binary, url_filter
+from . import (decontaminate, importance_resample, line_dedup, minhash_dedup, phrases, pii_tagger, quality_rules,
+               relative_parse, secret_scan, source_mix, suffix_dedup, token_binary, url_filter)
 
 URL_RULES = (url_filter.HostRule("net/", False), url_filter.HostRule("example.net/en/", True),
-             url_filter.HostRule("example.com/de/", False), url_filter.HostRule("org/fr", True))
+             url_filter.HostRule("example.com/de/", False), url_filter.HostRule("org/fr/", True))
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -71,6 +72,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        quality_rules.verdict(quality_rules.STRICT).alias("kept"), "fail_bits")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance_resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_relative_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_parse.remove_passages(read(spark, sf_dir, "documents"), relative_parse.digest, relative_parse.DIGEST)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii_tagger": op2_pii_tagger,
@@ -82,4 +96,7 @@ QUERIES = {
     "op8_token_binary": op8_token_binary,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_relative_parse": op13_relative_parse,
 }
