@@ -10,8 +10,12 @@
    about ``shard_words`` words of all sources and no source, however large,
    is one group. In each shard the sources' blocks of ``block_words`` words
    are apportioned by highest quotients votes / (2 s + 1) (Sainte-Lague),
-   where a source's votes are its words in the shard times its target / size.
-   This gives an integer quota per (shard, source).
+   where a source's votes are its words in the shard times its target / size,
+   counted in blocks of its own mean width there (a short last block is no whole
+   block). This gives an integer quota per (shard, source). What rounding takes or gives
+   is dealt over the shards: votes and seats are moved by an offset of -1/2 to 1/2 block that
+   runs evenly through the shards from a seeded start, so a source of a block a
+   shard gets its target over all shards too.
 4. The words of a (shard, source) pair, its documents in seeded order, are cut
    into equal blocks. A quota q over n blocks takes every block q // n times
    and q % n blocks, in seeded order, once more, so no block is taken more
@@ -25,11 +29,13 @@ without words, gives targets of 0. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,8 +162,14 @@ def chosen_blocks(n_blocks: int, quota: int, seed: int) -> np.ndarray:
     return taken
 
 
-def shard_quotas(shards: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """(_shard, _src, words, target share) -> the same with ``quota``.
+def _offset(shard: int, start: int) -> float:
+    """In [0, 1): neighbouring shards' offsets lie evenly (steps of the golden ratio)."""
+    return (start / 2.0**64 + shard * 0.6180339887498949) % 1.0
+
+
+def shard_quotas(shards: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT,
+                 seed: int = SEED) -> DataFrame:
+    """(_shard, _src, words, votes: words to take) -> the same with ``quota``.
 
     ``shards`` has a row per (shard, source): one group holds a shard's
     sources, already summed, never its documents.
@@ -165,9 +177,14 @@ def shard_quotas(shards: DataFrame, block_words: int = BLOCK_WORDS, max_repeat:
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_src", na_position="last", kind="stable")
-        votes = pdf["votes"].to_numpy()
-        blocks = -(-pdf["words"].to_numpy() // block_words)
-        pdf["quota"] = sainte_lague(votes, int(round(votes.sum() / block_words)), blocks * max_repeat)
+        shard, words = int(pdf["_shard"].iloc[0]), pdf["words"].to_numpy()
+        blocks = -(-words // block_words)
+        votes = pdf["votes"].to_numpy() * blocks / np.maximum(words, 1)  # in blocks of the pair's mean width
+        start = lambda name: xxhash.xxh64_intdigest(name, seed)
+        own = [_offset(shard, start("null" if s is None else "0" + s)) for s in pdf["_src"].where(pdf["_src"].notna(), None)]
+        moved = np.where(votes > 0, np.maximum(votes + np.array(own) - 0.5, 1e-9), 0.0)
+        seats = math.floor(votes.sum() + _offset(shard, start("seats")))
+        pdf["quota"] = sainte_lague(moved, seats, blocks * max_repeat)
         return pdf[["_shard", "_src", "quota"]]
 
     return shards.groupBy("_shard").applyInPandas(share, "_shard bigint, _src string, quota bigint")
@@ -238,13 +255,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
               .select("_shard", "_src", "words",
                       F.when(F.col("source_size") > 0, F.col("words") * F.col("target") / F.col("source_size"))
                       .otherwise(0.0).alias("votes")))
-    quotas = shard_quotas(shards, block_words, max_repeat).select(
+    quotas = shard_quotas(shards, block_words, max_repeat, seed).select(
         F.col("_shard").alias("_qshard"), F.col("_src").alias("_qsrc"), "quota")
     ready = joined.join(quotas, (F.col("_shard") == F.col("_qshard")) & F.col("_src").eqNullSafe(F.col("_qsrc")))
-    return ready.drop("_qshard", "_qsrc").groupBy("_shard", "_src").applyInPandas(
+    # documents without words give nothing to a group: however many there are, none of them is sent to one
+    taken = ready.drop("_qshard", "_qsrc").where("size > 0").groupBy("_shard", "_src").applyInPandas(
         _take(block_words, seed),
         "_id bigint, _th bigint, _src string, size bigint, source_size bigint, target double, taken bigint, "
         "spans array<array<bigint>>")
+    return taken.unionByName(joined.where("size = 0").select(
+        "_id", "_th", "_src", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"),
+        F.array().cast("array<array<bigint>>").alias("spans")))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

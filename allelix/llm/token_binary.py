@@ -26,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ WIDTH = 8
 END_ID = 2
 SHARD_TOKENS = 1_000_000
 RANK_BITS = 512
-# pieces of text whose ids a Python worker keeps, in each of its two tables
-CACHE_PIECES = 600_000
+# words whose ids a Python worker keeps (some 200 bytes each), characters of text that it encodes at a time
+CACHE_PIECES = 400_000
+BATCH_CHARS = 5_000_000
 
 
 # ---------------------------------------------------------------- the format
@@ -110,19 +112,26 @@ def encode_levels(ids: np.ndarray, width: int = WIDTH) -> list[tuple[bytes, byte
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word once.
 
-    The byte-level pre-tokenizer always starts a new word at a space that is
+    The library first cuts a text at the tokenizer's added tokens (such as an
+    end marker written out in a text); the rest is encoded between them. There the
+    byte-level pre-tokenizer always starts a new word at a space that is
     followed by a character other than white space, whatever stands before
     it. Cut there, a text falls into pieces whose ids don't depend on their
     neighbours. Inside a piece, a single line end between other characters
     and the stops behind a run of letters are words of their own too. Unknown
     words are encoded by the library, joined into one call, and kept; a
-    table is emptied when it is full.
+    table is emptied when it is full. Pieces are numbered per batch, and the ids of
+    all texts are gathered by these numbers.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = list(self.tok.get_added_tokens_decoder().values())
+        # tokens that take in their surroundings, or that joined words could form, leave whole texts to the library
+        self.simple = not any(t.lstrip or t.rstrip or t.single_word or t.normalized or _WHITE.search(t.content) for t in added)
+        names = sorted((t.content for t in added), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
@@ -148,48 +157,72 @@ class PieceEncoder:
         for w, lo, hi in zip(order, (at * 4).tolist(), stop):
             table[w] = raw[lo + skip:hi]
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids (uint32) of each text."""
+        texts = [t or "" for t in texts]
+        if self.added is not None and any(map(self.added.search, texts)):
+            return self._around_added(texts)
         if len(self.spaced) + len(self.bare) > CACHE_PIECES:
             self.spaced.clear()
             self.bare.clear()
             self.bare["\n"] = self.line_end.tobytes()
-        spaced, bare = self.spaced, self.bare
-        cut = [_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        every: set[str] = set()
-        for pieces in cut:
-            every.update(pieces[1:])
-        parts: dict[str, list[str]] = {}  # pieces of several words
-        made: dict[str, bytes] = {}  # their ids, for this batch
-        new_spaced: set[str] = set()
+        cut = [_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbered = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        pieces, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        # a text's first piece stands behind no space: it has an entry of its own
+        number[np.cumsum(sizes) - sizes] = len(pieces) + np.arange(len(cut))
+        used = np.nonzero(np.bincount(number, minlength=len(pieces))[:len(pieces)])[0].tolist()
+        table = [b""] * len(pieces)
+        for i, raw in zip(used, self._pieces([pieces[i] for i in used], True)):
+            table[i] = raw
+        table += self._pieces([c[0] for c in cut], False)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        ids = np.frombuffer(b"".join(table), "<u4")
+        start, count = (np.cumsum(size) - size)[number], size[number]
+        end = np.cumsum(count)
+        out = ids[np.repeat(start - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
+        return np.split(out, end[np.cumsum(sizes) - 1][:-1])
+
+    def _pieces(self, pieces: list[str], space: bool) -> list[bytes]:
+        """Ids of each piece, behind a space or at a text's start."""
+        first = self.spaced if space else self.bare
+        split: dict[int, list[str]] = {}
+        out: list[bytes | None] = []
+        new_first: set[str] = set()
         new_bare: set[str] = set()
-        for piece in every:
-            if piece in spaced:
+        for i, piece in enumerate(pieces):
+            raw = first.get(piece) if piece else b""
+            out.append(raw)
+            if raw is not None:
                 continue
-            if piece.isalpha():
-                new_spaced.add(piece)
-                continue
-            words = _words_of(piece)
+            words = [piece] if piece.isalpha() else _words_of(piece)
             if words is None:
-                made[piece] = self.ids(" " + piece).tobytes()
+                out[i] = self.ids((" " if space else "") + piece).tobytes()
                 continue
-            if words[0] not in spaced:
-                new_spaced.add(words[0])
-            if len(words) > 1:
-                parts[piece] = words
-                new_bare.update(w for w in words[1:] if w not in bare)
-        self._learn(new_spaced, spaced, " ")
-        self._learn(new_bare, bare, "\n")
-        for piece, (head, *rest) in parts.items():
-            made[piece] = spaced[head] + b"".join([bare[w] for w in rest])
-
-        out = []
-        get, special = spaced.get, made.get
-        for pieces in cut:
-            head = self.ids(pieces[0]).tobytes() if pieces[0] else b""
-            out.append(head + b"".join([get(x) or special(x) for x in pieces[1:]]))
+            split[i] = words
+            if words[0] not in first:
+                new_first.add(words[0])
+            new_bare.update([w for w in words[1:] if w not in self.bare])
+        if not space:
+            new_bare |= new_first
+        else:
+            self._learn(new_first, self.spaced, " ")
+        self._learn(new_bare, self.bare, "\n")
+        bare = self.bare
+        for i, (head, *rest) in split.items():
+            out[i] = first[head] + b"".join([bare[w] for w in rest]) if rest else first[head]
         return out
 
+    def _around_added(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts that hold added tokens, cut at them."""
+        if not self.simple:
+            return [self.ids(t) for t in texts]
+        parts = [self.added.split(t) for t in texts]  # text, token, text, ...
+        made = iter(self.encode_batch([p for ps in parts for p in ps[::2]]))
+        token = lambda name: np.array([self.tok.token_to_id(name)], "<u4")
+        return [np.concatenate([token(p) if k % 2 else next(made) for k, p in enumerate(ps)]) for ps in parts]
+
 
 def _words_of(piece: str) -> list[str] | None:
     """A piece as words that the library encodes apart, the first one behind a
@@ -240,11 +273,11 @@ _SHARD = pa.schema([("part", pa.int32()), ("first_place", pa.int64()), ("n_token
 def _write_shards(tokenizer: str, end_id: int, width: int, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         place, docs, known, starts, parts, size = 0, [], [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             levels = encode_levels(ids, width)
             row = [part, place, len(ids), width, np.array(docs, "<i8").tobytes(), bytes(known),
                    np.array(starts, "<i8").tobytes(), *([lv[k] for lv in levels] for k in range(3))]
@@ -252,14 +285,15 @@ def _write_shards(tokenizer: str, end_id: int, width: int, shard_tokens: int):
 
         for batch in batches:
             ids_of, texts = batch.column("_id").to_pylist(), batch.column("_text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                some = texts[lo:lo + 256]
-                for doc, raw in zip(ids_of[lo:lo + 256], enc.encode_batch(some)):
+            turn = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
+            edge = [0, *(np.nonzero(np.diff(turn))[0] + 1).tolist(), len(texts)]
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                for doc, own in zip(ids_of[lo:hi], enc.encode_batch(texts[lo:hi])):
                     docs.append(doc or 0)
                     known.append(doc is not None)
                     starts.append(size)
-                    parts += (raw, end)
-                    size += len(raw) // 4 + 1
+                    parts += (own, end)
+                    size += len(own) + 1
                     if size >= shard_tokens:
                         yield shard()
                         place += size

@@ -1,6 +1,7 @@
 """Plain, slow versions of the operators' contracts, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -159,3 +160,64 @@ def quality(text):
     n = len(words)
     return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(rows) - len(set(rows)), len(hit),
             n < 50 or 100 * len(hit) > 50 * n)
+
+
+def importance(docs, target, percent=10, buckets=10_000, seed=2024):
+    """docs: [(id, text)], target: [text] -> [(id, n_features, weight, score, rank)]."""
+    found = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    bucket = lambda w: zlib.crc32(w.encode()) % buckets
+    s, t = (Counter(bucket(w) for x in texts for w in found(x)) for texts in ([x for _, x in docs], target))
+    S, T = sum(s.values()), sum(t.values())
+    rows = []
+    for i, text in docs:
+        gains = [math.floor(1000 * math.log((t[b] + 1) * (S + buckets) / ((s[b] + 1) * (T + buckets))))
+                 for b in map(bucket, found(text))]
+        weight = sum(gains) // len(gains) if gains else 0
+        h = int(sha(f"{seed}:{'null' if i is None else i}")[:8], 16)
+        rows.append((i, len(gains), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    fit = sorted((r for r in rows if r[1] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[2]))
+    rank = {id(r): k for k, r in enumerate(fit[:percent * len(fit) // 100], 1)}
+    return [(*r, rank.get(id(r))) for r in rows]
+
+
+def collocations(docs, min_count=10, percent=50, top=2000):
+    """docs: [(lang, text)] -> [(lang, rank, phrase, a, l, r, n, score)]."""
+    f = Counter()
+    for lang, text in docs:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in (1, 2, 3):
+                f.update((lang or "und", *w[i:i + k]) for i in range(len(w) - k + 1))
+    n = Counter()
+    for (lang, *w), a in f.items():
+        n[lang] += a * (len(w) == 1)
+    cands = {g: a for g, a in f.items() if len(g) > 2 and a >= min_count}
+    out = defaultdict(list)
+    for (lang, *w), a in cands.items():
+        longer = [b for (x, *v), b in cands.items() if x == lang and len(v) > len(w)
+                  and any(v[i:i + len(w)] == w for i in range(len(v) - len(w) + 1))]
+        if any(100 * b >= percent * a for b in longer):
+            continue
+        cut = min((1000000 * a * a // (f[lang, *w[:k]] * f[lang, *w[k:]]), k) for k in range(1, len(w)))
+        out[lang].append((-cut[0], -a, " ".join(w).encode(), f[lang, *w[:cut[1]]], f[lang, *w[cut[1]:]]))
+    return [(lang, rank, p.decode(), -a, l, r, n[lang], -s) for lang, rows in out.items()
+            for rank, (s, a, p, l, r) in enumerate(sorted(rows)[:top], 1)]
+
+
+def passages(docs, size=13):
+    """docs: [(id, text)] -> [(id, n_words, n_removed, kept sha)]."""
+    key = lambda i: BIG if i is None else i
+    words = [WORD.findall(t or "") for _, t in docs]
+    least = {}
+    for (i, _), w in zip(docs, words):
+        for p in range(len(w) - size + 1):
+            g = tuple(w[p:p + size])
+            least[g] = min(least.get(g, BIG + 1), key(i))
+    out = []
+    for (i, _), w in zip(docs, words):
+        gone = set()
+        for p in range(len(w) - size + 1):
+            if least[tuple(w[p:p + size])] < key(i):
+                gone.update(range(p, p + size))
+        out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out

@@ -42,6 +42,8 @@ def case_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("cases"))
     rows = [(i, t, s, "en", len(t or ""), 1, "x", 5, "k") for i, t, s in cases()]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
+    items = [(1, "The quick brown fox of the harbour", 7), (1, "and a NIGHT of ships", 8), (None, None, 9), (3, "", 9)]
+    spark.createDataFrame(items, "item_id bigint, text string, doc_id int").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 

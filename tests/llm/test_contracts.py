@@ -88,7 +88,6 @@ def test_op6(spark, data):
 def test_op8(spark, data):
     d, docs = data
     tok = Tokenizer.from_file(public_tokenizers.path(Q.TOKENIZER))
-    tok.encode_special_tokens = True
     got = rows(Q.op8_token_binary(spark, d), "doc_id", "start", "n_tokens", "ids_crc32")
     assert got == sorted(brute.tokens([r[:2] for r in docs], tok), key=none_last)
 
@@ -119,6 +118,27 @@ def test_op10(spark, data):
     assert got.where("base_failed AND kept").count() == 0
 
 
+def test_op11(spark, data):
+    d, docs = data
+    target = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    got = rows(Q.op11_importance_resample(spark, d), "doc_id", "n_features", "weight", "score", "rank")
+    assert got == sorted(brute.importance([r[:2] for r in docs], target), key=none_last)
+    assert any(r[4] for r in got)
+
+
+def test_op12(spark, data):
+    d, _ = data
+    docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("lang", "text").collect()]
+    got = rows(Q.op12_phrase_mining(spark, d), "lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert got == sorted(brute.collocations(docs)) and got
+
+
+def test_op13(spark, data):
+    d, docs = data
+    got = rows(Q.op13_relative_parse(spark, d), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.passages([r[:2] for r in docs]), key=none_last)
+
+
 def test_empty_tables(spark, empty_dir):
     for name, query in Q.QUERIES.items():
         assert query(spark, empty_dir).count() == 0, name

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from allelix.llm import decontaminate, line_dedup, minhash_dedup, pii_tagger, secret_scan, source_mix, token_binary
+from allelix.llm import (decontaminate, importance_resample, line_dedup, minhash_dedup, phrases, pii_tagger, relative_parse,
+                         secret_scan, source_mix, token_binary)
 from allelix.llm import queries as Q
 from allelix.llm import url_filter as U
 from tests.llm import brute
@@ -19,11 +20,14 @@ SF01 = "/root/testdata/sf0.01"
 # ------------------------------------------------------------------ 1: urls
 def test_url_parts_and_rules(spark):
     odd = [(0, None), (1, ""), (2, "no scheme/net/"), (3, "HTTP://A.Example.NET/en/x?y#z"), (4, "http://net/"),
-           (5, "x://example.net"), (6, "http://example.org/frx"), (7, "http://notexample.com/de/"), (8, "a://b://c.net/d"),
+           (5, "x://example.net"), (6, "http://example.org/frx"), (60, "http://x.org/fr/a"), (61, "http://x.org/french"), (62, "http://x.org/fr?q"), (7, "http://notexample.com/de/"), (8, "a://b://c.net/d"),
            (9, "http://ÄB.net/é\nx?"), (10, "http://example.com/de/1"), (11, "http://example.com/de")]
     df = spark.createDataFrame(odd, "page_id long, url string").unionByName(
         spark.read.parquet(f"{SF01}/pages.parquet").select((F.col("page_id") + 100).alias("page_id"), "url"))
     urls = {r.page_id: r.url for r in df.collect()}
+    # the four rules as the contract has them
+    assert [(r.rule, r.allow) for r in Q.URL_RULES] == [
+        ("net/", False), ("example.net/en/", True), ("example.com/de/", False), ("org/fr/", True)]
     for r in U.judge_urls(df, Q.URL_RULES).collect():
         assert (r.host, r.path, r.rule) == brute.url_parts(urls[r.page_id], Q.URL_RULES)
         if r.rule:
@@ -215,8 +219,109 @@ def test_pieces_are_the_librarys_own(monkeypatch):
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     got = [x for lo in range(0, len(texts), 64) for x in enc.encode_batch(texts[lo:lo + 64])]
     tok = Tokenizer.from_file(public_tokenizers.path(Q.TOKENIZER))
-    tok.encode_special_tokens = True
-    assert got == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    # the contract's own example: a marker written out in a text is the marker
+    assert enc.encode_batch(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
+def test_rare_sources_meet_their_target(spark):
+    """A source with one document of a few words in each of many shards."""
+    filler = [(i, " ".join(f"w{k}" for k in range(400)), "a") for i in range(200)]
+    for n in (3, 8, 20):
+        rare = [(1000 + i, " ".join("x" * n), "b") for i in range(200)]
+        df = spark.createDataFrame(filler + rare, "doc_id long, text string, source string")
+        out = source_mix.mix(df, shard_words=800).groupBy("_src").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+        for r in out.collect():
+            assert abs(r.taken - r.target) <= 0.05 * r.target, (n, r)
+
+
+# ---------------------------------------------------------------- 11, 12, 13
+def test_gram_table_with_colliding_keys():
+    rng = random.Random(11)
+    words = [rng.choice([b"a", b"bb", b"", b"ccc", b"d" * 40, b"e%d" % rng.randint(0, 50)]) for _ in range(500)]
+    for key in (lambda w: 7, lambda w: len(w), lambda w: 2**64 - 1 - len(w) % 3):
+        t = importance_resample.GramTable(words, key=key)
+        assert [words[t.owner[s]] for s in t.slot] == words  # verified by bytes
+        assert len(t.used) == len(set(words)) and t.count.sum() == len(words)
+        assert all(t.count[s] == words.count(words[t.owner[s]]) for s in t.used)
+
+
+def test_longer_runs_and_draw_moves_to_the_target(spark):
+    assert importance_resample.grams(b"A b,c", 3) == (3, [b"a", b"b", b"c", b"a b", b"b c", b"a b c"])
+    rng = random.Random(3)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    good, other = [f"good{i}" for i in range(40)], [f"other{i}" for i in range(40)]
+    docs = [(i, text(good if i % 10 == 0 else other)) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    target = spark.createDataFrame([(text(good),) for _ in range(20)], "text string")
+    for longest in (1, 2):
+        drawn = importance_resample.drawn_documents(df, target, longest=longest)
+        ids = [r.doc_id for r in drawn.collect()]
+        # one document in ten is of the target: by chance some 4 of the 40
+        assert len(ids) == 40 and sum(i % 10 == 0 for i in ids) >= 20 and drawn.columns == df.columns
+
+
+def test_phrases_by_language_and_exact_scores(spark):
+    rows = [(None, "New York city. " * 12 + "new day, " * 3), ("und", "new york! " * 4), ("xx", "a a a a " * 9), ("xx", None)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    want = sorted(brute.collocations(rows))
+    for size in (20, 10**9):  # many buckets, one bucket
+        got = sorted(tuple(r) for r in phrases.collocations(df, bucket_bytes=size).select(
+            "lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+        assert got == want and want
+    a, left, right = 3 * 10**15, 3 * 10**15 + 7, 5 * 10**15 + 1
+    big = spark.createDataFrame([(a, left, right)], "a long, l long, r long")
+    assert big.select(phrases.exact_score("a", "l", "r")).first()[0] == 1000000 * a * a // (left * right)
+
+
+def test_top_phrases_and_full_tables(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [("en", " ".join(rng.choice(words) for _ in range(300))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = sorted(tuple(r) for r in phrases.collocations(df, top=50, bucket_bytes=3000).collect())
+    assert got == sorted(brute.collocations(rows, top=50)) and len(got) == 50
+    # tables that are full after every part give the same messages in more pieces
+    monkeypatch.setattr(phrases, "SORT_KEYS", 50)
+    monkeypatch.setattr(phrases, "PART_TOKENS", 40)
+    count = {}
+    own = phrases.Stripes(3)
+    for b in [*own.add("en", [t.encode() for _, t in rows]), *own.flush()]:
+        for lines, n in zip(b.column("lines").to_pylist(), b.column("counts").to_pylist()):
+            for line, k in zip(lines.split(b"\n"), np.frombuffer(n, "<u4").tolist()):
+                count[line] = count.get(line, 0) + k
+    want = {}
+    for _, t in rows:
+        w = t.encode().split()
+        for i, x in enumerate(w):
+            want[x] = want.get(x, 0) + 1
+            if i + 1 < len(w):
+                line = x + b" " + w[i + 1] + b" " + (w[i + 2] if i + 2 < len(w) else b"")
+                want[line] = want.get(line, 0) + 1
+    assert count == want
+
+
+@pytest.mark.parametrize("block_bytes,fan", [(300, 1), (1500, 2), (10**9, 64)])
+def test_relative_parse_over_many_blocks(spark, block_bytes, fan):
+    rng = random.Random(block_bytes)
+    words = [f"w{i}" for i in range(400)]
+    passage = [[rng.choice(words) for _ in range(n)] for n in (12, 13, 14, 40, 200)]
+    rows = []
+    for i in range(120):
+        text = []
+        for _ in range(rng.randint(0, 4)):
+            text += [rng.choice(words) for _ in range(rng.randint(0, 30))]
+            p = rng.choice(passage)
+            a = rng.randint(0, len(p) - 12)
+            text += p[a:a + rng.randint(12, 200)]
+        rows.append((rng.choice([i, i, i, 5, None]), " ".join(text) if text else None))
+    rows += [(500 + i, " ".join(["same"] * n)) for i, n in enumerate((5, 13, 30, 100))]  # periodic
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = relative_parse.remove_passages(df, relative_parse.digest, relative_parse.DIGEST, block_bytes=block_bytes, fan=fan)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(brute.passages(rows), key=key)
+    spans = {r.doc_id: r for r in relative_parse.removed_spans(df.where("doc_id >= 500"), block_bytes=block_bytes).collect()}
+    assert spans[500].spans == [] and spans[503].kept == "" and spans[503].spans[0].stop == 100
 
 
 def test_owners_tell_examples_from_secrets(spark):

@@ -60,7 +60,6 @@ def test_stages(spark, tmp_path):
                 assert abs(taken[s] - t) <= max(0.05 * t, 64)
         else:
             tok = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
-            tok.encode_special_tokens = True
             got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in new)
             assert got == sorted(brute.tokens([(r["doc_id"], r["text"]) for r in old], tok))
 
