@@ -24,7 +24,7 @@ against references that hold what it can share with smaller documents:
    which answer whether a smaller document has them. First occurrences go this way, so
    the answer is exact, whatever the references held.
 
-A block's words, references and hashes are bounded by ``block_bytes`` (and by its longest
+A block's text, references and hashes are bounded by ``block_bytes`` (and by its longest
 text). Every step is a function of the rows: a lost executor's part is
 computed again to the same result. Windows are told apart by 64-bit hashes,
 factors by each of their words' hashes.
@@ -39,6 +39,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -51,27 +52,54 @@ GRAM = 5
 FAN = 64
 BLOCK_BYTES = 4_000_000
 NO_ID = 2**63 - 1
-# hashes of words that a Python worker keeps
-CACHE_WORDS = 200_000
 _P = 0x9E3779B97F4A7C15  # odd: has an inverse modulo 2^64
 _LOW40 = np.uint64(2**40 - 1)
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash, emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BYTES = np.random.default_rng(13).integers(0, 2**64, 256, np.uint64)
+# words of more bytes are hashed one by one; text that is hashed at a time
+LONG_WORD = 64
+CHUNK_BYTES = 1 << 20
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """1, P, P^2, ... and their inverses modulo 2^64; kept between a worker's tasks."""
+    if len(_POWERS[0]) < n:
+        n += n // 4
+        for k, base in enumerate((_P, pow(_P, -1, 2**64))):
+            row = np.full(n, base, np.uint64)
+            row[0] = 1
+            _POWERS[k] = np.cumprod(row)
+    return _POWERS[0], _POWERS[1]
+
+
+def word_edges(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each word."""
+    space = np.ones(len(buf) + 2, np.int8)
+    space[1:-1] = _SPACE[buf]
+    edge = np.diff(space)
+    return np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words, by differences of running sums over their bytes."""
+    out = np.empty(len(start), np.uint64)
+    power, back = _powers(CHUNK_BYTES + LONG_WORD)
+    cut = np.searchsorted(start, np.arange(0, len(buf) + CHUNK_BYTES, CHUNK_BYTES))
+    for k, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        first = k * CHUNK_BYTES
+        part = _BYTES[buf[first:first + CHUNK_BYTES + LONG_WORD]]
+        part *= power[:len(part)]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=total[1:])
+        a, z = start[lo:hi] - first, np.minimum(end[lo:hi] - first, len(part))
+        out[lo:hi] = (total[z] - total[a]) * back[a] + (z - a).astype(np.uint64)
+    out = _mix(out)
+    for i in np.nonzero(end - start > LONG_WORD)[0].tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[start[i]:end[i]].tobytes())
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,10 +114,10 @@ def run_hashes(w: np.ndarray, n: int) -> np.ndarray:
     rows = len(w) - n + 1
     if rows <= 0:
         return np.zeros(0, np.uint64)
-    power = np.cumprod(np.full(len(w), _P, np.uint64))
-    back = np.cumprod(np.full(rows, pow(_P, -1, 2**64), np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * power)])
-    return _mix((total[n:] - total[:rows]) * back)
+    power, back = _powers(len(w))
+    total = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * power[:len(w)], out=total[1:])
+    return _mix((total[n:] - total[:rows]) * back[:rows])
 
 
 def _lowest(h: np.ndarray, width: int) -> np.ndarray:
@@ -121,11 +149,13 @@ class Block:
         order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
         self.size = size
         self.ids = ids[order]
-        self.texts = [raw[i].split() for i in order]  # bytes: splits at \x20 and \x09-\x0D
-        self.words = [w for t in self.texts for w in t]
-        self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.w = word_hashes(self.words)
+        self.texts = [raw[i] for i in order]
+        self.buf = np.frombuffer(b"\n".join(self.texts), np.uint8)
+        self.start, self.stop = word_edges(self.buf)
+        text_end = np.cumsum(np.fromiter(map(len, self.texts), np.int64, len(raw)) + 1)
+        self.ends = np.searchsorted(self.start, text_end)  # in words
+        self.lengths = np.diff(self.ends, prepend=0)
+        self.w = word_hashes(self.buf, self.start, self.stop)
         self.at = whole_windows(self.lengths, size)  # every window's first word
         low = _lowest(run_hashes(self.w, GRAM), size - GRAM + 1) if len(self.w) >= size else np.zeros(0, np.uint64)
         self.doc = np.searchsorted(self.ends, self.at, side="right")
@@ -319,7 +349,7 @@ def _send_references(buckets: int, size: int):
         lo, hi, doc, peer = lo[first], hi[np.append(first[1:], len(hi)) - 1], doc[first], peer[first]
         rows = []
         for p in np.split(np.arange(len(lo)), np.nonzero(np.diff(peer))[0] + 1):
-            text = b" ".join([b" ".join(own.words[a:z]) for a, z in zip(lo[p].tolist(), hi[p].tolist())])
+            text = b" ".join([own.buf[a:z].tobytes() for a, z in zip(own.start[lo[p]].tolist(), own.stop[hi[p] - 1].tolist())])
             rows.append((int(peer[p[0]]), 1, None, own.ids[doc[p]].astype("<i8").tobytes(),
                          (hi[p] - lo[p]).astype("<i8").tobytes(), text))
         return _rows(rows, _BLOCK_ROW)
@@ -335,7 +365,8 @@ def _parsed(docs: pa.Table, told: pa.Table, buckets: int, size: int) -> Block:
         if r["kind"] == 0:
             bits[r["bucket"]] = r["data"]
         elif r["kind"] == 1:
-            references.append((np.frombuffer(r["data"], "<i8"), np.frombuffer(r["more"], "<i8"), word_hashes(r["text"].split())))
+            text = np.frombuffer(r["text"], np.uint8)
+            references.append((np.frombuffer(r["data"], "<i8"), np.frombuffer(r["more"], "<i8"), word_hashes(text, *word_edges(text))))
     shared = np.zeros(len(own.anchors), bool)
     for bucket, part in own.by_bucket(own.anchors, buckets):
         shared[part] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(part)).astype(bool)
@@ -366,11 +397,11 @@ def _answer_open(table: pa.Table) -> pa.Table:
                   zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), parts)], _BLOCK_ROW)
 
 
-def remove_passages(docs: DataFrame, finish: Callable[[list, list[list[bytes]], list[np.ndarray]], dict], schema: str,
+def remove_passages(docs: DataFrame, finish: Callable[[list, list[bytes], list[np.ndarray]], dict], schema: str,
                     id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
                     block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
-    """Map every document's words and the mask of its removed words by
-    ``finish(ids, words, masks) -> columns`` (a null id as None), block by block."""
+    """Map every document's bytes and the mask of its removed words by
+    ``finish(ids, texts, masks) -> columns`` (a null id as None), block by block."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -410,10 +441,9 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist()))
 
 
-def kept_words(words: list[bytes], mask: np.ndarray) -> bytes:
-    if not mask.any():
-        return b" ".join(words)
-    return b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone])
+def kept_words(text: bytes, mask: np.ndarray) -> bytes:
+    words = text.split()  # bytes: splits at \x20 and \x09-\x0D
+    return b" ".join(compress(words, (~mask).tolist()) if mask.any() else words)
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -421,7 +451,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def finish(ids, texts, masks):
         spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array([len(t) for t in texts], pa.int64()),
+        return {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array([len(m) for m in masks], pa.int64()),
                 "spans": pa.array([[{"start": a, "stop": z} for a, z in spans_of(m)] for m in masks], spans),
                 "kept": pa.array([kept_words(t, m).decode("utf-8", "replace") for t, m in zip(texts, masks)], pa.string())}
 
@@ -431,7 +461,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def digest(ids, texts, masks) -> dict:
     """The digest columns of the query."""
-    return {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array([len(t) for t in texts], pa.int64()),
+    return {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array([len(m) for m in masks], pa.int64()),
             "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(kept_words(t, m)).hexdigest() for t, m in zip(texts, masks)], pa.string())}
 
