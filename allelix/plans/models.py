@@ -1,14 +1,12 @@
 """Models and one-arm fitting.
 
-Estimators are ``pyspark.ml`` classifiers; the feature pipeline is built from
-the column roles of the arm's frame (P8) and fitted on training rows only.
-
-M1 forest    RandomForestClassifier, 100 trees, depth 10, balanced weights
-M2 boosted   GBTClassifier (binary); for k > 2 classes ``OneVsRestBoosted``
-             fits k binary boosted models and normalises their k positive
-             probabilities (the built-in OneVsRest gives no probabilities);
-             100 rounds, depth 5, rate 0.1, no class weights. First-order
-             boosting, not the second-order method with leaf penalties.
+Estimators are ``pyspark.ml`` classifiers (M3) or the histogram trees of
+``trees.py`` (M1, M2); the feature pipeline is built from the column roles of the arm's frame (P8) and fitted on training rows only.
+
+M1 forest    ``trees.HistogramForest``, 100 trees, depth 10, balanced weights
+M2 boosted   ``trees.HistogramBoosted``: second-order boosting, soft-max over
+             all classes in one model, L1 / L2 leaf penalties; 100 rounds, depth 5,
+             rate 0.1, no class weights
 M3 logistic  LogisticRegression (binomial for two classes, else multinomial), 1000 iterations, balanced
              weights, L2 with regParam = 1 / (C * sum of weights) so the
              objective matches "C x weighted log-loss + half squared norm"
@@ -19,12 +17,10 @@ M6 group thresholds: base forest + per-group thresholds (W2, W3) learned on
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +32,7 @@ from ..operators import thresholds as thr
 from ..operators import transform as tf
 from ..operators.joins import bounded_rows
 from ..operators.text import CharCounts
+from .trees import BoostedModel, ForestModel, HistogramBoosted, HistogramForest
 
 # --- fixed values: model defaults (as in the reference) ----------------------
 FOREST_DEFAULTS = {"numTrees": 100, "maxDepth": 10}
@@ -45,80 +42,14 @@ MODEL_NAMES = ("RandomForest", "Boosted", "LogisticRegression", "FairnessAware")
 # ---------------------------------------------------------------------------
 
 LABEL, WEIGHT, FEATURES = "label", "weight", "features"
-# Spark tree resources (not model semantics): node statistics memory per
-# pass over the data, and node-id caching for deep trees
-TREE_RESOURCES = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
-
-
-class OneVsRestBoosted:
-    """k binary GBT models; probability = normalised positive probabilities."""
-
-    def __init__(self, classes, seed: int = 42, **params):
-        self.classes = list(classes)
-        self.seed = seed
-        self.params = {**TREE_RESOURCES, **BOOSTED_DEFAULTS, **params}
-
-    def fit(self, df: DataFrame) -> "OneVsRestBoostedModel":
-        def one(c):
-            binary = df.withColumn("_bin", (F.col(LABEL) == float(c)).cast("double"))
-            gbt = GBTClassifier(featuresCol=FEATURES, labelCol="_bin", seed=self.seed, **self.params)
-            return gbt.fit(binary)
-
-        # the fits don't depend on each other: their jobs share the cluster
-        with ThreadPoolExecutor(max_workers=len(self.classes)) as pool:
-            return OneVsRestBoostedModel(self.classes, list(pool.map(one, self.classes)))
-
-
-class OneVsRestBoostedModel:
-    def __init__(self, classes, models):
-        self.classes, self.models = list(classes), list(models)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        cols = []
-        for i, m in enumerate(self.models):
-            m = m.copy()
-            m.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_y{i}")
-            out = m.transform(out)
-            out = out.withColumn(f"_q{i}", vector_to_array(f"_p{i}")[1]).drop(f"_p{i}", f"_r{i}", f"_y{i}")
-            cols.append(F.col(f"_q{i}"))
-        # like Spark's own probability vectors, slot c belongs to class code c
-        by_code = dict(zip(self.classes, cols))
-        raw = F.array(*[by_code.get(c, F.lit(0.0)) for c in range(int(max(self.classes)) + 1)])
-        total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-        prob = F.transform(raw, lambda x: x / F.when(total > 0, total).otherwise(F.lit(1.0)))
-        out = out.withColumn("probs", prob).drop(*[f"_q{i}" for i in range(len(self.models))])
-        return out.withColumn("prediction", (F.array_position("probs", F.array_max("probs")) - 1).cast("double"))
-
-    def save(self, path: str) -> None:
-        for i, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/class_{i}")
-        spark_path = f"{path}/meta"
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps({"classes": self.classes}),)], "meta STRING") \
-            .write.mode("overwrite").json(spark_path)
-
-    @classmethod
-    def load(cls, path: str) -> "OneVsRestBoostedModel":
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-        meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-        models = [GBTClassificationModel.load(f"{path}/class_{i}") for i in range(len(meta["classes"]))]
-        return cls(meta["classes"], models)
 
 
 def make_estimator(name: str, classes, total_weight: float | None = None, seed: int = 42, **params):
     """M5: estimator factory by name; unknown names are an error."""
     if name == "RandomForest":
-        p = {**TREE_RESOURCES, **FOREST_DEFAULTS, **params}
-        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                      seed=seed, **p)
+        return HistogramForest(classes, FEATURES, LABEL, WEIGHT, seed, **{**FOREST_DEFAULTS, **params})
     if name == "Boosted":
-        if len(classes) > 2:
-            return OneVsRestBoosted(classes, seed=seed, **params)
-        p = {**TREE_RESOURCES, **BOOSTED_DEFAULTS, **params}
-        return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, seed=seed, **p)
+        return HistogramBoosted(classes, FEATURES, LABEL, None, seed, **{**BOOSTED_DEFAULTS, **params})
     if name == "LogisticRegression":
         p = {**LOGISTIC_DEFAULTS, **params}
         C, penalty = float(p.pop("C")), p.pop("penalty")
@@ -259,15 +190,6 @@ class ArmModel:
         return out.withColumn("yhat", F.col("prediction").cast("int"))
 
 
-def estimator_for(spec: ArmSpec, feats: PipelineModel, classes, total_w: float, seed: int = 42):
-    """M5 with the arm's parameters; index-encoded categories need at least
-    one tree bin per category of the widest categorical feature."""
-    params = dict(spec.params)
-    if spec.cat_encoding() == "index" and spec.model != "LogisticRegression":
-        params.setdefault("maxBins", max(tf.TREE_BINS + 1, tf.max_category_arity(feats)))
-    return make_estimator(spec.model, classes, total_w, seed, **params)
-
-
 def fit_arm(train: DataFrame, spec: ArmSpec, classes, seed: int = 42) -> ArmModel:
     """Fit the arm's features and classifier on training rows."""
     feats = fit_features(train, spec)
@@ -277,10 +199,14 @@ def fit_arm(train: DataFrame, spec: ArmSpec, classes, seed: int = 42) -> ArmMode
     return model
 
 
-def fit_on(x: DataFrame, feats: ArmFeatures, spec: ArmSpec, classes, seed: int = 42) -> ArmModel:
-    """Fit the arm's classifier on a persisted matrix (label, weight, features, group)."""
+def fit_on(x: DataFrame, feats: ArmFeatures, spec: ArmSpec, classes, seed: int = 42, weighted: bool = False) -> ArmModel:
+    """Fit the arm's classifier on a persisted matrix (label, weight, features, group).
+
+    Boosted trees take no class weights; ``weighted`` says that the weights are the caller's own."""
     total_w = x.agg(F.sum(WEIGHT)).first()[0]
-    est = estimator_for(spec, feats.pipeline, classes, total_w, seed)
+    est = make_estimator(spec.model, classes, total_w, seed, **spec.params)
+    if isinstance(est, HistogramBoosted) and weighted:
+        est.weight = WEIGHT
     if isinstance(est, GroupThresholdClassifier):
         aware = spec.population_aware and spec.group_col in x.columns
         est.group_col = spec.group_col if aware else None
@@ -317,10 +243,8 @@ class GroupThresholdClassifier:
         self.group_col: str | None = "population_name"
 
     def fit(self, x: DataFrame) -> "GroupThresholdModel":
-        base = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                      seed=self.seed,
-                                      **{**TREE_RESOURCES, **FOREST_DEFAULTS, **self.params}).fit(x)
-        scored = base.transform(x).withColumn("probs", vector_to_array("probability"))
+        base = HistogramForest(self.classes, FEATURES, LABEL, WEIGHT, self.seed, **{**FOREST_DEFAULTS, **self.params}).fit(x)
+        scored = base.transform(x)
         g = self.group_col
         scored = scored.withColumn("_grp", F.col(g) if g else F.lit("all"))
         sc = thr.class_scores(scored, "_grp", LABEL, "probs", self.classes)
@@ -338,7 +262,7 @@ class GroupThresholdModel:
     def transform(self, df: DataFrame) -> DataFrame:
         spark = df.sparkSession
         vec = spark.createDataFrame(self.vectors, "grp STRING, thr ARRAY<DOUBLE>")
-        out = self.base.transform(df).withColumn("probs", vector_to_array("probability"))
+        out = self.base.transform(df)
         out = out.withColumn("_grp", F.col(self.group_col) if self.group_col and self.group_col in df.columns
                              else F.lit("all"))
         out = thr.predict_with_thresholds(out, vec, "_grp", "probs", len(self.classes), out_col="_k",
@@ -370,11 +294,11 @@ def save_arm(model: ArmModel, path: str) -> None:
     model.features.pipeline.write().overwrite().save(f"{path}/features")
     if model.features.means is not None:
         model.features.means.save(f"{path}/group_means")
-    if isinstance(model.model, OneVsRestBoostedModel):
+    if isinstance(model.model, (BoostedModel, ForestModel)):
         model.model.save(f"{path}/model")
-        kind = "ovr_boosted"
+        kind = model.model.kind
     elif isinstance(model.model, GroupThresholdModel):
-        model.model.base.write().overwrite().save(f"{path}/model")
+        model.model.base.save(f"{path}/model")
         kind = "group_threshold"
     else:
         model.model.write().overwrite().save(f"{path}/model")
@@ -389,8 +313,7 @@ def save_arm(model: ArmModel, path: str) -> None:
 
 def load_arm(path: str) -> ArmModel:
     """Load what ``save_arm`` wrote."""
-    from pyspark.ml.classification import (LogisticRegressionModel,
-                                           RandomForestClassificationModel)
+    from pyspark.ml.classification import LogisticRegressionModel
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
@@ -404,16 +327,12 @@ def load_arm(path: str) -> ArmModel:
         means = feat.GroupMeans(group_col=spec.group_col).load(spark, f"{path}/group_means")
     feats = ArmFeatures(spec, PipelineModel.load(f"{path}/features"), means)
     kind = meta["kind"]
-    if kind == "ovr_boosted":
-        model = OneVsRestBoostedModel.load(f"{path}/model")
-    elif kind == "group_threshold":
-        base = RandomForestClassificationModel.load(f"{path}/model")
+    if kind == "group_threshold":
+        base = ForestModel.load(f"{path}/model")
         model = GroupThresholdModel(base, meta["classes"], [tuple(v) for v in meta["vectors"]],
                                     spec.group_col)
     else:
-        loaders = {"RandomForestClassificationModel": RandomForestClassificationModel,
-                   "LogisticRegressionModel": LogisticRegressionModel,
-                   "GBTClassificationModel": GBTClassificationModel}
+        loaders = {"forest": ForestModel, "boosted": BoostedModel, "LogisticRegressionModel": LogisticRegressionModel}
         model = loaders[kind].load(f"{path}/model")
     return ArmModel(spec, feats, model, meta["classes"])
 

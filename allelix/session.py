@@ -7,6 +7,7 @@ cluster names in ``spark.checkpoint.dir`` and only sets one when it is unset.
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,3 +58,12 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers look for the package where the driver found it, whatever folder it was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
