@@ -11,8 +11,10 @@ corr_matrix A7: Pearson correlation of every column pair, pairwise-complete.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,27 +81,49 @@ def kde_grid(df: DataFrame, col: str, gridsize: int = 200, bins: int | None = No
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, rho) for every ordered pair.
-
-    One scan: each row is exploded into one (pair, a, b) cell per
-    upper-triangle pair and ``corr`` is aggregated by pair — a partial
-    aggregation over at most c(c+1)/2 keys (Spark's ``corr`` skips rows where
-    either side is NULL, i.e. pairwise-complete). This keeps the generated
-    aggregate small, where one ``agg`` of c(c+1)/2 ``corr`` columns outgrows
-    whole-stage codegen.
+    """(a, b, rho) for every ordered pair, pairwise-complete: a row counts for a
+    pair where both values are there (null and NaN are missing).
+
+    Each task adds up masked co-moment matrices of its Arrow batches, one matrix
+    product per moment; matrices are added like numbers, so a task sends one row
+    per pair and the final sums are a partial aggregation. Values are taken about the
+    columns' means (one cheap scan before), which keeps the sums exact where
+    the means are large. rho is null for a constant column or a pair without rows.
     """
     cols = list(columns)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 F.col(cols[i]).cast("double").alias("x"), F.col(cols[j]).cast("double").alias("y"))
-        for i, j in pairs]))
-    rho = (df.select(cells.alias("c")).select("c.*").groupBy("i", "j")
-           .agg(F.corr("x", "y").alias("rho")))
+    k = len(cols)
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    known = [F.when(~F.isnan(v), v) for v in x]
+    means = df.agg(F.lit(0), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(known)]).first()
+    shift = np.array([means[f"m{i}"] or 0.0 for i in range(k)])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float) - shift
+            there = ~np.isnan(v)
+            v = np.where(there, v, 0.0)
+            mask = there.astype(float)
+            # rows of both, sums and squares of the first where the second is there, products
+            total += np.stack([mask.T @ mask, v.T @ mask, (v * v).T @ mask, v.T @ v])
+        i, j = np.indices((k, k)).reshape(2, -1)
+        n, s, q, p = total.reshape(4, -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n), pa.array(s), pa.array(total[1].T.ravel()), pa.array(q),
+             pa.array(total[2].T.ravel()), pa.array(p)], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    sums = df.select(*[v.alias(f"c{i}") for i, v in enumerate(known)]).mapInArrow(
+        moments, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double").groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    var = lambda sq, s: F.col(sq) - F.col(s) * F.col(s) / F.col("n")
+    # what is left of a constant column is rounding of its mean
+    size = F.element_at(F.array(*[F.lit(float(abs(m))) for m in shift]), F.col("i") + 1)
+    size_j = F.element_at(F.array(*[F.lit(float(abs(m))) for m in shift]), F.col("j") + 1)
+    spread = lambda v, m: v > F.col("n") * F.pow(m * 1e-12, F.lit(2))
     names = F.array(*[F.lit(c) for c in cols])
-    both = F.explode(F.array(
-        F.struct(F.col("i").alias("p"), F.col("j").alias("q")),
-        F.struct(F.col("j").alias("p"), F.col("i").alias("q"))))
-    return (rho.select("rho", both.alias("o")).select("rho", "o.p", "o.q").distinct()
-            .select(F.element_at(names, F.col("p") + 1).alias("a"),
-                    F.element_at(names, F.col("q") + 1).alias("b"), "rho"))
+    rho = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(var("sxx", "sx") * var("syy", "sy"))
+    fit = (F.col("n") > 1) & spread(var("sxx", "sx"), size) & spread(var("syy", "sy"), size_j)
+    return sums.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"),
+                       F.when(fit, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))

@@ -499,3 +499,24 @@ SELECT (SELECT count(*) FROM (SELECT variant_id FROM lab2 EXCEPT ALL SELECT vari
        (SELECT count(*) FROM (SELECT variant_id FROM split EXCEPT ALL SELECT variant_id FROM lab2)) AS extra,
        (SELECT count(*) FROM (SELECT variant_id FROM split WHERE is_test
                               INTERSECT SELECT variant_id FROM split WHERE NOT is_test)) AS overlap""")
+
+# ---------------------------------------------------------------- second-order boosting, first round
+# all margins 0: p = 1/3, g = p - y, h = 2 p (1 - p); L1 = 1, L2 = 10, a side has a hessian of at least 1
+_SOFT = lambda x: f"(sign({x}) * greatest(abs({x}) - 1, 0))"
+ORACLES["boosted_one_round"] = _w(FEATURE_CTES + """,
+gh AS (SELECT c.cls, CAST(1 AS DOUBLE) / 3 - CASE WHEN f.target_encoded = c.cls THEN 1 ELSE 0 END AS g,
+              CAST(4 AS DOUBLE) / 9 AS h, f.gene, f.chromosome, f.region, CAST(f.allele_count AS DOUBLE) AS v
+       FROM f, (VALUES (0), (1), (2)) c(cls)),
+tot AS (SELECT cls, sum(g) AS g, sum(h) AS h FROM gh GROUP BY cls),
+vals AS (SELECT cls, v, sum(g) AS g, sum(h) AS h FROM gh GROUP BY cls, v),
+cuts AS (SELECT cls, sum(g) AS gl, sum(h) AS hl FROM gh GROUP BY cls, gene
+         UNION ALL SELECT cls, sum(g), sum(h) FROM gh GROUP BY cls, chromosome
+         UNION ALL SELECT cls, sum(g), sum(h) FROM gh GROUP BY cls, region
+         UNION ALL SELECT cls, sum(g) OVER (PARTITION BY cls ORDER BY v), sum(h) OVER (PARTITION BY cls ORDER BY v) FROM vals),
+sides AS (SELECT cuts.cls, gl, hl, g - gl AS gr, h - hl AS hr, g, h FROM cuts JOIN tot ON cuts.cls = tot.cls
+          WHERE hl >= 1 AND h - hl >= 1)""", f"""
+SELECT CAST(cls AS INT) AS cls, round(max(gain), 6) AS gain, round(max_by(w_left, gain), 6) AS w_left,
+       round(max_by(w_right, gain), 6) AS w_right
+FROM (SELECT cls, {_SOFT('gl')} ** 2 / (hl + 10) + {_SOFT('gr')} ** 2 / (hr + 10) - {_SOFT('g')} ** 2 / (h + 10) AS gain,
+             -{_SOFT('gl')} / (hl + 10) AS w_left, -{_SOFT('gr')} / (hr + 10) AS w_right FROM sides) s
+GROUP BY cls""")

@@ -60,12 +60,15 @@ class Binning:
         meta = x.schema[features].metadata.get("ml_attr", {})
         size = meta.get("num_attrs") or x.select(F.size(vector_to_array(features))).first()[0]
         attrs = {a["idx"]: a for kind in meta.get("attrs", {}).values() for a in kind}
-        values = {i: a["vals"] for i, a in attrs.items() if "vals" in a and len(a["vals"]) > 2}
-        numeric = [i for i in range(size) if i not in values]
+        named = {i: a["vals"] for i, a in attrs.items() if "vals" in a}
+        values = {i: v for i, v in named.items() if len(v) > 2 and not attrs[i].get("ord")}
+        ranges = {i: list(range(len(v))) for i, v in named.items() if attrs[i].get("ord")}  # bucket numbers: already bins
+        numeric = [i for i in range(size) if i not in values and i not in ranges]
         fr = [i / NUMERIC_BINS for i in range(1, NUMERIC_BINS)]
         row = x.select(vector_to_array(features).alias("f")).agg(
             F.lit(0), *[F.percentile_approx(F.col("f")[i], fr, 10_000).alias(f"q{i}") for i in numeric]).first()
-        edges = [None if i in values else sorted({float(e) for e in row[f"q{i}"] or [] if e == e}) for i in range(size)]
+        edges = [None if i in values else ranges[i] if i in ranges else
+                 sorted({float(e) for e in row[f"q{i}"] or [] if e == e}) for i in range(size)]
         return cls(edges, [len(values[i]) if i in values else len(edges[i]) + 1 for i in range(size)],
                    [attrs.get(i, {}).get("name", f"f{i}") for i in range(size)])
 

@@ -549,11 +549,30 @@ def q_parity_search(spark, sf_dir):
 
 
 def q_fit_boosted_3class(spark, sf_dir):
-    """M2 + M7: three-class boosted trees (one model per class), per-population metrics."""
+    """M2 + M7: three-class boosted trees (one soft-max model), per-population metrics."""
     tr, te = _split_features(spark, sf_dir)
     return _arm_groups(tr, te, mdl.ArmSpec(population_aware=True, model="Boosted"), [0, 1, 2])
 
 
+def q_boosted_one_round(spark, sf_dir):
+    """M2: the first round of three-class boosting with both penalties: each
+    class's best root split (gain) and its two leaf weights."""
+    spec = mdl.ArmSpec(population_aware=False, model="Boosted", numeric=("allele_count",), sequence=(),
+                       categorical=("gene", "chromosome", "region"),
+                       params={"maxIter": 1, "maxDepth": 1, "stepSize": 1.0, "regAlpha": 1, "regLambda": 10})
+    fitted = mdl.fit_arm(_model_rows(spark, sf_dir), spec, [0, 1, 2])
+    nodes = fitted.model.trees.table(spark)
+    weight = lambda n: F.max(F.when(F.col("node") == n, F.col("value")[0]))
+    return _rounded(nodes.groupBy(F.col("tree").cast("int").alias("cls")).agg(
+        F.max("gain").alias("gain"), weight(2).alias("w_left"), weight(3).alias("w_right")))
+
+
+def q_compare_arms(spark, sf_dir):
+    """M9: population-aware and agnostic arms of the three families on one split."""
+    tr, te = _split_features(spark, sf_dir)
+    return _rounded(srch.compare_arms(tr, te, parallelism=3))
+
+
 def q_group_threshold_fit(spark, sf_dir):
     """M6 + M7: per-group thresholds learned on a fitted forest, per-population metrics."""
     tr, te = _split_features(spark, sf_dir)
@@ -624,6 +643,8 @@ def q_onehot_slot_sums(spark, sf_dir):
 
 QUERIES.update({
     "fit_boosted_3class": q_fit_boosted_3class,
+    "boosted_one_round": q_boosted_one_round,
+    "compare_arms": q_compare_arms,
     "group_threshold_fit": q_group_threshold_fit,
     "holdout_by_population": q_holdout_by_population,
     "holdout_counts": q_holdout_counts,

@@ -128,3 +128,23 @@ def test_folds_of_many_groups(spark):
     assert folds.count() == 15_000
     n = [r["n"] for r in folds.groupBy("fold").agg(F.sum("n").alias("n")).collect()]
     assert len(n) == 4 and max(n) - min(n) <= 2
+
+
+def test_correlation_is_pairwise_complete(spark):
+    """Null and NaN are missing, large means cost no digits, a constant column has no correlation."""
+    import numpy as np
+
+    from allelix.operators.profile import corr_matrix
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=200)
+    b = 0.5 * a + rng.normal(size=200)
+    rows = [(None if i % 7 == 0 else float(x), float("nan") if i % 5 == 0 else float(y), 1e9 + float(y), 0.1)
+            for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, big double, same double").repartition(5)
+    got = {(r.a, r.b): r.rho for r in corr_matrix(df, ["a", "b", "big", "same"]).collect()}
+    both = [i for i in range(200) if i % 7 and i % 5]
+    some = [i for i in range(200) if i % 7]
+    assert abs(got["a", "b"] - np.corrcoef(a[both], b[both])[0, 1]) < 1e-9 and got["a", "b"] == got["b", "a"]
+    assert abs(got["big", "a"] - np.corrcoef(a[some], b[some])[0, 1]) < 1e-5
+    assert abs(got["a", "a"] - 1) < 1e-12 and got["same", "a"] is None and got["same", "same"] is None
+    assert corr_matrix(df.where("false"), ["a", "b"]).where("rho is not null").count() == 0
