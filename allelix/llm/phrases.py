@@ -42,9 +42,9 @@ from allelix.session import cut_lineage
 MIN_COUNT = 10
 PERCENT = 50
 TOP = 2000
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 # entries that a task sorts at a time, bytes of text that it splits at a time
-SORT_KEYS = 1_500_000
+SORT_KEYS = 1_000_000
 PART_BYTES = 2_000_000
 PART_TOKENS = 500_000
 _BITS = 21
