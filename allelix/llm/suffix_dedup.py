@@ -188,13 +188,29 @@ class Block:
         use = shared[self.inverse]
         self.o_lo, self.o_hi, self.o_at, self.o_h, self.o_doc = (
             x[use] for x in (self.lo, self.hi, self.at, self.h, self.doc))
-        wide = self.o_hi - self.o_lo + SIZE
-        rows = context_rows(self.buf, self.o_lo, wide)
-        key = row_hash(rows, wide.astype(np.uint64), (self.o_at - self.o_lo).astype(np.uint64)) ^ self.o_h
+        key = np.empty(len(self.o_lo), np.uint64)
+        for c in _chunks(len(key)):
+            key[c] = self._context_key(c)
         _, self.first, self.entry = np.unique(key, return_index=True, return_inverse=True)
+        if not all(np.array_equal(self._named(c), self._named(self.first[self.entry[c]])) for c in _chunks(len(key))):
+            # two contexts with one hash: told apart by their bytes
+            names = np.concatenate([self._named(c) for c in _chunks(len(key))])
+            _, self.first, self.entry = np.unique(as_one(names), return_index=True, return_inverse=True)
         self.least = np.full(len(self.first), NO_ID)
         np.minimum.at(self.least, self.entry, self.ids[self.o_doc])
-        self.rows = rows
+
+    def text_of(self, o) -> np.ndarray:
+        """The contexts of some occurrences, as rows."""
+        return context_rows(self.buf, self.o_lo[o], self.o_hi[o] - self.o_lo[o] + SIZE)
+
+    def _context_key(self, o) -> np.ndarray:
+        wide, left = self.o_hi[o] - self.o_lo[o] + SIZE, self.o_at[o] - self.o_lo[o]
+        return row_hash(self.text_of(o), wide.astype(np.uint64), left.astype(np.uint64)) ^ self.o_h[o]
+
+    def _named(self, o) -> np.ndarray:
+        """Anchor hash, length, place and bytes: equal rows are equal contexts."""
+        wide, left = self.o_hi[o] - self.o_lo[o] + SIZE, self.o_at[o] - self.o_lo[o]
+        return named_rows(self.o_h[o], wide, left, self.text_of(o))
 
     def contexts(self, buckets: int):
         """(bucket, entries) by bucket."""
@@ -234,14 +250,35 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 _ROW = 2 * SIZE - GRAM  # no context is longer than this: 80 bytes
 
 
+_CHUNK_ROWS = 1 << 15
+
+
+def _chunks(n: int) -> list[slice]:
+    return [slice(k, min(k + _CHUNK_ROWS, n)) for k in range(0, n, _CHUNK_ROWS)]
+
+
 def context_rows(buf: bytes, lo: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """The contexts as rows of _ROW bytes, zeros behind them."""
-    b = np.frombuffer(buf, np.uint8)
-    rows = b[np.minimum(lo[:, None] + np.arange(_ROW), len(b) - 1)]
+    """The contexts as rows of _ROW bytes, zeros behind them; ``buf`` has _ROW spare bytes."""
+    if not len(lo):
+        return np.zeros((0, _ROW), np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(buf, np.uint8), _ROW)[lo]
     rows[np.arange(_ROW) >= wide[:, None]] = 0
     return rows
 
 
+def named_rows(h: np.ndarray, wide: np.ndarray, left: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(h), 16 + _ROW), np.uint8)
+    out[:, :8] = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
+    out[:, 8], out[:, 9] = wide, left
+    out[:, 16:] = rows
+    return out
+
+
+def as_one(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as one value each."""
+    return np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
+
+
 def row_hash(rows: np.ndarray, *more: np.ndarray) -> np.ndarray:
     acc = np.zeros(len(rows), np.uint64)
     words = np.ascontiguousarray(rows).view("<u8")
@@ -270,12 +307,18 @@ def smallest_ids(h: np.ndarray, left: np.ndarray, count: np.ndarray, rows: np.nd
     # contexts that several blocks sent are sorted once
     key = row_hash(rows, left.astype(np.uint64), count.astype(np.uint64)) ^ h
     _, first, same = np.unique(key, return_index=True, return_inverse=True)
+    if len(first) < n:
+        names = named_rows(h, count, left, rows)
+        if not np.array_equal(names, names[first[same]]):  # two contexts with one hash
+            _, first, same = np.unique(as_one(names), return_index=True, return_inverse=True)
+        del names
     low = np.full(len(first), NO_ID)
     np.minimum.at(low, same, least)
     h1, left1, count1, rows1 = h[first], left[first], count[first], rows[first]
     offset1 = np.concatenate([[0], np.cumsum(count1)])
     best = np.empty(offset1[-1], np.int64)
     padded = np.concatenate([rows1, np.zeros((len(rows1), SIZE + STEP), np.uint8)], axis=1)
+    width, from_byte = padded.shape[1], np.lib.stride_tricks.sliding_window_view(padded.ravel(), SIZE + 6)
     top = int(left1.max())
     for sample in range(0, top + 1, STEP):  # sample suffixes `sample` bytes before the anchor, 0 first
         users = [x for x in range(sample, min(sample + STEP - 1, top) + 1)]
@@ -284,11 +327,11 @@ def smallest_ids(h: np.ndarray, left: np.ndarray, count: np.ndarray, rows: np.nd
             continue
         # rank the sample suffixes; those of contexts that begin behind it are never asked for
         at = np.maximum(left1[have] - sample, 0)
-        suffix = padded[have[:, None], at[:, None] + np.arange(SIZE + 6)]
+        suffix = from_byte[have * width + at]
         words = suffix.view(">u8").astype(np.uint64)
         order = np.lexsort([*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), h1[have]])
-        a, b = suffix[order[:-1]], suffix[order[1:]]
-        differ = a != b
+        suffix = suffix[order]
+        differ = suffix[:-1] != suffix[1:]
         lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), suffix.shape[1])
         lcp[h1[have][order[:-1]] != h1[have][order[1:]]] = 0
         for x in users:  # windows that start x bytes before the anchor, d before the sample
@@ -367,7 +410,7 @@ def _send_contexts(buckets: int):
             for bucket, part in own.contexts(buckets):
                 o = own.first[part]
                 left, count = own.o_at[o] - own.o_lo[o], own.o_hi[o] - own.o_lo[o] + 1
-                text = own.rows[o][np.arange(_ROW) < (count + SIZE - 1)[:, None]]
+                text = own.text_of(o)[np.arange(_ROW) < (count + SIZE - 1)[:, None]]
                 rows.append((block, bucket, own.o_h[o].tobytes(), left.astype(np.uint8).tobytes(),
                              count.astype(np.uint8).tobytes(), text.tobytes(), own.least[part].astype("<i8").tobytes()))
         cols = list(zip(*rows)) if rows else [()] * 7
@@ -378,15 +421,31 @@ def _send_contexts(buckets: int):
     return send
 
 
+def by_anchor(h: np.ndarray):
+    """The places in h, some anchors at a time: all of an anchor together, about _CHUNK_ROWS of them."""
+    order = np.argsort(h, kind="stable")
+    new = np.nonzero(np.diff(h[order]))[0] + 1
+    at = 0
+    while at < len(h):
+        k = np.searchsorted(new, at + _CHUNK_ROWS)
+        stop = int(new[k]) if k < len(new) else len(h)
+        yield order[at:stop]
+        at = stop
+
+
 def _answer_contexts(table: pa.Table) -> pa.Table:
     col = lambda name: b"".join(table.column(name).to_pylist())
     h = np.frombuffer(col("hashes"), np.uint64)
     left = np.frombuffer(col("lefts"), np.uint8).astype(np.int64)
     count = np.frombuffer(col("counts"), np.uint8).astype(np.int64)
     least = np.frombuffer(col("least"), "<i8")
-    rows = np.zeros((len(h), _ROW), np.uint8)
-    rows[np.arange(_ROW) < (count + SIZE - 1)[:, None]] = np.frombuffer(col("texts"), np.uint8)
-    smaller = smallest_ids(h, left, count, rows, least)
+    texts = col("texts") + bytes(_ROW)
+    wide = count + SIZE - 1
+    start, window = np.cumsum(wide) - wide, np.cumsum(count) - count
+    smaller = np.zeros(int(count.sum()), bool)
+    for some in by_anchor(h):
+        smaller[ragged(window[some], count[some])] = smallest_ids(
+            h[some], left[some], count[some], context_rows(texts, start[some], wide[some]), least[some])
     sizes = [len(b) // 8 for b in table.column("hashes").to_pylist()]
     windows = np.add.reduceat(count, np.concatenate([[0], np.cumsum(sizes)[:-1]])) if sizes else []
     parts = np.split(smaller, np.cumsum(windows)[:-1])

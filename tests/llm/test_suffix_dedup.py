@@ -51,3 +51,10 @@ def test_random_texts(seed):
         docs.append((rng.choice([None, *range(12)]), "".join(parts)))
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(in_blocks(docs, rng.randint(1, 4)), key=key) == sorted(brute.repeats(docs), key=key)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_equal_hashes_are_told_apart(seed, monkeypatch):
+    monkeypatch.setattr(S, "row_hash", lambda rows, *more: np.zeros(len(rows), np.uint64))
+    monkeypatch.setattr(S, "_CHUNK_ROWS", 7)
+    test_random_texts(seed)
