@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -28,6 +28,44 @@ def hash_order(key_col: str, seed: int) -> F.Column:
     return F.md5(F.concat_ws("|", F.col(key_col).cast("string"), F.lit(str(seed))))
 
 
+# a stratum's hashes are counted by their first digits: 16^3 cells a stratum
+PREFIX = 3
+
+
+def _same(left: list[str], right: list[str]) -> F.Column:
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
+
+
+def _quota_rows(hashed: DataFrame, keys: list[str], key_col: str, test_size: float, rows_per_bucket: int) -> DataFrame:
+    """(_k0, ..., _tu, _tkey): the hash and key of each stratum's last test row.
+
+    ``hashed`` holds the strata's columns, the key and its hash ``_u``. Cells of
+    (stratum, hash prefix) are counted, running counts over the cells tell in
+    which one the quota falls, and only that cell's rows are ranked.
+    """
+    okeys = [f"_k{i}" for i in range(len(keys))]
+    cells = (hashed.groupBy(*keys, F.substring("_u", 1, PREFIX).alias("_cell")).agg(F.count(F.lit(1)).alias("_m"))
+             .select(*[F.col(k).alias(o) for k, o in zip(keys, okeys)], "_cell", "_m").transform(cut_lineage))
+    n = F.sum("_m").over(Window.partitionBy(*okeys))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*okeys).orderBy("_cell")
+                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quota = F.least(F.ceil(F.lit(float(test_size)) * F.col("_n")), F.col("_n") - 1)
+    wanted = (cells.withColumns({"_n": n, "_before": before}).withColumn("_rest", quota - F.col("_before"))
+              .where((F.col("_rest") > 0) & (F.col("_rest") <= F.col("_m")))
+              .select(*okeys, "_cell", "_rest", "_m").transform(cut_lineage))
+    largest = wanted.agg(F.max("_m")).first()[0] or 0
+    at = _same(keys, okeys) & (F.substring("_u", 1, PREFIX) == F.col("_cell"))
+    few, _ = bounded(wanted.drop("_m"))
+    inside = hashed.join(few, at).select(*okeys, "_rest", "_u", F.col(key_col).alias("_tkey"))
+    ranked = running_sum(inside, okeys, [F.col("_u"), F.col("_tkey")], {"_rank": F.lit(1)},
+                         bucket=hex_prefix_bucket(F.substring("_u", PREFIX + 1, 12), largest, rows_per_bucket))
+    return (ranked.where(F.col("_rank") == F.col("_rest")).select(*okeys, F.col("_u").alias("_tu"), "_tkey")
+            .transform(cut_lineage))
+
+
 def stratified_split(df: DataFrame, *, key_col: str = "variant_id", label_col: str = "target_encoded",
                      group_col: str | None = "population_name", test_size: float = 0.2,
                      seed: int = 42, null_group: str = "keep", flag_col: str = "is_test",
@@ -37,29 +75,23 @@ def stratified_split(df: DataFrame, *, key_col: str = "variant_id", label_col: s
 
     A stratum of one row therefore stays in train. Without a group column the
     strata are the classes. Same rule and seed -> same split on any cluster
-    layout. Ranks come from ``running_sum`` bucketed by a prefix of the
-    uniform hash (a hot stratum is spread over many tasks); stratum sizes
-    are one partial aggregation. ``key_col`` must be unique within a stratum,
-    or tied rows may change sides when a stage is computed again.
+    layout. The hash of each stratum's last test row is selected from the
+    key and the strata's columns alone; the rows themselves aren't shuffled
+    for it, each is compared with its stratum's value (a row per stratum,
+    broadcast up to ``joins.DEFAULT_BROADCAST_ROWS`` strata, else joined by a
+    shuffle). Rows of one stratum that repeat a key are on one side, all of them.
     """
     work, g = _group_col(df, group_col, null_group)
     keys = ([g] if g else []) + [label_col]
-    sizes = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = cut_lineage(sizes)  # a row per stratum; the join is left to Spark's measured sizes
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    hashed = work.select(*keys, F.col(key_col).alias("_key"), hash_order(key_col, seed).alias("_u"))
+    last, _ = bounded(_quota_rows(hashed, keys, "_key", test_size, rows_per_bucket))
     okeys = [f"_k{i}" for i in range(len(keys))]
-    sizes = sizes.select(*[F.col(k).alias(o) for k, o in zip(keys, okeys)], "_n")
-    u = F.col("_u")
-    ranked = running_sum(work.withColumn("_u", hash_order(key_col, seed)), keys,
-                         [u, F.col(key_col)], {"_rank": F.lit(1)},
-                         bucket=hex_prefix_bucket(u, largest, rows_per_bucket))
-    quota = F.least(F.ceil(F.lit(float(test_size)) * F.col("_n")), F.col("_n") - 1)
-    same = F.lit(True)
-    for k, o in zip(keys, okeys):
-        same = same & F.col(k).eqNullSafe(F.col(o))
-    out = (ranked.join(sizes, same, "left")
-           .withColumn(flag_col, F.col("_rank") <= quota)
-           .drop("_u", "_rank", "_n", *okeys))
+    u = hash_order(key_col, seed)
+    first = (u < F.col("_tu")) | ((u == F.col("_tu")) & F.coalesce(F.col(key_col) <= F.col("_tkey"),
+                                                                  F.col(key_col).isNull()))
+    out = (work.join(last, _same(keys, okeys), "left")
+           .withColumn(flag_col, F.coalesce(first, F.lit(False)))
+           .drop("_tu", "_tkey", *okeys))
     return out.drop("_grp") if g else out
 
 

@@ -482,6 +482,17 @@ SELECT arm, model, scaler, round(accuracy, 6) AS accuracy FROM rk WHERE r = 1"""
 
 
 # ---------------------------------------------------------------- sinks, stage store, sets, contract
+ORACLES["csv_scan"] = _w(V_CTE, """
+SELECT variant_id, gene, CAST(position AS DOUBLE) AS position, population_name,
+       CASE WHEN position % 3 = 2 THEN NULL ELSE region END AS region, allele,
+       CAST(allele_freq AS DOUBLE) AS allele_freq, CAST(allele_count AS DOUBLE) AS allele_count FROM v""")
+ORACLES["stream_score"] = _w(SPLIT_CTES + ",\n" + SCORE_CTES + """,
+r AS (SELECT s.variant_id, coalesce(sum(coalesce(wt.w, 0.0)) * product(coalesce(CAST(fac.f AS DOUBLE), 1.0)), 0.0) AS raw
+      FROM split s LEFT JOIN c ON s.variant_id = c.h LEFT JOIN wt ON c.code = wt.code
+      LEFT JOIN fac ON s.population_name = fac.pop AND c.code = fac.code
+      WHERE s.is_test GROUP BY 1)""", """
+SELECT variant_id, round(raw, 6) AS acmg_raw, round(least(greatest((raw + 20) / 40, 0.0), 1.0), 6) AS acmg_norm,
+       true AS same FROM r""")
 ORACLES["csv_roundtrip"] = ORACLES["class_distribution"]
 ORACLES["stage_roundtrip"] = ORACLES["group_metrics"]
 _PW_ROWS = ", ".join(f"('{g}', '{p}')" for g, ps in {

@@ -664,8 +664,9 @@ QUERIES.update({
 
 
 # ---------------------------------------------------------------- sinks, stage store, sets, contract
-from .sources.readers import write_table  # noqa: E402
+from .sources.readers import read_variants_csv, write_table  # noqa: E402
 from .sources.stages import StageStore  # noqa: E402
+from .streaming.scoring import publish_arm, score, score_available  # noqa: E402
 
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -675,6 +676,48 @@ def q_csv_roundtrip(spark, sf_dir):
     return spark.read.schema("mapped_target STRING, n BIGINT, share DOUBLE").option("header", True).csv(path)
 
 
+# the columns of the three files of csv_scan, in their order; the last one has no region
+CSV_LAYOUTS = (
+    ("variant_id", "gene", "position", "population_name", "region", "allele", "allele_freq", "allele_count"),
+    ("allele_count", "allele_freq", "allele", "region", "population_name", "position", "gene", "variant_id"),
+    ("gene", "variant_id", "allele", "position", "allele_freq", "population_name", "allele_count"),
+)
+
+
+def q_csv_scan(spark, sf_dir):
+    """S1 + S2: the variants written as CSV in three folders, each with its own
+    column order, read back as one table by the files' headers."""
+    path = _scratch(spark, "csv-")
+    rows = fx.variants(spark, sf_dir)
+    part = F.pmod(F.col("position"), F.lit(3))
+    for i, cols in enumerate(CSV_LAYOUTS):
+        write_table(rows.where(part == i).select(*cols), f"{path}/part{i}", "csv")
+    return read_variants_csv(spark, f"{path}/*").select(*CSV_LAYOUTS[0])
+
+
+def q_stream_score(spark, sf_dir):
+    """S8 + R3: hold-out rows with rule codes arrive as files in two lots; a
+    run over what is available follows each (the second one continues from
+    the first one's checkpoint). Rule scores of every row, and whether the
+    stream's scores are those of scoring the table at once."""
+    tr, te = _split_features(spark, sf_dir)
+    fitted = mdl.fit_arm(tr, mdl.ArmSpec(population_aware=True, model="LogisticRegression"), [0, 1, 2])
+    store = StageStore(spark, _scratch(spark, "arms-"))
+    publish_arm(store, "scorer", fitted)
+    codes = fx.rule_codes(spark, sf_dir).groupBy(F.col("h").alias("variant_id")).agg(F.collect_list("code").alias("codes"))
+    rows = te.join(codes, "variant_id", "left")
+    base = _scratch(spark, "stream-")
+    for lot in range(2):
+        rows.where(F.pmod(F.xxhash64("variant_id"), F.lit(2)) == lot).write.parquet(f"{base}/in/lot{lot}")
+        out = score_available(store, "scorer", f"{base}/in/*", rows.schema, f"{base}/out", f"{base}/checkpoint",
+                              files_per_batch=4, factors=FIXTURE_FACTORS)
+    at_once = score(fitted, rows, factors=FIXTURE_FACTORS).select(
+        "variant_id", F.col("hybrid_score").alias("_hybrid"), F.col("yhat").alias("_yhat"))
+    same = (F.abs(F.col("hybrid_score") - F.col("_hybrid")) < 1e-12) & (F.col("yhat") == F.col("_yhat"))
+    return _rounded(out.join(at_once, "variant_id", "left").select(
+        "variant_id", "acmg_raw", "acmg_norm", F.coalesce(same, F.lit(False)).alias("same")))
+
+
 def q_stage_roundtrip(spark, sf_dir):
     """S4 + S5: per-group metrics saved as a stage, then the latest entry
     for (stage, mode, fingerprint) loaded back through the manifest."""
@@ -706,6 +749,8 @@ def q_split_contract(spark, sf_dir):
 
 QUERIES.update({
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_scan": q_csv_scan,
+    "stream_score": q_stream_score,
     "stage_roundtrip": q_stage_roundtrip,
     "sorted_sets": q_sorted_sets,
     "split_contract": q_split_contract,

@@ -46,6 +46,35 @@ def test_u3_split_contract_and_repartition_invariance(spark):
     assert {r.variant_id for r in spl.stratified_split(df, seed=8).where("is_test").collect()} != a
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 9000])
+def test_split_equals_row_number_with_a_hot_stratum(spark, n):
+    df = _keyed(spark, [("hot", 0, n), ("a", 1, 7), (None, None, 11)])
+    out = spl.stratified_split(df, seed=5, rows_per_bucket=1)
+    w = Window.partitionBy("population_name", "target_encoded")
+    want = (df.withColumn("u", spl.hash_order("variant_id", 5))
+            .withColumn("rn", F.row_number().over(w.orderBy("u", "variant_id")))
+            .withColumn("n", F.count(F.lit(1)).over(w))
+            .where(F.col("rn") <= F.least(F.ceil(F.lit(0.2) * F.col("n")), F.col("n") - 1)))
+    assert out.count() == df.count() and out.columns == [*df.columns, "is_test"]
+    assert out.where("is_test").select(df.columns).exceptAll(want.select(df.columns)).count() == 0
+    assert out.where("is_test").count() == want.count()
+
+
+def test_split_shuffles_no_feature_columns(spark):
+    df = _keyed(spark, [("a", 0, 50), ("b", 1, 37)]).withColumn("wide", F.repeat("variant_id", 10))
+    plan = spl.stratified_split(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_split_of_an_empty_table_and_repeated_keys(spark):
+    empty = _keyed(spark, [("a", 0, 1)]).where("false")
+    assert spl.stratified_split(empty).count() == 0
+    df = _keyed(spark, [("a", 0, 20)])
+    twice = spl.stratified_split(df.unionByName(df))
+    sides = twice.groupBy("variant_id").agg(F.countDistinct("is_test").alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(r.k == 1 and r.n == 2 for r in sides)
+
+
 def test_running_sum_matches_row_number_with_hot_key(spark):
     rows = [("hot" if i % 3 else f"k{i % 7}", i, (i * 7919) % 1000) for i in range(3000)]
     df = spark.createDataFrame(rows, "k STRING, id INT, v INT")
