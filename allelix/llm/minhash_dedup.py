@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from allelix.session import cut_lineage
 
 from .components import connected_components
-from .shingles import mix64, shingle_set
+from .shingles import mix64, release, shingle_set
 
 BINS = 128
 BANDS, ROWS = 32, 4
@@ -97,6 +97,7 @@ def _sketches(n: int):
                 [b.column("_id"), b.column("_th"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()),
                  pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 ["_id", "_th", "n", "hi", "lo", "bands"])
+        release()
 
     return rows
 
@@ -131,6 +132,7 @@ def _sets_for(n: int):
                         out, held = [], 0
         if out:
             yield flush()
+        release()
 
     return rows
 

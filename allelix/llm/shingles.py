@@ -8,9 +8,10 @@ one shingle; without words the set is empty.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-# hashes of words that a Python worker keeps
+# hashes of words that a Python worker keeps during a task
 CACHE_WORDS = 200_000
 
 
@@ -27,6 +28,12 @@ class _Words(dict):
 _HASHES = _Words()
 
 
+def release() -> None:
+    """Give back what a task kept, at its end: an idle worker holds no words and no Arrow buffers."""
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -42,7 +42,7 @@ SHARD_TOKENS = 1_000_000
 RANK_BITS = 512
 # words whose ids a Python worker keeps (some 200 bytes each), characters of text that it encodes at a time
 CACHE_PIECES = 400_000
-BATCH_CHARS = 5_000_000
+BATCH_CHARS = 2_000_000
 
 
 # ---------------------------------------------------------------- the format
