@@ -11,16 +11,21 @@
    no bucket with probability (1 - 0.8^4)^32 < 5e-8.
 3. Stars: a bucket's smallest class is its centre, and only (centre, member)
    pairs are candidates, so a bucket of m classes gives m - 1 pairs. Pairs are
-   confirmed on the full sets; the centres then leave their buckets. A bucket
-   whose remaining classes are known to be in one component can't join anything more
-   and is done. The others get 16, 256, 4096, ... centres in the next rounds (by a hash of
-   the class), until no bucket spans two components with an untested pair.
-   So no link between buckets' members is lost, whether or not they
-   resemble the first centre.
-4. Components of the confirmed links; the smallest id is the representative.
-
-A hot class is one row after a partial aggregation; the members of a hot
-centre are spread by a salt over tasks, each with a copy of the centre's set.
+   confirmed on the full sets, and the confirmed links joined to components.
+4. The rest, exactly: a bucket within one component can't join anything more. The classes
+   of all other buckets go through a prefix filter. Their shingles have one
+   order: those of a single component first, then by rising frequency. If two sets are
+   similar, their first common shingle has at least the needed overlap
+   behind it (itself included) in both. So only a shingle that two components
+   hold, early in both sets, makes a candidate, and long lists of frequent shingles
+   or of a component's own shingles make none. Every pair left is confirmed on the
+   full sets, so no link between members of a bucket is lost, whether or not
+   they resemble its centre.
+5. Components of all links; the smallest id is the representative.
+
+A hot class is one row after a partial aggregation. The members of a hot
+centre are spread by a salt over tasks, each with a copy of the centre's set,
+and so is a long list of a shingle, whose largest component is never paired with itself.
 
 Null or wordless texts have the empty set and are linked with nothing. Rows
 that repeat an id are documents of their own; a null id counts as larger than
@@ -45,12 +50,10 @@ from .shingles import mix64, release, shingle_set
 BINS = 128
 BANDS, ROWS = 32, 4
 NO_ID = 2**63 - 1
-# each round has so many times the centres of the last one
-GROWTH = 16
-# jobs (node, centres) that are broadcast to the texts; of more, both sides are shuffled
-BROADCAST_JOBS = 50_000
 # members of a centre that one task compares
 SALT_ROWS = 5_000
+# shingles that a task hands on at a time
+BATCH_SHINGLES = 500_000
 _BIN_BITS = np.uint64(64 - (BINS - 1).bit_length())
 _EDGES = np.arange(BINS, dtype=np.uint64) << _BIN_BITS
 # row i: the order in which bin i asks the other bins
@@ -108,35 +111,37 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         _sketches(n), "_id bigint, _th bigint, n bigint, hi bigint, lo bigint, bands array<bigint>")
 
 
-def _sets_for(n: int):
-    """(jobs, _text) -> one row (centre, salt, member, node, size, set) per job."""
-    schema = pa.schema([("c", pa.int64()), ("salt", pa.int32()), ("member", pa.bool_()), ("node", pa.int64()),
-                        ("hashes", pa.binary())])
+def _sets(n: int):
+    """(node, size, _text) -> (node, size, hashes)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held = 0
-
-        def flush():
-            cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
         for b in batches:
-            for node, jobs, text in zip(*(b.column(c).to_pylist() for c in ("node", "jobs", "_text"))):
-                raw = shingle_set(text, n).tobytes()
-                for j in jobs:
-                    out.append((j["c"], j["salt"], j["member"], node, raw))
-                    held += len(raw)
-                    if held > 8_000_000:
-                        yield flush()
-                        out, held = [], 0
-        if out:
-            yield flush()
+            sets, held, start = [], 0, 0
+            for i, text in enumerate(b.column("_text").to_pylist()):
+                sets.append(shingle_set(text, n).tobytes())
+                held += len(sets[-1])
+                if held > 8 * BATCH_SHINGLES or i == b.num_rows - 1:
+                    part = b.slice(start, len(sets))
+                    yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), pa.array(sets, pa.binary())],
+                                                     ["node", "size", "hashes"])
+                    sets, held, start = [], 0, i + 1
         release()
 
     return rows
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, size, component, hashes) -> a row per shingle."""
+    names = ["node", "size", "component"]
+    for b in batches:
+        for i in range(b.num_rows):
+            own = np.frombuffer(b.column("hashes")[i].as_buffer(), np.int64)
+            for lo in range(0, len(own), BATCH_SHINGLES):
+                part = own[lo:lo + BATCH_SHINGLES]
+                same = [pa.repeat(b.column(c)[i], len(part)) for c in names]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *same], ["shingle", *names])
+
+
 def _compare(percent: int):
     """Rows sorted by centre, salt, centre first -> (c, node) of the pairs that are similar."""
 
@@ -162,24 +167,17 @@ def _compare(percent: int):
     return rows
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (c, x) whose full sets are similar, as (a, b)."""
     degree = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("salts"))
-    salted = pairs.join(degree, "c").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int"))
-    job = lambda member: F.struct("c", "salt", F.lit(member).alias("member")).alias("job")
-    members = salted.select(F.col("x").alias("node"), job(True))
+    members = pairs.join(degree, "c").select(
+        F.col("x").alias("node"), "c", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"),
+        F.lit(True).alias("member"))
     centres = degree.select("c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(
-        F.col("c").alias("node"), job(False))
-    # a class has few centres in a round, a centre one job for each salt
-    jobs = members.unionByName(centres).groupBy("node").agg(F.collect_list("job").alias("jobs"))
-    placed = jobs.join(nodes.select("node", "_id", "_th"), "node").transform(cut_lineage)
-    # counted in pairs, not in nodes: an array of jobs counts with its length
-    if (placed.agg(F.sum(F.size("jobs"))).first()[0] or 0) <= BROADCAST_JOBS:
-        placed = F.broadcast(placed)
-    sets = placed.join(docs, ["_id", "_th"]).select("node", "jobs", "_text").mapInArrow(
-        _sets_for(n), "c bigint, salt int, member boolean, node bigint, hashes binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sets.repartition(parts, "c", "salt").sortWithinPartitions("c", "salt", "member")
+        F.col("c").alias("node"), "c", "salt", F.lit(False).alias("member"))
+    placed = members.unionByName(centres).join(sets.select("node", "hashes"), "node")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartition(parts, "c", "salt").sortWithinPartitions("c", "salt", "member")
     return dealt.select("c", "member", "node", "hashes").mapInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
@@ -208,56 +206,64 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _links(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect whatever similar classes share a bucket."""
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = keyed.join(shared, "key").select("key", "node", F.col("n").alias("size")).transform(cut_lineage)
-    links = tested = None
-    label = None
-    rounds = 0
-    while True:
-        active = members
-        if label is not None:
-            active = active.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            active = active.withColumn("component", F.col("node"))
-        spans = (active.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo < hi").select("key"))
-        active = active.join(spans, "key").transform(cut_lineage)
-        if active.isEmpty():
-            break
-        centres = (active.withColumn("g", F.pmod(F.xxhash64("node"), F.lit(GROWTH ** rounds)))
-                   .groupBy("key", "g").agg(F.min(F.struct("node", "size", "component")).alias("c"))
-                   .select("key", F.col("c.node").alias("c"), F.col("c.size").alias("c_size"),
-                           F.col("c.component").alias("c_component")))
-        alike = F.least("size", "c_size") * 100 >= F.greatest("size", "c_size") * percent  # else never similar
-        pairs = (active.join(centres, "key")
-                 .where((F.col("component") != F.col("c_component")) & alike)
-                 .select(F.least("c", "node").alias("c"), F.greatest("c", "node").alias("x")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["c", "x"], "left_anti")
-        pairs = pairs.transform(cut_lineage)
-        found = confirmed(pairs, nodes, docs, n, percent).transform(cut_lineage)
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        label = _labels(links).transform(cut_lineage)
-        # all pairs of a centre in its bucket are decided: it leaves
-        members = active.join(centres.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti").select(
-            "key", "node", "size").transform(cut_lineage)
-        rounds += 1
-    if links is None:
-        links = nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
-    return links
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, component) within two steps of the links: the smallest neighbour's
-    smallest neighbour. Nodes with one label are in one component; the
-    converse need not hold yet, which costs a round tests and loses nothing."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-    top = low.select(F.col("u").alias("m"), F.col("m").alias("t"))
-    return low.join(top, "m").select(F.col("u").alias("node"), F.col("t").alias("component"))
+    keyed = nodes.select("node", F.col("n").alias("size"), F.explode("bands").alias("key"))
+    centres = (keyed.groupBy("key").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("m"))
+               .where("m > 1").select("key", "c"))
+    members = keyed.join(centres, "key").transform(cut_lineage)
+    wanted = members.select("node").distinct().join(nodes.select("node", "_id", "_th", F.col("n").alias("size")), "node")
+    # the texts cross the network once; what follows reads the sets of those classes that share a bucket
+    sets = (wanted.join(docs, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+            .select("node", "size", "_text").mapInArrow(_sets(n), "node bigint, size bigint, hashes binary")
+            .transform(cut_lineage))
+    alike = F.least("size", "c_size") * 100 >= F.greatest("size", "c_size") * percent  # else never similar
+    c_sizes = nodes.select(F.col("node").alias("c"), F.col("n").alias("c_size"))
+    stars = (members.where("node != c").select("c", "node", "size").distinct().join(c_sizes, "c").where(alike)
+             .select("c", F.col("node").alias("x")))
+    links = confirmed(stars.transform(cut_lineage), sets, percent).transform(cut_lineage)
+    label = connected_components(links)
+    named = members.select("key", "node").join(label, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    spans = (named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("key"))
+    left = named.join(spans, "key").select("node", "component").distinct()
+    rest = _prefix_pairs(sets.join(left, "node"), percent).transform(cut_lineage)
+    return links.unionByName(confirmed(rest, sets, percent)).transform(cut_lineage)
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (c, x) of different components whose sets can be similar, from (node, size, component, hashes).
+
+    ``left`` counts a set's shingles from this one to its most frequent; two sets are
+    similar only if (100 + percent) * overlap >= percent * (size + size).
+    """
+    rows = sets.select("node", "size", "component", "hashes").mapInArrow(
+        _shingles, "shingle bigint, node bigint, size bigint, component bigint")
+    shared = (rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"),
+                                          F.max("component").alias("hi"))
+              .where("lo < hi").select("shingle", "df"))
+    order = Window.partitionBy("node").orderBy(F.desc("df"), "shingle")
+    early = (rows.join(shared, "shingle").withColumn("left", F.row_number().over(order).cast("bigint"))
+             .where(F.col("left") * 100 >= F.col("size") * percent)
+             .select("shingle", "node", "size", "component", "left").transform(cut_lineage))
+    # the component with most rows of a list is not paired with itself
+    top = (early.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
+           .groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("t"), F.sum("k").alias("m"),
+                                   F.count(F.lit(1)).alias("parts"))
+           .where("parts > 1")
+           .select("shingle", F.col("t.component").alias("top"),
+                   F.ceil(F.col("m") / F.lit(SALT_ROWS)).cast("int").alias("salts")))
+    listed = early.join(top, "shingle")
+    here = listed.where("component != top").select(
+        "shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("p"),
+        F.col("size").alias("p_size"), F.col("component").alias("p_component"), F.col("left").alias("p_left"))
+    there = listed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    enough = (F.least("left", "p_left") * (100 + percent) >= (F.col("size") + F.col("p_size")) * percent)
+    alike = F.least("size", "p_size") * 100 >= F.greatest("size", "p_size") * percent
+    # two rows outside the largest component meet from both sides: once is enough
+    once = (F.col("component") == F.col("top")) | (F.col("node") < F.col("p"))
+    return (there.join(here, ["shingle", "salt"])
+            .where((F.col("component") != F.col("p_component")) & enough & alike & once)
+            .select(F.least("node", "p").alias("c"), F.greatest("node", "p").alias("x")).distinct())
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,

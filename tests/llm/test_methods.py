@@ -199,6 +199,34 @@ def test_random_sets_share_a_bucket():
     assert missed == 0
 
 
+def test_many_unlinked_classes_in_a_bucket(spark, monkeypatch):
+    """Copies of one text with up to 15 % of their words replaced: similar to the text, mostly not to each other."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    docs = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(200), rng.randrange(2, 30)):
+            words[at] = f"w{rng.randrange(5000)}"
+        docs.append((i, " ".join(words)))
+    docs += [docs[0]] * 3 + [(1000 + i, docs[i][1]) for i in range(0, 300, 10)]
+    tested = []
+    confirm = minhash_dedup.confirmed
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(minhash_dedup, "confirmed", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sorted((r._id, r.n_shingles, r.component) for r in minhash_dedup.near_groups(df, n=2).collect())
+    want = sorted(brute.near(docs))
+    assert got == want
+    assert len({c for *_, c in want}) > 30  # many are linked with nothing
+    # all pairs of 300 are 44,850
+    assert sum(tested) <= 32 * 300, tested
+
+
 @pytest.mark.parametrize("width", [4, 8, 12])
 def test_codes_give_any_token(width):
     rng = np.random.default_rng(8)
