@@ -9,7 +9,7 @@
    and only classes go on.
 2. Buckets: ``BANDS`` bands of ``ROWS`` values. At a similarity of 0.8 a pair shares
    no bucket with probability (1 - 0.8^4)^32 < 5e-8.
-3. Stars: a bucket's smallest class is its centre, and only (centre, member)
+3. Stars: a bucket's class of the smallest id is its centre, and only (centre, member)
    pairs are candidates, so a bucket of m classes gives m - 1 pairs. Pairs are
    confirmed on the full sets, and the confirmed links joined to components.
 4. The rest, exactly: a bucket within one component can't join anything more. The classes
@@ -206,10 +206,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _links(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect whatever similar classes share a bucket."""
-    keyed = nodes.select("node", F.col("n").alias("size"), F.explode("bands").alias("key"))
-    centres = (keyed.groupBy("key").agg(F.min("node").alias("c"), F.count(F.lit(1)).alias("m"))
+    keyed = nodes.select("node", "_id", F.col("n").alias("size"), F.explode("bands").alias("key"))
+    # the smallest id is more often what the others were copied from than any other member
+    centres = (keyed.groupBy("key").agg(F.min_by("node", "_id").alias("c"), F.count(F.lit(1)).alias("m"))
                .where("m > 1").select("key", "c"))
-    members = keyed.join(centres, "key").transform(cut_lineage)
+    members = keyed.drop("_id").join(centres, "key").transform(cut_lineage)
     wanted = members.select("node").distinct().join(nodes.select("node", "_id", "_th", F.col("n").alias("size")), "node")
     # the texts cross the network once; what follows reads the sets of those classes that share a bucket
     sets = (wanted.join(docs, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
