@@ -30,19 +30,25 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.session import checkpoint_dir
 
+from .shingles import release
+
 WIDTH = 8
 END_ID = 2
 SHARD_TOKENS = 1_000_000
 RANK_BITS = 512
-# words whose ids a Python worker keeps (some 200 bytes each), characters of text that it encodes at a time
-CACHE_PIECES = 400_000
-BATCH_CHARS = 2_000_000
+# pieces whose ids a Python worker keeps (some 35 bytes each), the longest of them in bytes, pieces encoded in
+# one call of the library (its answer takes some 500 bytes a piece), characters of text encoded at a time
+CACHE_PIECES = 600_000
+KEPT_BYTES = 256
+JOINED_PIECES = 20_000
+BATCH_CHARS = 4_000_000
 
 
 # ---------------------------------------------------------------- the format
@@ -110,18 +116,17 @@ def encode_levels(ids: np.ndarray, width: int = WIDTH) -> list[tuple[bytes, byte
 
 # ------------------------------------------------------------- the tokenizer
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct word once.
+    """Ids of whole texts by the tokenizers library, each distinct piece of a batch at most once.
 
     The library first cuts a text at the tokenizer's added tokens (such as an
     end marker written out in a text); the rest is encoded between them. There the
     byte-level pre-tokenizer always starts a new word at a space that is
     followed by a character other than white space, whatever stands before
     it. Cut there, a text falls into pieces whose ids don't depend on their
-    neighbours. Inside a piece, a single line end between other characters
-    and the stops behind a run of letters are words of their own too. Unknown
-    words are encoded by the library, joined into one call, and kept; a
-    table is emptied when it is full. Pieces are numbered per batch, and the ids of
-    all texts are gathered by these numbers.
+    neighbours. Pieces are cut, numbered and looked up as Arrow columns, not as
+    Python strings; unknown ones are encoded by the library, joined into a few
+    calls, and kept (text, ids) in Arrow and NumPy; from a full table those go
+    that no later batch has met.
     """
 
     def __init__(self, path: str):
@@ -135,84 +140,109 @@ class PieceEncoder:
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.line_end = self.ids("\n")
-        self.spaced: dict[str, bytes] = {}  # words behind a space
-        self.bare: dict[str, bytes] = {"\n": self.line_end.tobytes()}
+        self.known, self.known_ids, self.known_at = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self._forget()
+
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Empty the table, but for the pieces at ``keep``."""
+        if keep is None or len(keep) > CACHE_PIECES // 2:
+            keep = np.zeros(0, np.int64)
+        # pieces behind a space; ids of the i-th: known_ids[known_at[i]:known_at[i + 1]]; met since they came or were kept
+        size = np.diff(self.known_at)[keep]
+        end = np.cumsum(size)
+        at = np.repeat(self.known_at[keep] - (end - size), size)
+        self.known_ids = self.known_ids[at + np.arange(len(at))]
+        self.known, self.known_at = self.known.take(pa.array(keep)), np.concatenate([np.zeros(1, np.int64), end])
+        self.met = np.zeros(len(keep), bool)
 
     def ids(self, text: str) -> np.ndarray:
         """The library's own answer for one text."""
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: set[str], table: dict[str, bytes], sep: str) -> None:
-        """Encode words that hold no ``sep`` in one call: its ids mark where each begins."""
-        if not words:
-            return
-        order = list(words)
-        ids = self.ids(sep + sep.join(order))
-        at = np.nonzero(self.opens[ids] if sep == " " else ids == self.line_end[0])[0]
-        if len(at) != len(order):
-            raise RuntimeError("words and ids don't match")
-        raw, skip = ids.tobytes(), 0 if sep == " " else 4
-        stop = [*(at[1:] * 4).tolist(), len(raw)]
-        for w, lo, hi in zip(order, (at * 4).tolist(), stop):
-            table[w] = raw[lo + skip:hi]
-
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids (uint32) of each text."""
         texts = [t or "" for t in texts]
+        if not texts:
+            return []
         if self.added is not None and any(map(self.added.search, texts)):
             return self._around_added(texts)
-        if len(self.spaced) + len(self.bare) > CACHE_PIECES:
-            self.spaced.clear()
-            self.bare.clear()
-            self.bare["\n"] = self.line_end.tobytes()
-        cut = [_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbered = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
-        pieces, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
-        # a text's first piece stands behind no space: it has an entry of its own
-        number[np.cumsum(sizes) - sizes] = len(pieces) + np.arange(len(cut))
-        used = np.nonzero(np.bincount(number, minlength=len(pieces))[:len(pieces)])[0].tolist()
-        table = [b""] * len(pieces)
-        for i, raw in zip(used, self._pieces([pieces[i] for i in used], True)):
-            table[i] = raw
-        table += self._pieces([c[0] for c in cut], False)
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        ids = np.frombuffer(b"".join(table), "<u4")
-        start, count = (np.cumsum(size) - size)[number], size[number]
-        end = np.cumsum(count)
-        out = ids[np.repeat(start - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
-        return np.split(out, end[np.cumsum(sizes) - 1][:-1])
-
-    def _pieces(self, pieces: list[str], space: bool) -> list[bytes]:
-        """Ids of each piece, behind a space or at a text's start."""
-        first = self.spaced if space else self.bare
-        split: dict[int, list[str]] = {}
-        out: list[bytes | None] = []
-        new_first: set[str] = set()
-        new_bare: set[str] = set()
-        for i, piece in enumerate(pieces):
-            raw = first.get(piece) if piece else b""
-            out.append(raw)
-            if raw is not None:
-                continue
-            words = [piece] if piece.isalpha() else _words_of(piece)
-            if words is None:
-                out[i] = self.ids((" " if space else "") + piece).tobytes()
-                continue
-            split[i] = words
-            if words[0] not in first:
-                new_first.add(words[0])
-            new_bare.update([w for w in words[1:] if w not in self.bare])
-        if not space:
-            new_bare |= new_first
+        if any(map(_ODD_SPACE.search, texts)):
+            cut = [_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+            sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+            pieces = pa.array(list(chain.from_iterable(cut)), pa.string())
+            del cut
         else:
-            self._learn(new_first, self.spaced, " ")
-        self._learn(new_bare, self.bare, "\n")
-        bare = self.bare
-        for i, (head, *rest) in split.items():
-            out[i] = first[head] + b"".join([bare[w] for w in rest]) if rest else first[head]
-        return out
+            lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+            sizes, pieces = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten()
+            del lists
+        first = np.cumsum(sizes) - sizes  # a text's first piece stands behind no space: it has an entry of its own
+        heads = self._many(pieces.take(pa.array(first)).to_pylist())
+        numbered = pieces.dictionary_encode()
+        number = numbered.indices.to_numpy().astype(np.int64)
+        distinct = numbered.dictionary
+        del numbered, pieces
+        number[first] = len(distinct) + np.arange(len(texts))
+        used = np.zeros(len(distinct) + len(texts), bool)
+        used[number] = True
+        ids, start, size = self._pieces(distinct, used[:len(distinct)])
+        lead = np.fromiter(map(len, heads), np.int64, len(heads))
+        start = np.concatenate([start, len(ids) + np.cumsum(lead) - lead])
+        size = np.concatenate([size, lead])
+        ids = np.concatenate([ids, *heads])
+        count = size[number]
+        end = np.cumsum(count)
+        at = np.repeat((start[number] - (end - count)).astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.split(ids[at], end[np.cumsum(sizes) - 1][:-1])
+
+    def _many(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's own answer for each of several short texts."""
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: pa.StringArray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): where the ids of each used piece behind a space are."""
+        if len(self.known) > CACHE_PIECES or len(self.known_ids) > 8 * CACHE_PIECES:
+            self._forget(np.nonzero(self.met)[0])
+        place = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
+        self.met[place[place >= 0]] = True
+        start = self.known_at[np.maximum(place, 0)]
+        size = np.where(place < 0, 0, self.known_at[np.minimum(place, len(self.known) - 1) + 1] - start)
+        new = np.nonzero((place < 0) & used)[0]
+        text = pieces.take(pa.array(new))
+        ids, own = self._learn(text)
+        start[new] = len(self.known_ids) + np.cumsum(own) - own
+        size[new] = own
+        both = np.concatenate([self.known_ids, ids])
+        short = pc.binary_length(text).to_numpy() <= KEPT_BYTES
+        self.known = pa.concat_arrays([self.known, text.filter(pa.array(short))])
+        self.known_ids = both if short.all() else np.concatenate([self.known_ids, ids[np.repeat(short, own)]])
+        self.known_at = np.concatenate([self.known_at, self.known_at[-1] + np.cumsum(own[short])])
+        self.met = np.concatenate([self.met, np.zeros(int(short.sum()), bool)])
+        return both, start, size
+
+    def _learn(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces behind a space, one after the other, and how many each has. Pieces are joined
+        by spaces for the library: ids that begin with a space mark where each begins."""
+        held, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for lo in range(0, len(pieces), JOINED_PIECES):
+            some = pieces.slice(lo, JOINED_PIECES)
+            # an empty piece has no ids; one with a space inside can't be told from two
+            odd = pc.or_(pc.match_substring(some, " "), pc.equal(pc.binary_length(some), 0)).to_numpy(zero_copy_only=False)
+            plain = some.filter(pa.array(~odd)) if odd.any() else some
+            size = np.zeros(len(some), np.int64)
+            ids = self._many([" " + _joined(plain)])[0] if len(plain) else held[0]
+            at = np.nonzero(self.opens[ids])[0]
+            if len(at) != len(plain):
+                raise RuntimeError("words and ids don't match")
+            size[~odd] = np.diff(np.append(at, len(ids)))
+            if odd.any():
+                parts = iter(np.split(ids, at[1:]) if len(plain) else [])
+                apart = iter(some.filter(pa.array(odd)).to_pylist())
+                each = [(self.ids(" " + p) if (p := next(apart)) else held[0]) if o else next(parts) for o in odd.tolist()]
+                ids, size = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+            held.append(ids)
+            sizes.append(size)
+        return np.concatenate(held), np.concatenate(sizes)
 
     def _around_added(self, texts: list[str]) -> list[np.ndarray]:
         """Texts that hold added tokens, cut at them."""
@@ -224,31 +254,14 @@ class PieceEncoder:
         return [np.concatenate([token(p) if k % 2 else next(made) for k, p in enumerate(ps)]) for ps in parts]
 
 
-def _words_of(piece: str) -> list[str] | None:
-    """A piece as words that the library encodes apart, the first one behind a
-    space; None if its white space is not single line ends between other characters."""
-    stem = piece.rstrip(_STOPS)
-    if stem.isalpha():
-        return [stem, piece[len(stem):]]
-    lines = piece.split("\n")
-    if "" in lines or any(map(_WHITE.search, lines)):
-        return None
-    out = _stops_off(lines[0])
-    for line in lines[1:]:
-        out.append("\n")
-        out += _stops_off(line)
-    return out
-
-
-def _stops_off(word: str) -> list[str]:
-    stem = word.rstrip(_STOPS)
-    return [stem, word[len(stem):]] if stem != word and stem.isalpha() else [word]
+def _joined(pieces: pa.StringArray) -> str:
+    one = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+    return pc.binary_join(one, " ")[0].as_py()
 
 
 _ODD_SPACE = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
 _WHITE = re.compile(r"\s")
-_STOPS = ".,;:!?"
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -284,11 +297,11 @@ def _write_shards(tokenizer: str, end_id: int, width: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SHARD)], schema=_SHARD)
 
         for batch in batches:
-            ids_of, texts = batch.column("_id").to_pylist(), batch.column("_text").to_pylist()
-            turn = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
+            ids_of, texts = batch.column("_id").to_pylist(), batch.column("_text")
+            turn = np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64)) // BATCH_CHARS
             edge = [0, *(np.nonzero(np.diff(turn))[0] + 1).tolist(), len(texts)]
             for lo, hi in zip(edge[:-1], edge[1:]):
-                for doc, own in zip(ids_of[lo:hi], enc.encode_batch(texts[lo:hi])):
+                for doc, own in zip(ids_of[lo:hi], enc.encode_batch(texts.slice(lo, hi - lo).to_pylist())):
                     docs.append(doc or 0)
                     known.append(doc is not None)
                     starts.append(size)
@@ -298,8 +311,11 @@ def _write_shards(tokenizer: str, end_id: int, width: int, shard_tokens: int):
                         yield shard()
                         place += size
                         docs, known, starts, parts, size = [], [], [], [], 0
+            del batch, texts
         if docs:
             yield shard()
+        docs, known, starts, parts = [], [], [], []
+        release()
 
     return write
 

@@ -252,6 +252,23 @@ def test_pieces_are_the_librarys_own(monkeypatch):
     assert enc.encode_batch(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
 
 
+def test_known_pieces_are_kept_as_columns(monkeypatch):
+    """What was encoded once is looked up, with its stops and line ends; a full table keeps what was met again."""
+    monkeypatch.setattr(token_binary, "CACHE_PIECES", 40)
+    enc = token_binary.PieceEncoder(public_tokenizers.path(Q.TOKENIZER))
+    asked, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda pieces: asked.append(pieces.to_pylist()) or learn(pieces))
+    common = ["start common, words.\nagain here", "start common, " + "y" * 1000]
+    for n in range(12):
+        texts = [*common, " ".join(f"a{n}w{i}," for i in range(8)), "", None, " x  y \n "]
+        got = enc.encode_batch(texts)
+        assert [g.tolist() for g in got] == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(enc.known) == len(enc.met) == len(enc.known_at) - 1 and enc.known_at[-1] == len(enc.known_ids)
+    words = [w for ws in asked for w in ws]
+    assert words.count("common,") == words.count("words.\nagain") == 1
+    assert words.count("y" * 1000) == 12 and len(enc.known) <= 40 + 16  # too long to be kept; the table stays small
+
+
 def test_rare_sources_meet_their_target(spark):
     """A source with one document of a few words in each of many shards."""
     filler = [(i, " ".join(f"w{k}" for k in range(400)), "a") for i in range(200)]
