@@ -148,3 +148,15 @@ def test_correlation_is_pairwise_complete(spark):
     assert abs(got["big", "a"] - np.corrcoef(a[some], b[some])[0, 1]) < 1e-5
     assert abs(got["a", "a"] - 1) < 1e-12 and got["same", "a"] is None and got["same", "same"] is None
     assert corr_matrix(df.where("false"), ["a", "b"]).where("rho is not null").count() == 0
+
+
+def test_parity_search_fits_in_few_tasks(spark, monkeypatch):
+    """Every iteration of a fit sends a result per task to the driver: tasks follow the rows, not the table's pieces."""
+    seen, fit_on = [], S.M.fit_on
+    monkeypatch.setattr(S.M, "fit_on", lambda x, *a, **k: seen.append((x.rdd.getNumPartitions(), x.count())) or fit_on(x, *a, **k))
+    rows = [("a" if i % 3 else "b", float(i % 7), int(i % 5 > 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "grp string, v double, y int").repartition(97)
+    spec = S.M.ArmSpec(model="LogisticRegression", group_col="grp", label_col="y", numeric=("v",), categorical=("grp",), sequence=())
+    S.parity_search(df, spec, grid_size=2)
+    assert [n for _, n in seen] == [600, 600]
+    assert all(p <= spark.sparkContext.defaultParallelism for p, _ in seen)
