@@ -160,3 +160,18 @@ def test_parity_search_fits_in_few_tasks(spark, monkeypatch):
     S.parity_search(df, spec, grid_size=2)
     assert [n for _, n in seen] == [600, 600]
     assert all(p <= spark.sparkContext.defaultParallelism for p, _ in seen)
+
+
+def test_quantiles_ask_each_bucket_for_its_own_ranks(spark, monkeypatch):
+    import numpy as np
+    from allelix.operators import quantiles
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=3_000), np.zeros(700), np.ones(5)])
+    df = spark.createDataFrame([(float(x), None if i % 3 else float(x)) for i, x in enumerate(v)], "v double, w double")
+    longest, plain = [], F.broadcast
+    monkeypatch.setattr(quantiles.F, "broadcast", lambda t: longest.append(
+        t.agg(F.max(F.size("ranks"))).first()[0] if "ranks" in t.columns else 0) or plain(t))
+    probs = [i / 999 for i in range(1000)]
+    got = quantiles.exact_quantiles(df, {"v": F.col("v"), "w": F.col("w")}, probs)
+    assert np.allclose(got["v"], np.quantile(v, probs)) and np.allclose(got["w"], np.quantile(v[::3], probs))
+    assert max(longest) < 500  # of the up to 2,000 ranks
