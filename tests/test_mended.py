@@ -175,3 +175,9 @@ def test_quantiles_ask_each_bucket_for_its_own_ranks(spark, monkeypatch):
     got = quantiles.exact_quantiles(df, {"v": F.col("v"), "w": F.col("w")}, probs)
     assert np.allclose(got["v"], np.quantile(v, probs)) and np.allclose(got["w"], np.quantile(v[::3], probs))
     assert max(longest) < 500  # of the up to 2,000 ranks
+
+
+def test_base_view_is_not_stored_beside_the_views(spark):
+    from pyspark import StorageLevel
+    from allelix import fixtures as fx
+    assert fx._base(spark, "/root/testdata/sf0.001").storageLevel == StorageLevel.NONE
