@@ -98,3 +98,33 @@ def test_binary_boosting_takes_weights_and_one_class_is_a_leaf(matrix):
     assert {r.prediction for r in one.transform(matrix).collect()} == {0.0}
     with pytest.raises(ValueError):
         T.HistogramForest([0, 1], "features", "label").fit(two.where("false"))
+
+
+def test_forest_histograms_by_node_equal_brute_force(monkeypatch):
+    import numpy as np
+    from allelix.plans.trees import Binning, _Descent, _NodeHistograms, _walk
+    rng = np.random.default_rng(5)
+    binning = Binning([[0, 1, 2], None, [0.5], None], [4, 6, 2, 3], list("abcd"))
+    bins = np.stack([rng.integers(0, a, 500) for a in binning.arity], axis=1).astype(np.int32)
+    split = {1: (1, 2), 3: (0, 1)}  # node 2 is finished: its rows go no further
+    rows = np.nonzero(rng.integers(0, 2, 500))[0]
+    mine, node = _Descent(binning, split, 2)(bins.astype(binning.narrow).ravel(), rows)
+    want = _walk(binning, bins[rows], split, 2)
+    assert mine.tolist() == rows[want > 0].tolist() and node.tolist() == want[want > 0].tolist()
+    label, weight, drawn = rng.integers(0, 3, 500), rng.random(500), rng.integers(1, 4, 500).astype(float)
+    nodes, asked = [6, 7], np.array([[0, 3], [1, 2]])
+    for cells in (2_000_000, 0):  # kept as arrays, or only the bins that occur
+        monkeypatch.setattr("allelix.plans.trees.DENSE_CELLS", cells)
+        out = _NodeHistograms(binning, 9, nodes, asked, 3)
+        out.add(node - 6, bins.ravel(), mine, label[mine], weight[mine], drawn[mine])
+        got = {(r[1], r[2]): (np.frombuffer(r[3], "<i4"), np.frombuffer(r[4], "<f8").reshape(4, -1))
+               for r in zip(*(out.batch().column(i).to_pylist() for i in range(5)))}
+        assert len(got) == 4
+        for i, heap in enumerate(nodes):
+            for f in asked[i]:
+                seen, table = got[heap, f]
+                here = mine[node == heap]
+                assert seen.tolist() == sorted(set(bins[here, f].tolist()))
+                for b, col in zip(seen, table.T):
+                    at = here[bins[here, f] == b]
+                    assert np.allclose(col[:3], [weight[at][label[at] == c].sum() for c in range(3)]) and col[3] == drawn[at].sum()
