@@ -128,3 +128,45 @@ def test_forest_histograms_by_node_equal_brute_force(monkeypatch):
                 for b, col in zip(seen, table.T):
                     at = here[bins[here, f] == b]
                     assert np.allclose(col[:3], [weight[at][label[at] == c].sum() for c in range(3)]) and col[3] == drawn[at].sum()
+
+
+def test_siblings_are_the_parent_less_the_counted_child():
+    """Boosting's passes count one child of a split; the other one's histogram is the difference, bins without rows left out."""
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    b = T.Binning([[0, 1, 2], None, list(range(300))], [4, 6, 301], list("abc"))
+    bins = np.stack([rng.integers(0, a, 400) for a in b.arity], axis=1).astype(np.int32)
+    split = {1: (1, 2), 2: (0, 0), 3: (2, 150)}
+    columns = b.columns(b.pack(bins), 400)
+    assert all((c == bins[:, f]).all() for f, c in enumerate(columns))
+    walked = T._walk(b, bins, split, 2)
+    rows = T._rows_at(b, columns, split, [4, 5, 6, 7])
+    assert {k: v.tolist() for k, v in rows.items()} == {k: np.nonzero(walked == k)[0].tolist() for k in (4, 5, 6, 7)}
+    assert T._rows_at(b, columns, {}, [1]) == {1: None}
+    one = T._walk(b, bins, split, 1)
+    g, h = rng.normal(size=400), rng.random(400)
+
+    def batch(nodes, of, root=False):
+        out = T._Histograms(b, 3)
+        for f in range(3):
+            for n in nodes:
+                r = np.nonzero(of == n)[0]
+                out.add(0, [n], f, np.zeros(len(r), np.int64), bins[r, f], [g[r], h[r], None])
+                out.rows += [(0, n, f, k, v) for _, _, _, k, v in out_rows(out)]
+                out.dense = {}
+        t = pa.table({c: list(v) for c, v in zip(("tree", "node", "feature", "bins", "sums"), zip(*out.rows))})
+        node = t.column("node").to_pylist()
+        t = t.append_column("parent", pa.array(node if root else [n >> 1 for n in node]))
+        return t.set_column(1, "node", pa.array([0] * len(node))) if root else t
+
+    def out_rows(out):
+        return list(zip(*(c.to_pylist() for c in out.batch({0: [0]}, 2).columns)))[-1:]
+
+    both = pa.concat_tables([batch([4, 7], walked), batch([2, 3], one, root=True)]).to_batches()
+    got = {(n, f): (seen, table) for _, n, f, seen, table in T._with_siblings(iter(both), 3)}
+    assert sorted(got) == [(n, f) for n in (4, 5, 6, 7) for f in range(3)]
+    for (n, f), (seen, table) in got.items():
+        here = np.nonzero(walked == n)[0]
+        assert seen.tolist() == sorted(set(bins[here, f].tolist()))
+        for k, w in enumerate((g, h, np.ones(400))):
+            assert np.allclose(table[k], [w[here][bins[here, f] == v].sum() for v in seen])
