@@ -238,3 +238,13 @@ def test_logistic_arm_reads_rows_of_one_task_spread_over_the_cores(spark, monkey
     assert seen[1] == [800]
     assert abs(fitted.model.coefficients.toArray() - plain.model.coefficients.toArray()).max() < 1e-6
     M.kept_evenly(df.where("false")).unpersist()
+
+
+def test_cv_grid_query_runs_every_family_with_every_scaler(spark, monkeypatch):
+    from allelix import queries as Q
+    monkeypatch.setattr(Q, "_model_rows", lambda spark, sf_dir: spark.createDataFrame(
+        [("g%d" % (i % 6), i % 3) for i in range(60)], "population_name string, target_encoded int"))
+    monkeypatch.setattr(S, "_fold_rows", lambda data, f, specs, classes, seed, ptext=None: [
+        ("pop_aware", s.model, s.scaler, "{}", f, 1, 1.0, 1.0, 1.0, 1.0) for s in specs])
+    got = sorted((r["scaler"], r["model"], r["fold"]) for r in Q.q_cv_grid(spark, "").collect())
+    assert got == sorted((s, m, f) for s in S.SCALERS for m in S.CV_MODELS for f in range(5))
