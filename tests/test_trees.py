@@ -170,3 +170,19 @@ def test_siblings_are_the_parent_less_the_counted_child():
         assert seen.tolist() == sorted(set(bins[here, f].tolist()))
         for k, w in enumerate((g, h, np.ones(400))):
             assert np.allclose(table[k], [w[here][bins[here, f] == v].sum() for v in seen])
+
+
+def test_whole_tables_grow_the_trees_of_the_passes_in_one_stage(matrix, monkeypatch):
+    """A copy of the rows in every task: boosting's tasks share the features, the forest's the trees; no passes, no job a round."""
+    def none(*a, **b):
+        raise AssertionError("a pass over the blocks")
+    for cls, more in ((T.HistogramBoosted, {"maxIter": 6, "maxDepth": 4}), (T.HistogramForest, {"numTrees": 5, "maxDepth": 6})):
+        by_pass = cls([0, 1, 2], "features", "label", "weight", local_rows=0, **more).fit(matrix)
+        with monkeypatch.context() as m:
+            m.setattr(cls, "_best", none)
+            m.setattr(cls, "_finish", none)
+            for share in (10**6, 1000):  # one task, three tasks
+                m.setattr(T, "SHARE_ROWS", share)
+                whole = cls([0, 1, 2], "features", "label", "weight", **more).fit(matrix)
+                assert nodes(whole) == nodes(by_pass)
+                assert np.allclose(whole.trees.value, by_pass.trees.value) and np.allclose(whole.trees.gain, by_pass.trees.gain)
