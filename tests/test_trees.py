@@ -186,3 +186,26 @@ def test_whole_tables_grow_the_trees_of_the_passes_in_one_stage(matrix, monkeypa
                 whole = cls([0, 1, 2], "features", "label", "weight", **more).fit(matrix)
                 assert nodes(whole) == nodes(by_pass)
                 assert np.allclose(whole.trees.value, by_pass.trees.value) and np.allclose(whole.trees.gain, by_pass.trees.gain)
+
+
+def test_merging_holds_a_histogram_a_key_and_not_one_a_task(monkeypatch):
+    """The forest's histograms of 2,000 tasks for two keys: what is held stays near two histograms."""
+    import tracemalloc
+
+    import pyarrow as pa
+    monkeypatch.setattr(T, "MERGE_BYTES", 1 << 20)
+    bins = np.arange(255).astype("<i4").tobytes()
+
+    def sent():
+        for task in range(2000):
+            sums = np.stack([np.full(255, 1.0), np.full(255, float(task)), np.full(255, 0.5), np.full(255, 2.0)]).tobytes()
+            yield pa.RecordBatch.from_pydict({"tree": [0, 0], "node": [1, 1], "feature": [3, 4], "bins": [bins] * 2, "sums": [sums] * 2})
+
+    tracemalloc.start()
+    got = {f: (seen, table) for _, _, f, seen, table in T._merged(sent(), [], 4)}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got) == [3, 4] and most < 6 << 20  # 37 MB were sent
+    for seen, table in got.values():
+        assert seen.tolist() == list(range(255))
+        assert np.allclose(table, np.array([[2000.0], [2000 * 1999 / 2], [1000.0], [4000.0]]) * np.ones(255))
